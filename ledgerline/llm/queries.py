@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe_codec, merkle, simhash, token_count, warc
+from ledgerline.llm import bpe_codec, licenses, merkle, simhash, token_count, warc
 from ledgerline.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, limit=512)
 
@@ -44,8 +48,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_bpe_round_trip, op5_fingerprints, op8_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_bpe_round_trip, op5_fingerprints, op8_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op1_license_scan": licenses.scan_sql(), "op8_warc": OP8_SQL}
