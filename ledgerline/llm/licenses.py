@@ -63,7 +63,7 @@ def stride() -> int:
 
 def _lowered(text: Column) -> Column:
     """A-Z in lower case. The Kelvin sign, the one other letter that lower() turns into an ASCII letter, is set aside."""
-    return F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("�")))
+    return F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\ufffd")))
 
 
 def _words(docs: DataFrame) -> DataFrame:

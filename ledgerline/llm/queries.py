@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe_codec, langid, licenses, merkle, quality, simhash, token_count, toxicity, warc
+from ledgerline.llm import bpe_codec, decontaminate, langid, licenses, merkle, quality, simhash, token_count, toxicity, warc
 from ledgerline.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,12 +58,16 @@ FROM q
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_token_counts, op3_language_id, op4_bpe_round_trip, op5_fingerprints, op6_quality, op7_toxicity, op8_warc, op10_simhash)
+    every = (op1_license_scan, op2_token_counts, op3_language_id, op4_bpe_round_trip, op5_fingerprints, op6_quality, op7_toxicity, op8_warc, op9_decontamination, op10_simhash)
     return {f.__name__: f for f in every}
 
 

@@ -20,7 +20,7 @@ TEXTS = [
     "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "released under the mit",
     "filler " * 500 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files" + " filler" * 300,
     "redistribution and use in source and binary forms with or without\nmodification are permitted provided that the following conditions are met",
-    "the of a to is in and " * 2000, "licénse LİCENSE K mit", "general public license " * 300, "a\x00b\x7fc é9ñ z",
+    "the of a to is in and " * 2000, "licénse LİCENSE K mit", "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE VERSION 3", "this wor\u212a is licensed under the gnu", "general public license " * 300, "a\x00b\x7fc é9ñ z",
 ]
 
 
