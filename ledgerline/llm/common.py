@@ -91,3 +91,15 @@ def texts_of(docs: DataFrame, ids: list[int], most_chars: int) -> dict[int, str]
     """The texts of a bounded list of ids, without those over ``most_chars``; the least text where an id repeats."""
     kept = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull() & (F.length("text") <= most_chars))
     return {r["doc_id"]: r["text"] for r in kept.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+
+
+def keep_texts(df: DataFrame, keep: Callable[[list[str | None]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text ``keep`` accepts, with all their columns and without a shuffle."""
+    rows = spread(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(keep(part.column(text).to_pylist()), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
