@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+#: Modules that register queries.
+MODULES = ["scalar_queries"]
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -25,9 +28,16 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _loaded() -> None:
+    for name in MODULES:
+        importlib.import_module(f"ledgerline.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_ORACLES)
