@@ -33,7 +33,7 @@ def pattern_identity(numbers: Column) -> Column:
 
 def receipt_key(raw: Column, customer: Column, date: Column, amount: Column, channel: Column, reference: Column) -> Column:
     """Digest under which a confirmed content is learned once."""
-    parts = F.array(raw, customer, F.coalesce(date, F.lit("")), F.format_number(F.coalesce(amount, F.lit(0.0)), "0.00"), channel_key(channel), F.coalesce(reference, F.lit("")))
+    parts = F.array(raw, customer, F.coalesce(date, F.lit("")), F.coalesce(amount, F.lit(0.0)).cast("string"), channel_key(channel), F.coalesce(reference, F.lit("")))
     return F.sha2(F.concat(F.lit("confirmed-content:"), F.to_json(parts)), 256)
 
 

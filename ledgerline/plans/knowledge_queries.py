@@ -96,12 +96,12 @@ def shared_layout_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "review_feedback",
-    f"{_NV}, s AS (SELECT cid, count(*) AS seen FROM nv WHERE period < '{HOLDOUT}' GROUP BY 1), f AS (SELECT cid, count(*) FILTER (WHERE txn_id % 3 <> 0) AS yes, count(*) FILTER (WHERE txn_id % 3 = 0) AS no FROM nv WHERE period >= '{HOLDOUT}' AND txn_id % 7 = 0 GROUP BY 1) SELECT cid, CAST(seen + coalesce(yes, 0) AS BIGINT) AS seen, coalesce(no > 0 AND yes = 0, FALSE) AS blocked FROM s LEFT JOIN f USING (cid)",
+    f"{_NV}, s AS (SELECT cid, count(*) AS seen FROM nv WHERE period < '{HOLDOUT}' GROUP BY 1), f AS (SELECT cid, count(*) FILTER (WHERE txn_id % 3 <> 0) AS yes, count(*) FILTER (WHERE txn_id % 3 = 0) AS no FROM nv WHERE period >= '{HOLDOUT}' GROUP BY 1) SELECT cid, CAST(seen + coalesce(yes, 0) AS BIGINT) AS seen, coalesce(no > 0 AND yes = 0, FALSE) AS blocked FROM s LEFT JOIN f USING (cid)",
 )
 def review_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = narratives(spark, sf_dir)
     state = n.where(F.col("period") < HOLDOUT).groupBy("cid").agg(F.count("*").alias("seen"))
-    feedback = n.where((F.col("period") >= HOLDOUT) & (F.col("txn_id") % 7 == 0)).select("cid", (F.col("txn_id") % 3 != 0).alias("accepted"))
+    feedback = n.where(F.col("period") >= HOLDOUT).select("cid", (F.col("txn_id") % 3 != 0).alias("accepted"))
     merged, negatives = kn.review(state, feedback, ["cid"])
     return merged.join(negatives.select("cid", F.lit(True).alias("blocked")), "cid", "left").select("cid", "seen", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
@@ -284,14 +284,14 @@ def payment_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", r["mode"].alias("mode"), r["kind"].alias("kind"), r["name"].alias("name"))
 
 
-@query("evidence_struct", f"{_NV} SELECT txn_id, channel || ':' || cid AS evidence FROM nv WHERE period >= '2001-06'")
+@query("evidence_struct", f"{_NV} SELECT txn_id, channel || ':' || cid AS evidence FROM nv")
 def evidence_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.struct(F.col("channel").alias("channel"), F.array_sort(F.array("cid")).alias("customers"))
-    rows = narratives(spark, sf_dir).where("period >= '2001-06'").select("txn_id", e.alias("e"))
+    rows = narratives(spark, sf_dir).select("txn_id", e.alias("e"))
     return rows.select("txn_id", F.concat_ws(":", "e.channel", F.array_join("e.customers", ",")).alias("evidence"))
 
 
-@query("export_projection", f"{_NV} SELECT txn_id, raw AS narrative, cid AS customer, round(amount, 2) AS credit, 'KH ' || cid AS label FROM nv WHERE period >= '2001-01'")
+@query("export_projection", f"{_NV} SELECT txn_id, raw AS narrative, cid AS customer, round(amount, 2) AS credit, 'KH ' || cid AS label FROM nv")
 def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = narratives(spark, sf_dir).where("period >= '2001-01'")
+    n = narratives(spark, sf_dir)
     return n.select("txn_id", tx.csv_safe(F.col("raw")).alias("narrative"), F.col("cid").alias("customer"), F.round("amount", 2).alias("credit"), F.concat(F.lit("KH "), "cid").alias("label"))

@@ -68,14 +68,13 @@ def semi_join_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "posting_channel_sum",
-    f"""{_LINK}, s AS (SELECT txn_id, pattern_id, customer_id, sum(p.weight) AS score FROM t JOIN p ON p.token = t.token WHERE period >= '1999-01' AND NOT starts_with(t.token, 'exact:') GROUP BY ALL),
+    f"""{_LINK}, s AS (SELECT txn_id, pattern_id, customer_id, sum(p.weight) AS score FROM t JOIN p ON p.token = t.token WHERE period >= '{HOLDOUT}' AND NOT starts_with(t.token, 'exact:') GROUP BY ALL),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txn_id, customer_id ORDER BY score DESC, pattern_id DESC) AS own FROM s) WHERE own <= 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, pattern_id DESC) AS rank FROM b)
 SELECT txn_id, pattern_id, customer_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 32""",
 )
 def posting_channel_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = narratives(spark, sf_dir).where(F.col("period") >= "1999-01").select("txn_id", F.explode(postings.narrative_tokens(F.col("raw"))).alias("t")).select("txn_id", "t.token")
-    return postings.posting_channel(identifiers(late), known_postings(spark, sf_dir), "txn_id", per_customer=4, limit=32)
+    return postings.posting_channel(identifiers(query_tokens(spark, sf_dir)).select("txn_id", "token"), known_postings(spark, sf_dir), "txn_id", per_customer=4, limit=32)
 
 
 @query(
@@ -102,14 +101,14 @@ def semantic_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fulltext_or_rank",
-    f"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({FOLD.format("text")}, '[a-z]{{5,}}')) AS w FROM benchmark WHERE item_id % 10 = 0),
+    f"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({FOLD.format("text")}, '[a-z]{{5,}}')) AS w FROM benchmark),
 d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({FOLD.format("text")}, '[a-z]{{5,}}')) AS w FROM documents),
 h AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN d USING (w) GROUP BY ALL)
 SELECT item_id, doc_id, CAST(hits AS BIGINT) AS hits, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM h) WHERE rank <= 10""",
 )
 def fulltext_or_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.array_distinct(F.regexp_extract_all(tx.fold(F.col(c)), F.lit("[a-z]{5,}"), F.lit(0)))
-    q = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 10 == 0).select("item_id", words("text").alias("words"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("words"))
     d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("words"))
     return postings.top_k(similarity.word_overlap(q, d, "item_id", "doc_id", "words"), ["item_id"], [F.desc("hits"), F.col("doc_id")], 10)
 
@@ -131,14 +130,14 @@ def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "name_trigram_join",
-    f"""WITH n AS (SELECT DISTINCT p_name, {_TRI.format("p_name")} AS g FROM part), t AS (SELECT p_partkey, {_TRI.format("p_name || ' ' || p_type")} AS g FROM part WHERE p_partkey % 10 = 0)
+    f"""WITH n AS (SELECT DISTINCT p_name, {_TRI.format("p_name")} AS g FROM part), t AS (SELECT p_partkey, {_TRI.format("p_name || ' ' || p_type")} AS g FROM part)
 SELECT p_partkey, p_name, round(len(list_intersect(n.g, t.g)) / len(list_distinct(list_concat(n.g, t.g))), 9) AS similarity FROM n, t
 WHERE len(list_intersect(n.g, t.g)) / len(list_distinct(list_concat(n.g, t.g))) >= 0.5""",
 )
 def name_trigram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     names = part.select("p_name").distinct().withColumn("g", similarity.trigrams(F.col("p_name")))
-    texts = part.where(F.col("p_partkey") % 10 == 0).select("p_partkey", similarity.trigrams(F.concat_ws(" ", "p_name", "p_type")).alias("g"))
+    texts = part.select("p_partkey", similarity.trigrams(F.concat_ws(" ", "p_name", "p_type")).alias("g"))
     return similarity.set_similarity(texts, names, "p_partkey", "p_name", "g", 0.5).withColumn("similarity", F.round("similarity", 9))
 
 
@@ -155,7 +154,7 @@ def owner_intersection_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits of three channels: identity by customer number, postings by contract, scope by recency."""
-    known, late = knowledge(spark, sf_dir), narratives(spark, sf_dir).where("period >= '2001-01'")
+    known, late = knowledge(spark, sf_dir), holdout(spark, sf_dir)
     same = late.select(F.col("txn_id").alias("query_id"), "cid").join(known.select("cid", F.col("txn_id").alias("pattern_id"), "period"), "cid")
     recent = postings.top_k(same, ["query_id"], [F.desc("period"), F.col("pattern_id")], 12, "position").withColumn("channel", F.lit("customer_id"))
     old = postings.top_k(same, ["query_id"], [F.col("period"), F.col("pattern_id")], 12, "position").withColumn("channel", F.lit("semantic"))
@@ -166,7 +165,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent.select(columns).unionByName(old.select(columns)).unionByName(contract.select(columns))
 
 
-_HITS = f"""WITH {NV}, k AS (SELECT * FROM nv WHERE period < '{HOLDOUT}'), l AS (SELECT * FROM nv WHERE period >= '2001-01'),
+_HITS = f"""WITH {NV}, k AS (SELECT * FROM nv WHERE period < '{HOLDOUT}'), l AS (SELECT * FROM nv WHERE period >= '{HOLDOUT}'),
 s AS (SELECT l.txn_id AS query_id, k.txn_id AS pattern_id, k.cid AS customer_id, k.period AS period FROM l JOIN k ON k.cid = l.cid),
 h AS (SELECT query_id, 'customer_id' AS channel, pattern_id, customer_id, row_number() OVER (PARTITION BY query_id ORDER BY period DESC, pattern_id) AS position FROM s
  QUALIFY position <= 12 UNION ALL
@@ -268,14 +267,14 @@ def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "recommend_customers",
-    f"""{_LINK}, q AS (SELECT txn_id, cid, t.token AS token FROM t WHERE period >= '2000-06'),
+    f"""{_LINK}, q AS (SELECT txn_id, cid, t.token AS token FROM t WHERE period >= '{HOLDOUT}'),
 c AS (SELECT txn_id, customer_id, max(CASE WHEN starts_with(q.token, 'id:') THEN 0.59 WHEN starts_with(q.token, 'exact:') THEN 0.65 ELSE 0.55 END) AS score,
  array_to_string(list_sort(list(DISTINCT split_part(q.token, ':', 1))), ',') AS reasons FROM q JOIN p ON p.token = q.token GROUP BY ALL)
 SELECT txn_id, customer_id, CAST(score AS DOUBLE) AS score, reasons, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, customer_id) AS rank FROM c) WHERE rank <= 6""",
 )
 def recommend_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals of all sources merged per customer: the greatest score and the reasons, six at most."""
-    q = narratives(spark, sf_dir).where("period >= '2000-06'").select("txn_id", F.explode(postings.narrative_tokens(F.col("raw"))).alias("t")).select("txn_id", "t.token")
+    q = query_tokens(spark, sf_dir).select("txn_id", "token")
     met = q.join(known_postings(spark, sf_dir), "token").withColumn("source", F.substring_index("token", ":", 1))
     score = F.when(F.col("source") == "id", 0.59).when(F.col("source") == "exact", 0.65).otherwise(0.55)
     merged = met.groupBy("txn_id", "customer_id").agg(F.max(score).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("reasons"))

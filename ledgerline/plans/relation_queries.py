@@ -211,27 +211,27 @@ def receipt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ngram_alias_join",
-    """WITH d AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type) || ' ' || p_name, ' ') AS w FROM part WHERE p_partkey % 5 = 0),
+    """WITH d AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type) || ' ' || p_name, ' ') AS w FROM part),
 g AS (SELECT DISTINCT p_partkey, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT p_partkey, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, generate_series(2, 6) AS g(n)))
 SELECT p_partkey, gram AS alias FROM g WHERE gram IN (SELECT p_name FROM part)""",
 )
 def ngram_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     words = F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), "p_name"), " ")
-    grams = part.where("p_partkey % 5 = 0").select("p_partkey", F.explode(tx.word_ngrams(words)).alias("alias"))
+    grams = part.select("p_partkey", F.explode(tx.word_ngrams(words)).alias("alias"))
     return relations.keep_members(grams, part.select(F.col("p_name").alias("alias")), "alias")
 
 
 @query(
     "substring_alias_join",
-    """WITH a AS (SELECT DISTINCT p_name FROM part), d AS (SELECT p_partkey, ' ' || p_name || ' ' || lower(p_type) || ' ' AS t FROM part WHERE p_partkey % 7 = 0)
+    """WITH a AS (SELECT DISTINCT p_name FROM part), d AS (SELECT p_partkey, ' ' || p_name || ' ' || lower(p_type) || ' ' AS t FROM part)
 SELECT p_partkey, p_name AS alias FROM d, a WHERE contains(t, ' ' || p_name || ' ')""",
 )
 def substring_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases that stand in a text as whole words: met through their first word, verified as phrases."""
     part = table(spark, sf_dir, "part")
     aliases = part.select(F.col("p_name").alias("alias")).distinct().withColumn("word", F.substring_index("alias", " ", 1))
-    texts = part.where("p_partkey % 7 = 0").select("p_partkey", F.concat(F.lit(" "), F.concat_ws(" ", "p_name", F.lower("p_type")), F.lit(" ")).alias("t"))
+    texts = part.select("p_partkey", F.concat(F.lit(" "), F.concat_ws(" ", "p_name", F.lower("p_type")), F.lit(" ")).alias("t"))
     met = texts.select("p_partkey", "t", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("word")).join(aliases, "word")
     return met.where(F.col("t").contains(F.concat(F.lit(" "), "alias", F.lit(" ")))).select("p_partkey", "alias")
 
