@@ -4,8 +4,8 @@
 ``normalise`` inflates such a stream once, rewrites every record as a gzip member of its own and gives a sidecar index of
 (offset, length) so that a reader can fetch one record without the rest. ``read_records`` goes through that index.
 
-Archives are rows with a binary column, staged in the shared folder by Spark's writer: tasks that are lost are run again
-and leave no half-written archive.
+Archives are rows with a binary column, staged in the shared folder by Spark's writer once they are normalised: tasks that
+are lost are run again and leave no half-written archive.
 """
 
 from __future__ import annotations
@@ -183,6 +183,6 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     repeat that id are responses too, and where no row has an id all are. Smaller payloads are always responses. An empty
     table gives no rows; other columns are ignored.
     """
-    plain = staged(write_archives(with_originals(pages)), "warc-plain")
-    records = read_records(staged(normalise(plain), "warc-members"))
+    archives = staged(normalise(write_archives(with_originals(pages))), "warc")
+    records = read_records(archives)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
