@@ -72,7 +72,7 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def stratified_ids(rows: DataFrame, label: str, per_label: int, most: int) -> list[tuple[int, object]]:
-    """At most ``per_label`` ids of each label and ``most`` in all: the least hash in each of ``per_label`` hash buckets.
+    """At most ``per_label`` ids of each label and ``most`` in all: the least id in each of ``per_label`` hash buckets.
 
     Runs as a hash aggregation of longs, so no label's rows meet in one task.
     """
