@@ -14,7 +14,7 @@ from ledgerline.functions import narrative as nr
 from ledgerline.functions import routing as rt
 from ledgerline.functions import sequence as sq
 from ledgerline.functions import text as tx
-from ledgerline.operators import postings, similarity
+from ledgerline.operators import names, postings, similarity
 from ledgerline.plans.registry import query
 from ledgerline.plans.views import HOLDOUT, NV, narratives, table
 from ledgerline.sources import ingest, xlsx
@@ -353,3 +353,23 @@ def udtf_number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.udtf.register("number_tokens", udtf(NumberTokens, returnType="number string"))
     narratives(spark, sf_dir).createOrReplaceTempView("late_narratives")
     return spark.sql("SELECT txn_id, number FROM late_narratives, LATERAL number_tokens(raw)")
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("BIDV;5510000370;"), "p_name", F.lit(" tra tien nuoc"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.lit("bidv").alias("channel"), raw.alias("raw"), F.initcap("p_name").alias("name"))
+
+
+@query("name_slot_extract", "SELECT p_partkey, p_name AS name FROM part")
+def name_slot_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions learned from confirmed names, then read without them."""
+    rows = _named(spark, sf_dir)
+    return names.extract(rows, names.learn_positions(rows), ["p_partkey"])
+
+
+@query("names_with_positions", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Nguyen Van A' ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'bank_field' ELSE 'learned_position' END AS source FROM part")
+def names_with_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _named(spark, sf_dir)
+    field = F.lit("MB.1-2-20260801-101112-3.20260801.HUE WATER SUPPLY JSC.123456.998877.7/2026.Nguyen Van A..1.")
+    mixed = rows.withColumn("raw", F.when(F.col("p_partkey") % 2 == 0, field).otherwise(F.col("raw")))
+    return names.with_positions(mixed, names.learn_positions(rows), "p_partkey")
