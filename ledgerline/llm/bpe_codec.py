@@ -18,7 +18,7 @@ from ledgerline.llm import bpe_vocab
 from ledgerline.llm.common import map_texts, spread
 
 #: Entries of each memo of a worker; a full memo starts anew.
-MEMO = 200_000
+MEMO = 600_000
 _FAR = np.int64(1) << 40
 
 
