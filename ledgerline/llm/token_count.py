@@ -16,7 +16,7 @@ from ledgerline.llm import bpe_vocab
 from ledgerline.llm.common import map_texts, spread
 
 #: Entries of each memo of a worker; a full memo starts anew.
-MEMO = 300_000
+MEMO = 800_000
 NONE = np.int64(1) << 40
 _SLOTS = 8
 
