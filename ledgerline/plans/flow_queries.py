@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,8 @@ from ledgerline.functions import narrative as nr
 from ledgerline.functions import routing as rt
 from ledgerline.functions import sequence as sq
 from ledgerline.functions import text as tx
-from ledgerline.operators import names, postings, similarity
+from ledgerline.operators import classify, names, postings, similarity
+from ledgerline.operators.staging import scratch
 from ledgerline.plans.registry import query
 from ledgerline.plans.views import HOLDOUT, NV, narratives, table
 from ledgerline.sources import ingest, xlsx
@@ -23,12 +23,6 @@ from ledgerline.streaming import imports
 _NV = f"WITH {NV}"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerline-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Parsing
 
 
@@ -373,3 +367,11 @@ def names_with_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = F.lit("MB.1-2-20260801-101112-3.20260801.HUE WATER SUPPLY JSC.123456.998877.7/2026.Nguyen Van A..1.")
     mixed = rows.withColumn("raw", F.when(F.col("p_partkey") % 2 == 0, field).otherwise(F.col("raw")))
     return names.with_positions(mixed, names.learn_positions(rows), "p_partkey")
+
+
+@query("classify_narratives")
+def classify_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole classification: everything before the holdout is learned, everything after it decided."""
+    n = billed(spark, sf_dir).withColumn("mode", F.lit("unknown"))
+    known = classify.build(n.where(F.col("period") < HOLDOUT))
+    return classify.classify(n.where(F.col("period") >= HOLDOUT).withColumnRenamed("txn_id", "query_id"), known)
