@@ -14,7 +14,7 @@ IDENTITY_ROLES = ("CUSTOMER_ID", "CONTRACT_ID", "MIXED_CODE", "LOCATION_NUMBER")
 # Layouts of collection services.
 FIXED_LAYOUTS = (
     r"\bo@l_(?:\d+_){5}\d{6}_|ma_gd:\d+\|\d{6},\s*nuoc|atbp:[a-z\d]+\s+tthd\s+nuoc\s+hue|tthd\s+tien\s+nuoc\s+ma\s+kh-|tthd\s+nuoc\s+hue\s*,"
-    r"|\but\s+\d{6}\s+t\d{1,2}n20\d{2}\s+cap\s+nuoc\s+hue|^mb\.\d+-\d+-\d{8}-\d{6}-\d+\.\d{8}\.hue water supply jsc\."
+    r"|\but\s+\d{6}\s+t\d{1,2}n20\d{2}\s+cap\s+nuoc\s+hue|^mb\.\d+-\d+-\d{8}-\d{6}-\d+\.\d{8}\.[^.]*water supply[^.]*\."
 )
 #: Messages by decision reason.
 REASONS = {"unique": "Mã khách hàng trùng khớp.", "shared": "Mã thuộc nhiều khách hàng; cần kiểm tra thủ công.", "unknown": "Chưa có dữ liệu đã xác nhận; cần kiểm tra thủ công."}

@@ -148,7 +148,7 @@ def compare_names(query: Column, history: Column) -> Column:
 
 
 def water_receiver(c: Column) -> Column:
-    return name_key(c).rlike(r"\b(?:hue\s+water|water\s+supply|cap\s+nuoc\s+hue)\b")
+    return name_key(c).rlike(r"\b(?:water\s+supply|cap\s+nuoc)\b")
 
 
 def valid_name(c: Column) -> Column:

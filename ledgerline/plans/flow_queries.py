@@ -116,7 +116,7 @@ def bank_field_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of a fixed layout by native expressions; a date that does not exist makes the layout void."""
     cid = F.lpad(F.col("o_custkey").cast("string"), 6, "0")
     day = F.when(F.col("o_orderkey") % 4 == 3, "20261332").otherwise("20260801")
-    raw = F.concat(F.lit("MB.1-2-"), day, F.lit("-101112-3."), day, F.lit(".HUE WATER SUPPLY JSC."), cid, F.lit(".998877.7/2026.Nguyen Van A..1."))
+    raw = F.concat(F.lit("MB.1-2-"), day, F.lit("-101112-3."), day, F.lit(".CITY WATER SUPPLY JSC."), cid, F.lit(".998877.7/2026.Nguyen Van A..1."))
     pattern = r"^MB\.(?:\d+-){2}(\d{8})-(\d{6})-\d+\.(\d{8})\.([^.]+)\.(\d{6})\.(\d+)\.((?:0?[1-9]|1[0-2])/20\d{2})\.([^.\d]*)\.\.\d+\.?$"
     g = lambda i: F.regexp_extract("raw", pattern, i)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
@@ -364,7 +364,7 @@ def name_slot_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("names_with_positions", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Nguyen Van A' ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'bank_field' ELSE 'learned_position' END AS source FROM part")
 def names_with_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _named(spark, sf_dir)
-    field = F.lit("MB.1-2-20260801-101112-3.20260801.HUE WATER SUPPLY JSC.123456.998877.7/2026.Nguyen Van A..1.")
+    field = F.lit("MB.1-2-20260801-101112-3.20260801.CITY WATER SUPPLY JSC.123456.998877.7/2026.Nguyen Van A..1.")
     mixed = rows.withColumn("raw", F.when(F.col("p_partkey") % 2 == 0, field).otherwise(F.col("raw")))
     return names.with_positions(mixed, names.learn_positions(rows), "p_partkey")
 

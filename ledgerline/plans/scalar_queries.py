@@ -313,7 +313,7 @@ def compare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT p_partkey, p_partkey % 4 <> 1 AND p_partkey % 4 <> 3 AS valid, p_partkey % 4 = 3 AS receiver FROM part""",
 )
 def valid_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.get(F.array(F.col("p_name"), F.col("p_brand"), F.concat(F.lit("Đỗ Thị "), F.col("p_name")), F.lit("Hue Water Supply")), (F.col("p_partkey") % 4).cast("int"))
+    value = F.get(F.array(F.col("p_name"), F.col("p_brand"), F.concat(F.lit("Đỗ Thị "), F.col("p_name")), F.lit("City Water Supply")), (F.col("p_partkey") % 4).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", tx.valid_name(value).alias("valid"), tx.water_receiver(value).alias("receiver"))
 
 
