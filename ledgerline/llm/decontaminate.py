@@ -21,7 +21,7 @@ WINDOW = 8
 #: Literal words that a window must have; the others may be placeholders.
 LITERAL = 4
 #: Windows of a question that must meet: so many, or all where it has fewer.
-NEEDED = 5
+NEEDED = 3
 #: Benchmark windows up to this many (about 100 bytes each) are broadcast; beyond it the join shuffles both sides.
 BROADCAST_WINDOWS = 500_000
 
