@@ -33,7 +33,8 @@ def _embedded(texts: pd.Series) -> pd.Series:
 
 
 def embedding(c: Column) -> Column:
-    return F.pandas_udf(_embedded, "array<float>")(c)
+    """The embedding of a text column; declared as not deterministic so that the planner never computes it twice."""
+    return F.pandas_udf(_embedded, "array<float>").asNondeterministic()(c)
 
 
 def with_cache(rows: DataFrame, text: str, cache: DataFrame | None) -> DataFrame:

@@ -26,7 +26,7 @@ from ledgerline.operators.staging import staged
 #: Candidates of a query, hits of a channel, and patterns that a single token may bring into a channel.
 CANDIDATES, CHANNEL_LIMIT, PER_TOKEN = 40, 120, 120
 #: Retrieval channel of a token family.
-CHANNELS = {"id": "customer_id", "exact": "exact_text", "contract": "identity", "slot-id": "identity", "code": "structured", "detail": "structured", "payer": "payer", "template": "shared_template", "w": "postings", "n": "postings"}
+CHANNELS = {"id": "customer_id", "exact": "exact_text", "contract": "identity", "slot-id": "identity", "code": "structured", "detail": "structured", "payer": "payer", "template": "shared_template", "w": "full_text", "n": "postings", "name": "customer_name", "v": "semantic"}
 WATER = r"\b(?:tien\s*nuoc|nuoc\s+(?:sinh|sach|may)|phi\s*nuoc|(?:tt|tthd)\s+nuoc|water\s+bill)\b"
 #: Scores that no contradictory evidence may pass.
 GUARD = min(0.59, max(0.0, decide.REVIEW - 0.01))
@@ -52,7 +52,7 @@ def parsed(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("signature", F.pandas_udf(_signature, "string")("raw"))
     return rows.select(
         "*", rt.recurring_signature(F.col("norm"), F.col("channel")).alias("recurring"), rt.layout_key(F.col("norm.template"), F.col("norm.structure"), F.col("channel")).alias("template_key"),
-        tx.fold(F.col("raw")).rlike(WATER).alias("water"), F.sha2("norm.normalized", 256).alias("text_key"),
+        tx.fold(F.col("raw")).rlike(WATER).alias("water"), F.sha2("norm.normalized", 256).alias("text_key"), em.embedding(F.col("norm.semantic_text")).alias("vector"),
     )
 
 
@@ -60,14 +60,18 @@ def _roles(*roles: str) -> Column:
     return F.transform(F.filter("norm.numbers", lambda n: n["numeric_type"].isin(list(roles))), lambda n: n["value"])
 
 
-def tokens(owner: Column | None) -> Column:
-    """The tokens (token, weight) of a parsed row; a pattern has its owner's id as well, a query the ids that it names."""
+def tokens(owner: Column | None, name: Column | None = None) -> Column:
+    """The tokens (token, weight) of a parsed row; a pattern has its owner's id and name, a query what it names and says.
+
+    Vectors take part by the signs of their greatest components, so a semantic hit shares some of these.
+    """
     ids = F.array(owner) if owner is not None else F.col("norm.customer_ids")
     slots = F.transform(F.filter("norm.numbers", lambda n: n["context"].isNotNull()), lambda n: F.concat_ws(":", F.sha2(F.concat_ws(rt.SEPARATOR, tx.channel_key(F.col("channel")), n["context"]), 256), n["value"]))
     families = {
         "id": F.transform(ids, tx.id_key), "exact": F.array("text_key"), "template": F.array("template_key"),
         "detail": F.when(F.col("signature") != "", F.array(F.sha2("signature", 256))), "w": tx.text_tokens(F.col("norm.normalized")),
         "payer": F.col("norm.payer_accounts"), "contract": F.col("norm.contract_ids"), "code": F.col("norm.mixed_codes"), "slot-id": slots,
+        "v": vl.vector_buckets(F.col("vector")), "name": tx.text_tokens(F.coalesce(name, F.lit("")) if name is not None else F.col("norm.normalized")),
         "n": _roles("ACCOUNT_ID", "CARD_ID", "CUSTOMER_ID", "CONTRACT_ID", "MIXED_CODE", "INVOICE_CODE"),
     }
     none = F.array().cast("array<string>")
@@ -79,16 +83,18 @@ def tokens(owner: Column | None) -> Column:
 
 
 def build(examples: DataFrame, negatives: DataFrame | None = None) -> Knowledge:
-    """Knowledge from confirmed examples (txn_id, cid, channel, raw, period, mode)."""
+    """Knowledge from confirmed examples (txn_id, cid, channel, raw, period, mode, and the customer's name if known)."""
+    if "name" not in examples.columns:
+        examples = examples.withColumn("name", F.lit(""))
     rows = staged(parsed(examples), "examples").withColumn("identity", F.array_join(rt.pattern_identity(F.col("norm.numbers")), ","))
     keys = ["cid", "channel", "template_key", "identity"]
     state = knowledge.learn(None, rows.select(*keys, "period"), keys)
     last = rows.groupBy(*keys).agg(F.max("txn_id").alias("pattern_id"))
     patterns = rows.join(last.select("pattern_id"), rows["txn_id"] == F.col("pattern_id")).join(state, keys)
     patterns = staged(patterns.select(
-        "pattern_id", F.col("cid").alias("customer_id"), "channel", "norm", "signature", em.embedding(F.col("norm.semantic_text")).alias("vector"), "template_key", "mode", "seen", "confidence", "text_key", "raw",
+        "pattern_id", F.col("cid").alias("customer_id"), "channel", "norm", "signature", "vector", "template_key", "mode", "seen", "confidence", "text_key", "raw", "name",
     ), "patterns")
-    posts = patterns.select("pattern_id", "customer_id", F.explode(tokens(F.col("customer_id"))).alias("t")).select("t.token", "t.weight", "pattern_id", "customer_id")
+    posts = patterns.select("pattern_id", "customer_id", F.explode(tokens(F.col("customer_id"), F.col("name"))).alias("t")).select("t.token", "t.weight", "pattern_id", "customer_id")
     posts = staged(posts, "postings")
     anchored = F.exists("norm.numbers", lambda n: n["numeric_type"].isin(list(rt.IDENTITY_ROLES)))
     own = anchored | (F.size("norm.payer_accounts") > 0) | (F.size(tx.text_tokens(F.col("norm.normalized"))) >= 2)
@@ -175,7 +181,7 @@ def compare_numbers(pairs: DataFrame) -> DataFrame:
 def score_candidates(queries: DataFrame, known: Knowledge) -> DataFrame:
     """(query_id, customer_id, pattern_id, score, guarded, relevant, why) of every candidate."""
     p = known.patterns.select("pattern_id", F.col("channel").alias("p_channel"), F.col("norm").alias("h"), F.col("signature").alias("p_signature"), F.col("vector").alias("p_vector"), "template_key", F.col("mode").alias("p_mode"), "seen", "confidence", F.col("raw").alias("p_raw"))
-    q = queries.select("query_id", F.col("norm").alias("q"), "water", "signature", "mode", "raw", "text_key", "compatible", em.embedding(F.col("norm.semantic_text")).alias("vector"), F.col("channel"))
+    q = queries.select("query_id", F.col("norm").alias("q"), "water", "signature", "mode", "raw", "text_key", "compatible", "vector", F.col("channel"))
     pairs = staged(retrieve(queries, known).select("query_id", "pattern_id", "customer_id"), "candidates").join(p, "pattern_id").join(q, "query_id")
     shared = known.templates.select("template_key", F.col("customers").alias("template_customers"))
     pairs = pairs.join(shared, "template_key", "left")
