@@ -35,6 +35,8 @@ UNITS = (
 
 _MARK = "\ue000"  # a private character before a name; removed from texts first
 _NAME = r"(?<=[\p{L}\p{M}\p{N},;] )(?=\p{Lu}\p{Ll})"
+#: Whether there is any name: the same, begun at the blank, which is found faster.
+_ANY_NAME = r" (?=\p{Lu}\p{Ll})(?<=[\p{L}\p{M}\p{N},;] )"
 _TOKEN = _MARK + r"?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*"
 _NUMBER = "[0-9]"
 
@@ -42,7 +44,7 @@ _NUMBER = "[0-9]"
 def _tokens(rows: DataFrame) -> DataFrame:
     """Adds marked (names carry a mark), named and counted (whether any name or number is there)."""
     clean = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_MARK), F.lit(" "))
-    rows = rows.withColumn("text", clean).withColumn("named", F.col("text").rlike(_NAME))
+    rows = rows.withColumn("text", clean).withColumn("named", F.col("text").rlike(_ANY_NAME))
     text = F.when(F.col("named"), F.regexp_replace("text", _NAME, _MARK)).otherwise(F.col("text"))
     rows = rows.withColumn("marked", F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)))
     return rows.withColumn("counted", F.col("text").rlike(_NUMBER)).drop("text")
@@ -66,25 +68,37 @@ def _forms(rows: DataFrame) -> DataFrame:
     return rows.withColumn("typed", F.when(F.col("named"), names)).drop("marked")
 
 
-def _windows(form: str, slotted: Column, only: str | None) -> Column:
-    """(at, hash, slots) of each window of a form with enough literal words; slots is null where no placeholder can be."""
+def _spans(tokens: Column) -> Column:
+    """Where the windows of a token array begin, from 1."""
+    return F.when(F.size(tokens) >= WINDOW, F.sequence(F.lit(1), F.size(tokens) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _plain_windows() -> Column:
+    """(at, hash, slots) of each window where no placeholder can be."""
+    tokens, none = F.col("plain"), F.lit(None).cast("array<string>")
+    return F.transform(_spans(tokens), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, WINDOW)).alias("hash"), none.alias("slots")))
+
+
+def _slotted_windows(form: str, only: str | None) -> Column:
+    """(at, hash, slots) of each window with enough literal words, and with the placeholder ``only`` if there is one."""
     tokens, words = F.col(form), F.col("words")
-    spans = F.sequence(F.lit(1), F.size(tokens) - WINDOW + 1)
-    held = F.transform(F.when(F.size(tokens) >= WINDOW, spans).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("at"), F.slice(tokens, i, WINDOW).alias("w")))
-    literal = lambda x: F.size(F.filter(x["w"], lambda w: ~w.startswith("<"))) >= LITERAL
-    kept = F.filter(held, lambda x: literal(x) & F.array_contains(x["w"], only)) if only else F.when(slotted, F.filter(held, literal)).otherwise(held)
+    held = F.transform(_spans(tokens), lambda i: F.struct(i.alias("at"), F.slice(tokens, i, WINDOW).alias("w")))
+
+    def fits(x: Column) -> Column:
+        literal = F.size(F.filter(x["w"], lambda w: ~w.startswith("<"))) >= LITERAL
+        return literal & F.array_contains(x["w"], only) if only else literal
 
     def slots(x: Column) -> Column:
         return F.filter(F.zip_with(x["w"], F.slice(words, x["at"], WINDOW), lambda c, w: F.when(c.startswith("<"), w)), lambda w: w.isNotNull())
 
-    return F.transform(kept, lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["w"]).alias("hash"), F.when(slotted, slots(x)).alias("slots")))
+    return F.transform(F.filter(held, fits), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["w"]).alias("hash"), slots(x).alias("slots")))
 
 
 def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at, hash, slots): a row for each window of each form of ``rows.text``."""
     formed = _forms(_tokens(rows.select(*keys, "text")))
-    plain = _windows("plain", F.col("counted"), None)
-    typed = F.when(F.col("named"), _windows("typed", F.lit(True), "<name>"))
+    plain = F.when(F.col("counted"), _slotted_windows("plain", None)).otherwise(_plain_windows())
+    typed = F.when(F.col("named"), _slotted_windows("typed", "<name>"))
     both = formed.select(*keys, plain.alias("plain"), typed.alias("typed"))
     all_of = F.when(F.col("typed").isNull(), F.col("plain")).otherwise(F.concat("plain", "typed"))
     return both.select(*keys, F.explode(all_of).alias("x")).select(*keys, "x.at", "x.hash", "x.slots")
