@@ -4,7 +4,7 @@ Texts become tokens in which numbers, units after numbers and names are typed pl
 slots. Windows of WINDOW tokens are hashed and hash-joined with those of the benchmark, so a question with other numbers or
 names still meets its template. Windows that meet on one diagonal (same shift between text and question) belong to one
 occurrence. An occurrence counts if enough of its question's windows meet and its slots are consistent: the same value of
-the question always stands for the same value of the text, and other values for others.
+the question always stands for the same value of the text; two values may become one.
 
 A name is a capitalised word inside a sentence. Since copies may be in other letter case, windows with names are looked up in
 both forms, with the words as they stand and with placeholders.
@@ -12,7 +12,7 @@ both forms, with the words as they stand and with placeholders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import spread
@@ -68,64 +68,125 @@ def _forms(rows: DataFrame) -> DataFrame:
     return rows.withColumn("typed", F.when(F.col("named"), names)).drop("marked")
 
 
-def _spans(tokens: Column) -> Column:
+def _spans(tokens: Column, width: Column) -> Column:
     """Where the windows of a token array begin, from 1."""
-    return F.when(F.size(tokens) >= WINDOW, F.sequence(F.lit(1), F.size(tokens) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - width + F.lit(1))).otherwise(F.array().cast("array<int>"))
 
 
-def _plain_windows() -> Column:
+def _plain_windows(width: Column) -> Column:
     """(at, hash, slots) of each window where no placeholder can be."""
     tokens, none = F.col("plain"), F.lit(None).cast("array<string>")
-    return F.transform(_spans(tokens), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, WINDOW)).alias("hash"), none.alias("slots")))
+    return F.transform(_spans(tokens, width), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, width)).alias("hash"), none.alias("slots")))
 
 
-def _slotted_windows(form: str, only: str | None) -> Column:
+def _slotted_windows(form: str, only: str | None, width: Column, least: Column) -> Column:
     """(at, hash, slots) of each window with enough literal words, and with the placeholder ``only`` if there is one."""
     tokens, words = F.col(form), F.col("words")
-    held = F.transform(_spans(tokens), lambda i: F.struct(i.alias("at"), F.slice(tokens, i, WINDOW).alias("w")))
+    held = F.transform(_spans(tokens, width), lambda i: F.struct(i.alias("at"), F.slice(tokens, i, width).alias("w")))
 
     def fits(x: Column) -> Column:
-        literal = F.size(F.filter(x["w"], lambda w: ~w.startswith("<"))) >= LITERAL
+        literal = F.size(F.filter(x["w"], lambda w: ~w.startswith("<"))) >= least
         return literal & F.array_contains(x["w"], only) if only else literal
 
     def slots(x: Column) -> Column:
-        return F.filter(F.zip_with(x["w"], F.slice(words, x["at"], WINDOW), lambda c, w: F.when(c.startswith("<"), w)), lambda w: w.isNotNull())
+        return F.filter(F.zip_with(x["w"], F.slice(words, x["at"], width), lambda c, w: F.when(c.startswith("<"), w)), lambda w: w.isNotNull())
 
     return F.transform(F.filter(held, fits), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["w"]).alias("hash"), slots(x).alias("slots")))
 
 
+def _formed_windows(formed: DataFrame, keys: list[str], widths: list[tuple[Column, Column]]) -> DataFrame:
+    """The windows of each width with so many literal words at least."""
+    every = []
+    for width, least in widths:
+        every.append(F.when(F.col("counted"), _slotted_windows("plain", None, width, least)).otherwise(_plain_windows(width)))
+        every.append(F.when(F.col("named"), _slotted_windows("typed", "<name>", width, least)))
+    names = [f"x{k}" for k in range(len(every))]
+    both = formed.select(*keys, F.col("named"), *(x.alias(n) for x, n in zip(every, names, strict=True)))
+    plain = F.concat(*names[::2]) if len(widths) > 1 else F.col(names[0])
+    all_of = F.when(F.col("named"), F.concat(*names)).otherwise(plain)
+    return both.select(*keys, F.explode(all_of).alias("x")).select(*keys, "x.at", "x.hash", "x.slots")
+
+
 def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at, hash, slots): a row for each window of each form of ``rows.text``."""
-    formed = _forms(_tokens(rows.select(*keys, "text")))
-    plain = F.when(F.col("counted"), _slotted_windows("plain", None)).otherwise(_plain_windows())
-    typed = F.when(F.col("named"), _slotted_windows("typed", "<name>"))
-    both = formed.select(*keys, plain.alias("plain"), typed.alias("typed"))
-    all_of = F.when(F.col("typed").isNull(), F.col("plain")).otherwise(F.concat("plain", "typed"))
-    return both.select(*keys, F.explode(all_of).alias("x")).select(*keys, "x.at", "x.hash", "x.slots")
+    return _formed_windows(_forms(_tokens(rows.select(*keys, "text"))), keys, [(F.lit(WINDOW), F.lit(LITERAL))])
+
 
+def _question_windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, kind, width, item_at, hash, item_slots, loose) of the questions.
+
+    Kind long: windows of WINDOW tokens.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates()
+    formed = _forms(_tokens(rows)).withColumn("n", F.size("plain"))
+    kind = lambda name, width, least: F.struct(F.lit(name).alias("kind"), width.alias("width"), least.alias("least"))
+    kinds = F.array(F.when(F.col("n") >= WINDOW, kind("long", F.lit(WINDOW), F.lit(LITERAL))))
+    formed = formed.withColumn("k", F.explode(F.array_compact(kinds))).select("*", "k.kind", "k.width", "k.least")
+    found = _formed_windows(formed, ["item_id", "kind", "width"], [(F.col("width"), F.col("least"))])
+    found = found.select("item_id", "kind", "width", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
+    loose = (F.col("kind") != "whole") | (2 * F.coalesce(F.size("item_slots"), F.lit(0)) <= F.col("width"))
+    return found.withColumn("loose", loose)
 
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+
+def _consistent(held: Column) -> Column:
+    """The windows of a diagonal whose slots stand as in the question, or for the value that its windows have most often."""
+    pairs = F.flatten(F.transform(held, lambda x: x["pairs"]))
+
+    def usual(q: Column) -> Column:
+        mine = F.transform(F.filter(pairs, lambda p: p["q"] == q), lambda p: p["d"])
+        ranked = F.transform(F.array_distinct(mine), lambda d: F.struct(F.size(F.filter(mine, lambda x: x == d)).alias("n"), (d == q).alias("same"), d.alias("d")))
+        return F.array_max(ranked)["d"]
+
+    known = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["q"])), lambda q: F.struct(q.alias("q"), usual(q).alias("d")))
+    return F.filter(held, lambda x: F.forall(x["pairs"], lambda p: p["q"] == p["d"]) | F.forall(x["pairs"], lambda p: F.array_contains(known, p)))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> DataFrame:
     """(doc_id, text_key, item_id, shift, windows, share, changed): each consistent occurrence of a question in a text.
 
     windows counts the question's places that meet, share is that count over the question's places, changed tells whether a
-    slot has another value than in the question.
+    slot has another value than in the question. With ``veto`` a question's value that stands for two values makes its whole
+    diagonal inconsistent; without, only its windows with the rarer values are left out.
     """
-    questions = windows(benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates(), ["item_id"])
-    questions = questions.select("item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    places = questions.groupBy("item_id").agg(F.count_distinct("item_at").alias("places"))
-    questions = questions.join(places, "item_id")
-    if questions.count() <= BROADCAST_WINDOWS:
+    questions = _question_windows(benchmark)
+    places = questions.groupBy("item_id", "kind", "width").agg(F.count_distinct("item_at").alias("places"))
+    questions = questions.join(places, ["item_id", "kind", "width"])
+    many, widths = questions.agg(F.count("*"), F.collect_set("width")).first()
+    if many <= BROADCAST_WINDOWS:
         questions = F.broadcast(questions)
     rows = spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("text_key", F.xxhash64("text"))
-    met = windows(rows, ["doc_id", "text_key"]).join(questions, "hash")
+    keys = ["doc_id", "text_key"]
+    formed = _forms(_tokens(rows.select(*keys, "text")))
+    met = _formed_windows(formed, keys, [(F.lit(w), F.lit(LITERAL if w == WINDOW else 0)) for w in sorted({*widths, WINDOW})]).join(questions, "hash")
     pairs = F.coalesce(F.arrays_zip(F.col("item_slots").alias("q"), F.col("slots").alias("d")), F.array().cast("array<struct<q:string,d:string>>"))
-    met = met.select("doc_id", "text_key", "item_id", "places", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"))
+    met = met.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("pairs", pairs)
+    met = met.where(F.col("loose") | F.forall("pairs", lambda p: p["q"] == p["d"]))
+    # a diagonal has the windows of one shift, a double one those of two neighbouring shifts: one word more or less parts them
+    ways = F.array(
+        F.when(F.col("kind") != "short", F.struct(F.lit(True).alias("single"), F.col("shift").alias("shift"))),
+    )
+    met = met.withColumn("way", F.explode(F.array_compact(ways))).select(*keys, "item_id", "kind", "width", "places", "way.single", "way.shift", "item_at", "pairs")
     # a diagonal has at most the places of one question, whatever the corpus
-    found = met.groupBy("doc_id", "text_key", "item_id", "places", "shift").agg(F.count_distinct("item_at").alias("windows"), F.collect_set("pairs").alias("pairs"))
-    found = found.where(F.col("windows") >= F.least(F.col("places"), F.lit(NEEDED))).withColumn("pairs", F.array_distinct(F.flatten("pairs")))
-    of = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    found = found.where((of("q") == F.size("pairs")) & (of("d") == F.size("pairs")))
-    return found.select("doc_id", "text_key", "item_id", "shift", "windows", (F.col("windows") / F.col("places")).alias("share"), F.exists("pairs", lambda p: p["q"] != p["d"]).alias("changed"))
+    found = met.groupBy(*keys, "item_id", "kind", "width", "places", "single", "shift").agg(F.collect_set(F.struct("item_at", "pairs")).alias("held"))
+    count = lambda held: F.size(F.array_distinct(F.transform(held, lambda x: x["item_at"])))
+    # one edited word takes at most as many windows as a window has tokens
+    needed = F.least(F.col("places"), F.when(F.col("kind") == "short", F.greatest(F.lit(NEEDED), F.col("places") - F.col("width"))).otherwise(F.lit(NEEDED)))
+    found = found.where(count(F.col("held")) >= needed)
+    if not veto:
+        found = found.withColumn("held", _consistent(F.col("held"))).where(count(F.col("held")) >= needed)
+    found = found.withColumn("windows", count(F.col("held"))).withColumn("pairs", F.array_distinct(F.flatten(F.transform("held", lambda x: x["pairs"]))))
+    if veto:
+        found = found.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["q"]))) == F.size("pairs"))
+    found = found.withColumn("share", F.col("windows") / F.col("places")).withColumn("changed", F.exists("pairs", lambda p: p["q"] != p["d"]))
+    # diagonals that lie side by side are one occurrence, unless they are whole ones: those count each
+    of = Window.partitionBy(*keys, "item_id")
+    begins = F.col("shift") - F.lag("shift").over(of.orderBy("shift")) > 1
+    found = found.withColumn("run", F.sum(F.when(begins, 1).otherwise(0)).over(of.orderBy("shift")))
+    of = Window.partitionBy(*keys, "item_id", "run")
+    found = found.withColumn("any_single", F.max("single").over(of))
+    found = found.withColumn("nth", F.row_number().over(of.orderBy(F.desc("share"), F.desc("windows"), "shift", "kind")))
+    found = found.where(F.when(F.col("any_single"), F.col("single")).otherwise(F.col("nth") == 1))
+    return found.select(*keys, "item_id", "shift", "windows", "share", "changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -142,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no question."""
-    held = occurrences(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
+    """The rows of ``docs`` whose text holds no question, also none whose values were edited here and there."""
+    held = occurrences(docs, benchmark, veto=False).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(held["_doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == held["_text_key"])
     return docs.join(held.hint("shuffle_hash"), same, "left_anti")

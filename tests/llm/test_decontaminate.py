@@ -85,3 +85,19 @@ def test_whole_table(spark, sf):
     assert got == plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
     whole = docs.crossJoin(bench.select("item_id", F.col("text").alias("q"))).where("contains(text, q)").select("doc_id", "item_id").collect()
     assert {(r.doc_id, r.item_id) for r in whole} <= {r[:2] for r in got} and whole
+
+
+def held(spark, question, *texts):
+    """Of each text: whether it has a row, and whether it stays."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, question)], "item_id long, text string")
+    found, kept = {r.doc_id for r in dc.contaminated(docs, items).collect()}, {r.doc_id for r in dc.clean(docs, items).collect()}
+    return [(i in found, i in kept) for i in range(len(texts))]
+
+
+def test_values_that_meet_or_part(spark):
+    q = "On every farm beside the river they keep 3 cows and 5 goats, which eat 5 bales of hay before the long winter ends in the valley."
+    merged = q.replace("3 cows", "4 cows").replace("5", "4")
+    parted = q.replace("5 bales", "6 bales")
+    got = held(spark, q, merged, parted, "On every farm they keep cows.")
+    assert got[0] == (True, False) and not got[1][1] and got[2] == (False, True)
