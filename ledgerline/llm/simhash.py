@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import map_texts, spread, staged
@@ -48,14 +48,16 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; null texts and texts without words have 0."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, key: bool = False) -> DataFrame:
+    """(doc_id, fp), and key of id and text if asked for, of every row; null texts and texts without words have 0."""
+    names = ["doc_id", "key"] if key else ["doc_id"]
+    arrow = pa.schema([(n, pa.int64()) for n in (*names, "fp")])
 
     def run(rows: pa.RecordBatch) -> dict[str, list]:
-        return {"doc_id": rows.column("doc_id").to_pylist(), "fp": [fingerprint(t) for t in rows.column("text").to_pylist()]}
+        return {n: rows.column(n).to_pylist() for n in names} | {"fp": [fingerprint(t) for t in rows.column("text").to_pylist()]}
 
-    return map_texts(spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), run, "doc_id long, fp long", arrow)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", _row_key(F.col("doc_id"), F.col("text")))
+    return map_texts(spread(rows.select(*names, "text")), run, ", ".join(f"{n} long" for n in (*names, "fp")), arrow)
 
 
 def _syndrome(code: Column) -> Column:
@@ -134,6 +136,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """One long for an id and a text, null or not."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """Adds root, the least fingerprint of its component, to nodes with distinct fingerprints."""
+    tied = components(links(nodes.select("fp")))
+    return nodes.join(tied.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
@@ -143,16 +156,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = staged(fingerprints(docs), "prints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    tied = components(links(nodes.select("fp")))
-    rooted = nodes.join(tied.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(nodes)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id (of repeats, the least text)."""
-    stays = near_duplicates(docs).select(F.col("component_id").alias("_stays")).distinct()
-    kept = docs.join(stays.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("_row", first).where("_row = 1").drop("_row")
+    """The rows of ``docs`` that stay: of each component one, with the smallest doc_id (of repeats, the least text hash).
+
+    A component without ids keeps a row as well.
+    """
+    prints = staged(fingerprints(docs, key=True), "prints")
+    nodes = staged(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")), "nodes")
+    stays = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_row"))
+    kept = docs.withColumn("_row", _row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(stays.hint("shuffle_hash"), "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).drop("_row")

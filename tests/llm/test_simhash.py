@@ -76,6 +76,14 @@ def test_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_component(spark):
+    lone = [(None, f"text number {i} with its own words {i * 7} {i * 11} and {i * 13}") for i in range(5)]
+    rows = lone + lone[:2] + [(1, "first text of an id that comes twice"), (1, "quite another story under this same id"), (2, "quite another story under this same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted(lone + rows[7:9], key=str)
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
