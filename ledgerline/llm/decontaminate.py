@@ -22,6 +22,10 @@ WINDOW = 8
 LITERAL = 4
 #: Windows of a question that must meet: so many, or all where it has fewer.
 NEEDED = 3
+#: Questions with fewer tokens than EDITED can be hidden from the long windows by one edited word, so they have windows of
+#: SHORT tokens too, or of SHORTEST if they have fewer tokens than TIGHT.
+EDITED, SHORT = 2 * WINDOW - 1 + NEEDED, 4
+TIGHT, SHORTEST = 10, 3
 #: Benchmark windows up to this many (about 100 bytes each) are broadcast; beyond it the join shuffles both sides.
 BROADCAST_WINDOWS = 500_000
 
@@ -115,12 +119,18 @@ def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _question_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, kind, width, item_at, hash, item_slots, loose) of the questions.
 
-    Kind long: windows of WINDOW tokens.
+    Kind long: windows of WINDOW tokens. Kind short: those of SHORT tokens (SHORTEST below TIGHT), of questions that one
+    edited word can hide from the long ones. Kind whole: a question with fewer tokens than WINDOW, as it stands; loose tells
+    whether it has enough literal words to be known with other values.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates()
     formed = _forms(_tokens(rows)).withColumn("n", F.size("plain"))
     kind = lambda name, width, least: F.struct(F.lit(name).alias("kind"), width.alias("width"), least.alias("least"))
-    kinds = F.array(F.when(F.col("n") >= WINDOW, kind("long", F.lit(WINDOW), F.lit(LITERAL))))
+    n, long = F.col("n"), F.col("n") >= WINDOW
+    kinds = F.array(
+        F.when(long, kind("long", F.lit(WINDOW), F.lit(LITERAL))), F.when((n > 0) & ~long, kind("whole", n, F.lit(0))),
+        F.when(long & (n < TIGHT), kind("short", F.lit(SHORTEST), F.lit(SHORTEST // 2 + 1))).when(long & (n < EDITED), kind("short", F.lit(SHORT), F.lit(SHORT // 2))),
+    )
     formed = formed.withColumn("k", F.explode(F.array_compact(kinds))).select("*", "k.kind", "k.width", "k.least")
     found = _formed_windows(formed, ["item_id", "kind", "width"], [(F.col("width"), F.col("least"))])
     found = found.select("item_id", "kind", "width", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
@@ -164,6 +174,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> Dat
     # a diagonal has the windows of one shift, a double one those of two neighbouring shifts: one word more or less parts them
     ways = F.array(
         F.when(F.col("kind") != "short", F.struct(F.lit(True).alias("single"), F.col("shift").alias("shift"))),
+        *(F.when(F.col("kind") != "whole", F.struct(F.lit(False).alias("single"), (F.col("shift") - k).alias("shift"))) for k in (0, 1)),
     )
     met = met.withColumn("way", F.explode(F.array_compact(ways))).select(*keys, "item_id", "kind", "width", "places", "way.single", "way.shift", "item_at", "pairs")
     # a diagonal has at most the places of one question, whatever the corpus
@@ -193,8 +204,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, occurrences, windows, share, changed): the questions that each text holds; clean texts have no row.
 
     windows and share are those of the fullest occurrence; changed tells whether all occurrences have other slot values than
-    the question. Null texts and questions, and those with fewer than WINDOW tokens or too few literal words, hold and are
-    nothing. Rows that repeat an id and text count as one; null ids are kept. Other columns are ignored.
+    the question. Null texts and questions, and longer ones with too few literal words, hold and are nothing; a question with
+    fewer than WINDOW tokens is held where it stands whole. Rows that repeat an id and text count as one; null ids are kept. Other columns are ignored.
     """
     found = occurrences(docs, benchmark).drop("text_key").distinct()
     return found.groupBy("doc_id", "item_id").agg(

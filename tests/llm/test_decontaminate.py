@@ -101,3 +101,16 @@ def test_values_that_meet_or_part(spark):
     parted = q.replace("5 bales", "6 bales")
     got = held(spark, q, merged, parted, "On every farm they keep cows.")
     assert got[0] == (True, False) and not got[1][1] and got[2] == (False, True)
+
+
+def test_one_edited_word(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru") for b in ("ben", "dor", "fis", "gul", "ham")]
+    for n in (8, 10, 15, 18):
+        q = words[:n]
+        edits = [" ".join(q[:k] + ["zzz"] + q[k + 1 :]) for k in (0, n // 2, n - 1)] + [" ".join(q[:k] + ["zzz"] + q[k:]) for k in (1, n // 2)]
+        assert held(spark, " ".join(q), *edits, " ".join(q[: n // 2]), " ".join(reversed(q))) == [(True, False)] * 5 + [(False, True)] * 2, n
+
+
+def test_questions_below_the_window(spark):
+    assert held(spark, "What is 7 times 8?", "He asks: what is 7 times 8? Then goes.", "what is 7 times 9", "what is seven") == [(True, False), (True, False), (False, True)]
+    assert held(spark, "7 + 8 = 15", "so 7 + 8 = 15 it is", "so 6 + 8 = 14 it is") == [(True, False), (False, True)]
