@@ -1,7 +1,8 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-A text block is a line, or overlapping windows of a long one; a template is the set of words of a license statement. A block
-matches a template if it has at least the threshold's share of the template's words. The join is exact: tokens are ordered by
+A text block is one of overlapping windows of the words of a text, short ones for short statements and long ones for the
+others; a template is the set of words of a license statement. A block matches a template if it has at least the threshold's
+share of the template's words, and a phrase that tells it from its kin. The join is exact: tokens are ordered by
 their frequency in all blocks of the corpus, rarest first. A template has ``size - need + 1`` prefix tokens, a block as many of
 its own, and a pair that reaches ``need`` common tokens shares one of them; the length filter drops blocks with fewer than
 ``need`` tokens, and the positional filter drops pairs whose remaining tokens cannot reach it. Words that no template has
@@ -20,45 +21,54 @@ from ledgerline.llm.common import spread, staged
 # The phrases that are looked for word by word, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Statements of public licenses in lower-case words, with their labels.
+# Statements of public licenses in lower-case words: label, words, and a phrase that tells the license from its
+# kin and must stand in the block.
 TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("reserved", "all rights reserved"),
-]
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "licensed under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "granted free of charge"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
+    ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "terms of the gnu general public license"),
+    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", "cc by nc nd 4 0"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4 0"),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
+    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+]
 
 #: A block matches a template if it has at least this share of its words.
 THRESHOLD = (4, 5)
+#: Words of a chunk; blocks are runs of 2 chunks for statements of at most CHUNK words, else of twice LONG chunks, at every
+#: chunk or every LONG ones, so that a whole statement lies in one of them wherever its lines end.
+CHUNK, LONG = 12, 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BETWEEN = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class Template:
-    """A statement as a set of words; ``need`` of them make a match."""
+    """A statement as a set of words; ``need`` of them make a match, if the phrase stands there too."""
 
-    def __init__(self, number: int, label: str, words: str) -> None:
-        self.number, self.label = number, label
+    def __init__(self, number: int, label: str, words: str, phrase: str) -> None:
+        self.number, self.label, self.phrase = number, label, phrase
         self.tokens = list(dict.fromkeys(words.split()))
         self.size = len(self.tokens)
         self.need = -(-THRESHOLD[0] * self.size // THRESHOLD[1])
+        self.long = len(words.split()) > CHUNK
 
 
 def templates() -> list[Template]:
-    return [Template(n, label, words) for n, (label, words) in enumerate(TEMPLATES)]
-
-
-def stride() -> int:
-    """A run of so many words lies whole in a block of twice as many."""
-    return max(len(words.split()) for _, words in TEMPLATES)
+    every = [Template(n, *row) for n, row in enumerate(TEMPLATES)]
+    assert all(len(words.split()) <= CHUNK * LONG for _, words, _ in TEMPLATES)
+    return every
 
 
 def _lowered(text: Column) -> Column:
@@ -67,9 +77,9 @@ def _lowered(text: Column) -> Column:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """Of each row: its lines with words parted by single spaces, and all its words between single spaces."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.regexp_replace(_lowered(F.col("text")), _BETWEEN, " ").alias("lines"))
-    return rows.withColumn("padded", F.concat(F.lit(" "), F.trim(F.regexp_replace("lines", "[ \n]+", " ")), F.lit(" ")))
+    """Of each row all its words, between single spaces."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.regexp_replace(_lowered(F.col("text")), _BETWEEN, " ").alias("t"))
+    return rows.withColumn("padded", F.concat(F.lit(" "), F.trim("t"), F.lit(" "))).drop("t")
 
 
 def _spaces(text: Column) -> Column:
@@ -90,7 +100,7 @@ def _phrases(rows: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         "text_key",
-        "lines",
+        "padded",
         F.when(padded == "  ", F.lit(0)).otherwise(_spaces(padded) - 1).cast("long").alias("n_words"),
         F.when(some, F.regexp_count(padded, F.lit(f"(?<= )(?:{either})(?= )"))).otherwise(0).cast("long").alias("n_base"),
         F.when(some, _spaces(before_first) - 1).cast("long").alias("first_word"),
@@ -99,26 +109,38 @@ def _phrases(rows: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(lines: Column, vocabulary: list[str]) -> Column:
-    """The blocks of a text, each as its distinct template words; blocks without any are left out."""
-    step = stride()
+def _chunks(padded: Column, vocabulary: list[str]) -> Column:
+    """Of each run of CHUNK words in turn the words that some template has."""
+    words = F.split(F.trim(padded), " ")
+    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(CHUNK))
+    return F.transform(starts, lambda s: F.filter(F.slice(words, s + 1, CHUNK), lambda w: w.isin(vocabulary)))
+
+
+def _blocks(chunks: Column, rare: tuple[list[str], list[str]]) -> Column:
+    """(long, tokens, line) of the blocks of a text that have a prefix token of a short or of a long template.
+
+    line has the block's template words in their order, between spaces.
+    """
 
-    def cut(line: Column) -> Column:
-        words = F.split(line, " ")
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - step - 1, F.lit(0)), F.lit(step))
-        return F.transform(starts, lambda s: F.array_distinct(F.filter(F.slice(words, s + 1, 2 * step), lambda w: w.isin(vocabulary))))
+    def of(long: bool) -> Column:
+        step, wide, prefix = (LONG, 2 * LONG, rare[1]) if long else (1, 2, rare[0])
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chunks) - step - 1, F.lit(0)), F.lit(step))
+        every = F.transform(starts, lambda s: F.flatten(F.slice(chunks, s + 1, wide)))
+        near = F.filter(every, lambda b: F.arrays_overlap(b, F.array(*map(F.lit, prefix))))
+        line = lambda b: F.concat(F.lit(" "), F.array_join(b, " "), F.lit(" "))
+        return F.transform(near, lambda b: F.struct(F.lit(long).alias("long"), F.array_distinct(b).alias("tokens"), line(b).alias("line")))
 
-    return F.filter(F.flatten(F.transform(F.split(lines, "\n"), lambda x: cut(F.trim(x)))), lambda b: F.size(b) > 0)
+    return F.concat(of(False), of(True))
 
 
-def _prefixes(spark, order: list[str]) -> DataFrame:
-    """(token, template, label, size, need, pos): the prefix of every template in the corpus order."""
-    rank = {t: i for i, t in enumerate(order)}
-    rows = []
-    for t in templates():
-        ordered = sorted(t.tokens, key=rank.__getitem__)
-        rows += [(token, t.number, t.label, t.size, t.need, pos) for pos, token in enumerate(ordered[: t.size - t.need + 1])]
-    return spark.createDataFrame(rows, "token string, template int, label string, size int, need int, pos int")
+def _prefix(template: Template, rank: dict[str, int]) -> list[str]:
+    return sorted(template.tokens, key=rank.__getitem__)[: template.size - template.need + 1]
+
+
+def _prefixes(spark, rank: dict[str, int]) -> DataFrame:
+    """(token, long, template, size, need, pos): the prefix of every template in the corpus order."""
+    rows = [(token, t.long, t.number, t.size, t.need, pos) for t in templates() for pos, token in enumerate(_prefix(t, rank))]
+    return spark.createDataFrame(rows, "token string, long boolean, template int, size int, need int, pos int")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -126,30 +148,35 @@ def scan(docs: DataFrame) -> DataFrame:
 
     n_base counts the places of PHRASES, with the word numbers of the first and last of them (null without any); labels has
     the phrases' labels and those of matching templates; score is the largest share of a matching template's words in a
-    block, 1.0 where a phrase stands (it may cross a line's end), 0.0 without a match. Null texts count as empty: no words,
+    block, 1.0 where a phrase stands, 0.0 without a match; both may cross lines. Null texts count as empty: no words,
     empty labels, score 0. Repeated rows and null ids give a row each; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
     all_templates = templates()
     vocabulary = sorted({w for t in all_templates for w in t.tokens})
     rows = _phrases(_words(spread(docs)))
-    rows = staged(rows.withColumn("blocks", _blocks(F.col("lines"), vocabulary)).drop("lines"), "license-blocks")
-    blocks = rows.select("doc_id", "text_key", F.explode("blocks").alias("tokens"))
-    seen = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
-    prefixes = _prefixes(spark, order)
-    in_prefix = sorted({w for t in all_templates for w in sorted(t.tokens, key=order.index)[: t.size - t.need + 1]})
-    # blocks in corpus order; those without any template's prefix token have no partner
-    ordered = F.filter(F.array(*map(F.lit, order)), lambda w: F.array_contains(F.col("tokens"), w))
-    near = blocks.where(F.arrays_overlap("tokens", F.array(*map(F.lit, in_prefix)))).select("doc_id", "text_key", ordered.alias("tokens"))
-    near = near.select("doc_id", "text_key", "tokens", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "token"))
-    joined = near.join(F.broadcast(prefixes), "token")
+    rows = staged(rows.withColumn("chunks", _chunks(F.col("padded"), vocabulary)).drop("padded"), "license-chunks")
+    seen = {r["token"]: r["n"] for r in rows.select(F.explode(F.flatten("chunks")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
+    rare = tuple(sorted({w for t in all_templates if t.long == long for w in _prefix(t, rank)}) for long in (False, True))
+    some = F.exists("chunks", lambda c: F.arrays_overlap(c, F.array(*map(F.lit, sorted({*rare[0], *rare[1]})))))
+    blocks = rows.where(some).select("doc_id", "text_key", F.explode(_blocks(F.col("chunks"), rare)).alias("b")).select("doc_id", "text_key", "b.long", "b.tokens", "b.line")
+    # in corpus order
+    ordered = F.filter(F.array(*map(F.lit, rank)), lambda w: F.array_contains("tokens", w))
+    near = blocks.select("doc_id", "text_key", "long", "line", ordered.alias("tokens"))
+    near = near.select("doc_id", "text_key", "long", "line", "tokens", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "token"))
+    joined = near.join(F.broadcast(_prefixes(spark, rank)), ["token", "long"])
     joined = joined.where("length >= need AND at <= length - need AND 1 + least(size - pos - 1, length - at - 1) >= need")
-    wanted = F.element_at(F.array(*(F.array(*map(F.lit, t.tokens)) for t in all_templates)), F.col("template") + 1)
-    matched = joined.withColumn("common", F.size(F.array_intersect("tokens", wanted))).where("common >= need")
-    found = matched.groupBy("doc_id", "text_key").agg(F.max(F.col("common") / F.col("size")).alias("best"), F.collect_set("label").alias("more"))
+
+    def told(values: list) -> Column:
+        return F.element_at(F.array(*(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in values)), F.col("template") + 1)
+
+    matched = joined.withColumn("common", F.size(F.array_intersect("tokens", told([t.tokens for t in all_templates])))).where("common >= need")
+    matched = matched.where(F.contains("line", told([f" {t.phrase} " for t in all_templates])))
+    label = told([t.label for t in all_templates])
+    found = matched.groupBy("doc_id", "text_key").agg(F.max(F.col("common") / F.col("size")).alias("best"), F.collect_set(label).alias("more"))
     found = found.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
-    both = rows.drop("blocks").join(found, (rows["text_key"] == found["_text_key"]) & rows["doc_id"].eqNullSafe(found["_doc_id"]), "left")
+    both = rows.drop("chunks").join(found, (rows["text_key"] == found["_text_key"]) & rows["doc_id"].eqNullSafe(found["_doc_id"]), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(0.0), F.coalesce("best", F.lit(0.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
@@ -159,22 +186,25 @@ def scan_sql() -> str:
     """The same rows by comparing every block with every template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    step = stride()
-    values = ", ".join(f"('{t.label}', {t.size}, {t.need}, {t.tokens!r})" for t in templates())
+    vocabulary = sorted({w for t in templates() for w in t.tokens})
+    values = ", ".join(f"('{t.label}', {str(t.long).upper()}, {t.size}, {t.need}, {t.tokens!r}, ' {t.phrase} ')" for t in templates())
     hits = ", ".join(
         f"CASE WHEN {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))} THEN '{label}' END" for p, label in PHRASES.items()
     )
+    blocks = lambda long, step: (
+        f"SELECT rid, {long} AS long, list_filter(w[s * {CHUNK} + 1 : (s + {2 * step}) * {CHUNK}], lambda x: list_contains({vocabulary!r}, x)) AS block"
+        f" FROM (SELECT rid, w, unnest(generate_series(0, greatest(CAST(ceil(len(w) / {CHUNK}) AS BIGINT) - {step} - 1, 0), {step})) AS s FROM w WHERE len(w) > 0)"
+    )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{up}', '{low}') AS t FROM documents),
 w AS (SELECT rid, doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
 p AS (SELECT rid, i, coalesce({hits}) AS label FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM w)),
 b AS (SELECT rid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list_distinct(list(label))) AS base
       FROM p WHERE label IS NOT NULL GROUP BY rid),
-l AS (SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS lw FROM d),
-k AS (SELECT rid, list_distinct(lw[s + 1 : s + {2 * step}]) AS block
-      FROM (SELECT rid, lw, unnest(generate_series(0, greatest(len(lw) - {step} - 1, 0), {step})) AS s FROM l WHERE len(lw) > 0)),
+k AS ({blocks("FALSE", 1)} UNION ALL {blocks("TRUE", LONG)}),
 m AS (SELECT rid, label, len(list_intersect(block, tokens)) / size AS share
-      FROM k, (VALUES {values}) AS v(label, size, need, tokens) WHERE len(list_intersect(block, tokens)) >= need),
+      FROM k JOIN (VALUES {values}) AS v(label, long, size, need, tokens, phrase) USING (long)
+      WHERE len(list_intersect(block, tokens)) >= need AND contains(' ' || array_to_string(block, ' ') || ' ', phrase)),
 g AS (SELECT rid, max(share) AS best, list(DISTINCT label) AS more FROM m GROUP BY rid)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
