@@ -111,9 +111,13 @@ def _phrases(rows: DataFrame) -> DataFrame:
 
 def _chunks(padded: Column, vocabulary: list[str]) -> Column:
     """Of each run of CHUNK words in turn the words that some template has."""
-    words = F.split(F.trim(padded), " ")
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(CHUNK))
-    return F.transform(starts, lambda s: F.filter(F.slice(words, s + 1, CHUNK), lambda w: w.isin(vocabulary)))
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(CHUNK))
+        return F.transform(starts, lambda s: F.filter(F.slice(words, s + 1, CHUNK), lambda w: w.isin(vocabulary)))
+
+    # an array around the words, so that they are split once and not at each chunk
+    return F.get(F.transform(F.array(F.split(F.trim(padded), " ")), cut), F.lit(0))
 
 
 def _blocks(chunks: Column, rare: tuple[list[str], list[str]]) -> Column:
