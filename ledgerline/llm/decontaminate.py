@@ -28,6 +28,8 @@ EDITED, SHORT = 2 * WINDOW - 1 + NEEDED, 4
 TIGHT, SHORTEST = 10, 3
 #: Benchmark windows up to this many (about 100 bytes each) are broadcast; beyond it the join shuffles both sides.
 BROADCAST_WINDOWS = 500_000
+#: Up to so many questions with short windows, only texts with one of their telling words get short windows; no result changes.
+GATED = 5_000
 
 # Units that may follow a number.
 UNITS = (
@@ -98,12 +100,13 @@ def _slotted_windows(form: str, only: str | None, width: Column, least: Column)
     return F.transform(F.filter(held, fits), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["w"]).alias("hash"), slots(x).alias("slots")))
 
 
-def _formed_windows(formed: DataFrame, keys: list[str], widths: list[tuple[Column, Column]]) -> DataFrame:
-    """The windows of each width with so many literal words at least."""
+def _formed_windows(formed: DataFrame, keys: list[str], widths: list[tuple[Column, Column, Column | None]]) -> DataFrame:
+    """The windows of each width with so many literal words at least, of rows where a condition holds (if there is one)."""
     every = []
-    for width, least in widths:
-        every.append(F.when(F.col("counted"), _slotted_windows("plain", None, width, least)).otherwise(_plain_windows(width)))
-        every.append(F.when(F.col("named"), _slotted_windows("typed", "<name>", width, least)))
+    for width, least, where in widths:
+        only = lambda windows, where=where: windows if where is None else F.when(where, windows).otherwise(F.array())
+        every.append(only(F.when(F.col("counted"), _slotted_windows("plain", None, width, least)).otherwise(_plain_windows(width))))
+        every.append(F.when(F.col("named"), only(_slotted_windows("typed", "<name>", width, least))))
     names = [f"x{k}" for k in range(len(every))]
     both = formed.select(*keys, F.col("named"), *(x.alias(n) for x, n in zip(every, names, strict=True)))
     plain = F.concat(*names[::2]) if len(widths) > 1 else F.col(names[0])
@@ -113,7 +116,7 @@ def _formed_windows(formed: DataFrame, keys: list[str], widths: list[tuple[Colum
 
 def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at, hash, slots): a row for each window of each form of ``rows.text``."""
-    return _formed_windows(_forms(_tokens(rows.select(*keys, "text"))), keys, [(F.lit(WINDOW), F.lit(LITERAL))])
+    return _formed_windows(_forms(_tokens(rows.select(*keys, "text"))), keys, [(F.lit(WINDOW), F.lit(LITERAL), None)])
 
 
 def _question_windows(benchmark: DataFrame) -> DataFrame:
@@ -132,12 +135,37 @@ def _question_windows(benchmark: DataFrame) -> DataFrame:
         F.when(long & (n < TIGHT), kind("short", F.lit(SHORTEST), F.lit(SHORTEST // 2 + 1))).when(long & (n < EDITED), kind("short", F.lit(SHORT), F.lit(SHORT // 2))),
     )
     formed = formed.withColumn("k", F.explode(F.array_compact(kinds))).select("*", "k.kind", "k.width", "k.least")
-    found = _formed_windows(formed, ["item_id", "kind", "width"], [(F.col("width"), F.col("least"))])
+    found = _formed_windows(formed, ["item_id", "kind", "width"], [(F.col("width"), F.col("least"), None)])
     found = found.select("item_id", "kind", "width", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
     loose = (F.col("kind") != "whole") | (2 * F.coalesce(F.size("item_slots"), F.lit(0)) <= F.col("width"))
     return found.withColumn("loose", loose)
 
 
+def _short_gate(benchmark: DataFrame) -> Column | None:
+    """Whether a text (with its words) can hold a question that has short or whole windows; None if that cannot be told cheaply.
+
+    An edited word takes at most as many windows as a window has words. So of two literal words of a question, one of them
+    inside it (its windows alone are that many), a text that holds the question has one; the rarest in the benchmark are taken.
+    A question that is held as it stands needs one.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates()
+    formed = _forms(_tokens(rows)).withColumn("n", F.size("plain"))
+    each = formed.select("item_id", "n", F.hash("words").alias("key"), F.posexplode(F.arrays_zip("words", "plain", F.coalesce("typed", "plain").alias("typed"))).alias("at", "x"))
+    each = each.select("item_id", "key", "n", "at", F.col("x.words").alias("word"), (~F.col("x.plain").startswith("<") & (F.col("x.typed") != "<name>")).alias("literal"))
+    often = each.groupBy("word").agg(F.count("*").alias("often"))
+    short = each.where(F.col("n") < EDITED)
+    width = F.when(F.col("n") < TIGHT, SHORTEST).otherwise(SHORT)
+    inside = (F.col("n") < WINDOW) | F.col("at").between(width - 1, F.col("n") - width)
+    best = Window.partitionBy("item_id", "key", "n").orderBy(F.desc("literal"), F.desc(inside), "often", F.desc(F.length("word")), "word", "at")
+    two = short.join(often, "word").withColumn("inside", inside & F.col("literal")).withColumn("nth", F.row_number().over(best)).where("nth <= 2")
+    told = F.when(F.col("n") < WINDOW, F.bool_or("inside")).otherwise(F.bool_or("inside") & (F.count_if("literal") == 2))
+    kept = two.groupBy("item_id", "key", "n").agg(told.alias("told"), F.collect_set("word").alias("words")).select("told", "words").limit(GATED + 1).collect()
+    if len(kept) > GATED or not all(r["told"] for r in kept):
+        return None
+    words = sorted({w for r in kept for w in r["words"]})
+    return F.exists("words", lambda w: w.isin(words)) if words else F.lit(False)
+
+
 def _consistent(held: Column) -> Column:
     """The windows of a diagonal whose slots stand as in the question, or for the value that its windows have most often."""
     pairs = F.flatten(F.transform(held, lambda x: x["pairs"]))
@@ -167,7 +195,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> Dat
     rows = spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn("text_key", F.xxhash64("text"))
     keys = ["doc_id", "text_key"]
     formed = _forms(_tokens(rows.select(*keys, "text")))
-    met = _formed_windows(formed, keys, [(F.lit(w), F.lit(LITERAL if w == WINDOW else 0)) for w in sorted({*widths, WINDOW})]).join(questions, "hash")
+    short = sorted({*widths} - {WINDOW})
+    if short and (gate := _short_gate(benchmark)) is not None:
+        formed = formed.withColumn("gate", gate)
+    asked = [(F.lit(WINDOW), F.lit(LITERAL), None), *((F.lit(w), F.lit(0), F.col("gate") if "gate" in formed.columns else None) for w in short)]
+    met = _formed_windows(formed, keys, asked).join(questions, "hash")
     pairs = F.coalesce(F.arrays_zip(F.col("item_slots").alias("q"), F.col("slots").alias("d")), F.array().cast("array<struct<q:string,d:string>>"))
     met = met.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("pairs", pairs)
     met = met.where(F.col("loose") | F.forall("pairs", lambda p: p["q"] == p["d"]))

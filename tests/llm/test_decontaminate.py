@@ -114,3 +114,14 @@ def test_one_edited_word(spark):
 def test_questions_below_the_window(spark):
     assert held(spark, "What is 7 times 8?", "He asks: what is 7 times 8? Then goes.", "what is 7 times 9", "what is seven") == [(True, False), (True, False), (False, True)]
     assert held(spark, "7 + 8 = 15", "so 7 + 8 = 15 it is", "so 6 + 8 = 14 it is") == [(True, False), (False, True)]
+
+
+def test_gate_changes_no_row(spark, monkeypatch):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru") for b in ("ben", "dor", "fis", "gul", "ham")]
+    items = spark.createDataFrame([(i, " ".join(words[i : i + n]), "x") for i, n in enumerate((3, 5, 8, 9, 10, 14, 15))] + [(90, "7 + 8 = 15", "x"), (91, "Is 3 of 4 more", "x")], "item_id long, text string, words string")
+    texts = [" ".join(words), " ".join(words[1:5] + ["zzz"] + words[6:]), " ".join(words[::-1]), "so is 5 of 6 more", "7 + 8 = 15", "nothing", None, " ".join(words[2:10]).title()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gated = {k: rows(dc.contaminated(docs, items.where(k))) for k in ("true", "item_id < 90", "item_id = 91")}
+    assert dc._short_gate(items.where("item_id < 90")) is not None and dc._short_gate(items.where("item_id = 90")) is None
+    monkeypatch.setattr(dc, "GATED", -1)
+    assert gated == {k: rows(dc.contaminated(docs, items.where(k))) for k in gated} and len(gated["true"]) > 8
