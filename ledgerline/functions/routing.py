@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerline.functions.payee import DEFAULT, Payee
 from ledgerline.functions.text import channel_key, fold, name_key
 
 SEPARATOR = "\x1f"
 #: Number roles that change between transfers, and those that name a customer.
 VARIABLE_ROLES = ("BANK_PROTOCOL", "BANK_REFERENCE", "REFERENCE_ID", "INVOICE_ID", "INVOICE_CODE", "AMOUNT", "QUANTITY", "RECEIVER_ACCOUNT")
 IDENTITY_ROLES = ("CUSTOMER_ID", "CONTRACT_ID", "MIXED_CODE", "LOCATION_NUMBER")
-# Layouts of collection services.
-FIXED_LAYOUTS = (
-    r"\bo@l_(?:\d+_){5}\d{6}_|ma_gd:\d+\|\d{6},\s*nuoc|atbp:[a-z\d]+\s+tthd\s+nuoc\s+hue|tthd\s+tien\s+nuoc\s+ma\s+kh-|tthd\s+nuoc\s+hue\s*,"
-    r"|\but\s+\d{6}\s+t\d{1,2}n20\d{2}\s+cap\s+nuoc\s+hue|^mb\.\d+-\d+-\d{8}-\d{6}-\d+\.\d{8}\.[^.]*water supply[^.]*\."
-)
+# Layouts of collection services; {city} is the payee's, {receiver} its name.
+FIXED_LAYOUTS = [
+    r"\bo@l_(?:\d+_){5}\d{6}_",
+    r"ma_gd:\d+\|\d{6},\s*nuoc",
+    r"atbp:[a-z\d]+\s+tthd\s+nuoc\s+{city}",
+    r"tthd\s+tien\s+nuoc\s+ma\s+kh-",
+    r"tthd\s+nuoc\s+{city}\s*,",
+    r"\but\s+\d{6}\s+t\d{1,2}n20\d{2}\s+cap\s+nuoc\s+{city}",
+    r"^mb\.\d+-\d+-\d{8}-\d{6}-\d+\.\d{8}\.[^.]*{receiver}[^.]*\.",
+]
 #: Messages by decision reason.
 REASONS = {"unique": "Mã khách hàng trùng khớp.", "shared": "Mã thuộc nhiều khách hàng; cần kiểm tra thủ công.", "unknown": "Chưa có dữ liệu đã xác nhận; cần kiểm tra thủ công."}
 
@@ -48,9 +54,10 @@ def recurring_signature(norm: Column, channel: Column) -> Column:
     return F.sha2(F.concat_ws(SEPARATOR, channel_key(channel), F.array_join(texts, " "), F.array_join(stable, SEPARATOR)), 256)
 
 
-def payment_hint(raw: Column) -> Column:
+def payment_hint(raw: Column, payee: Payee = DEFAULT) -> Column:
     """proxy for a collection service's fixed layout, else unknown."""
-    return F.when(fold(raw).rlike(FIXED_LAYOUTS), "proxy").otherwise("unknown")
+    either = "|".join(p.replace("{city}", payee.city).replace("{receiver}", payee.receiver) for p in FIXED_LAYOUTS)
+    return F.when(fold(raw).rlike(either), "proxy").otherwise("unknown")
 
 
 def payment_route(mode: Column, kind: Column, name: Column) -> Column:

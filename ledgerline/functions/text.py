@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerline.functions.payee import DEFAULT, Payee
+
 # Words of transfer narratives that say nothing about a customer.
 STOP_WORDS = (
     "rem tfr ac o l tt tien nuoc thoi gian gd thanh toan chuyen khoan the tai va cua cho tu den vnd cty cong ty co phan "
@@ -147,8 +149,9 @@ def compare_names(query: Column, history: Column) -> Column:
     return F.when((F.size(q) == 0) | (F.size(h) == 0), "missing").when(q == h, "match").otherwise("mismatch")
 
 
-def water_receiver(c: Column) -> Column:
-    return name_key(c).rlike(r"\b(?:water\s+supply|cap\s+nuoc)\b")
+def water_receiver(c: Column, payee: Payee = DEFAULT) -> Column:
+    """Whether a name is the payee's; a water company of another city is not."""
+    return name_key(c).rlike(payee.receiver)
 
 
 def valid_name(c: Column) -> Column:

@@ -71,12 +71,66 @@ def unique_transfer_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("txn_id", rt.unique_transfer_reference(F.col("norm.numbers")).alias("unique_reference"))
 
 
-@query("slot_context", f"{_NV} SELECT txn_id, 'nuoc kh _ ky #6' AS context FROM nv WHERE txn_id % 5 <> 0")
+@query("slot_context", f"{_NV} SELECT txn_id, CASE WHEN txn_id % 5 <> 0 THEN 'nuoc kh _ ky #6' END AS context FROM nv")
 def slot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nr.normalized(billed(spark, sf_dir).where("txn_id % 5 <> 0"))
+    """Ids of six digits have a context; shorter contract numbers have none."""
+    rows = nr.normalized(billed(spark, sf_dir))
     return rows.select("txn_id", F.explode("norm.numbers").alias("n")).select("txn_id", "n.context")
 
 
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(txn_id, raw): narratives of nine layouts that together hold every role of a number."""
+    n, cid = F.col("o_orderkey"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")
+    digits = lambda k, width: F.lpad((n * k % 10**width).cast("string"), width, "4")
+    raws = [
+        F.concat(F.lit("TT tien nuoc KH "), cid, F.lit(" ky 07/2026")),
+        F.concat(F.lit("So tien "), digits(7, 7), F.lit(" VND Ac:"), digits(31, 11), F.lit(" IDKH:"), cid),
+        F.concat(F.lit("Hóa đơn số "), digits(3, 7), F.lit(" TKThe:"), digits(5, 8), F.lit(" tiền nước mã KH-"), cid, F.lit(" tháng 7 năm 2026")),
+        F.concat(F.lit("9"), digits(9, 15), F.lit("Thanh toan 2CHUYEN tien nuoc danh bo "), cid, F.lit(" T8N2026")),
+        F.concat(F.lit("MA_GD:"), digits(11, 9), F.lit("|"), cid, F.lit(",Nuoc8/2026#Nguyen Van A#")),
+        F.concat(F.lit("@@"), digits(13, 12), F.lit("@@_chiho_ tieu thu "), (n % 90 + 1).cast("string"), F.lit("m3 ref "), digits(17, 6), F.lit(" hop dong AB-"), digits(19, 6)),
+        F.concat(F.lit("ID: "), cid, F.lit(" 035285, 046165 tien nuoc ABC"), digits(23, 3), F.lit("X2 ngay 13/09/2026")),
+        F.concat(F.lit("O@L_1_2_3_4_"), digits(29, 8), F.lit("_"), cid, F.lit("_AB"), digits(37, 6), F.lit("_tien nuoc")),
+        F.concat(F.lit("Chuyen tien so "), digits(41, 8), F.lit(" cho 1.500.000 dong")),
+    ]
+    return table(spark, sf_dir, "orders").select(n.alias("txn_id"), F.get(F.array(*raws), (n % len(raws)).cast("int")).alias("raw"))
+
+
+_DIGITS = "lpad(CAST(n * {} % {} AS VARCHAR), {}, '4')"
+_ROLES = [
+    ["CUSTOMER_ID", "cid"],
+    ["AMOUNT", (7, 7), "ACCOUNT_ID", (31, 11), "CUSTOMER_ID", "cid"],
+    ["INVOICE_ID", (3, 7), "CARD_ID", (5, 8), "CUSTOMER_ID", "cid"],
+    ["BANK_REFERENCE", "'9' || " + _DIGITS.format(9, 10**15, 15), "LOCATION_NUMBER", "'2'", "CUSTOMER_ID", "cid"],
+    ["BANK_REFERENCE", (11, 9), "CUSTOMER_ID", "cid"],
+    ["BANK_REFERENCE", (13, 12), "QUANTITY", "(n % 90 + 1) || 'm3'", "REFERENCE_ID", (17, 6), "CONTRACT_ID", "'ab-' || " + _DIGITS.format(19, 10**6, 6)],
+    ["CUSTOMER_ID", "cid", "CUSTOMER_ID", "'035285'", "CUSTOMER_ID", "'046165'", "MIXED_CODE", "'abc' || " + _DIGITS.format(23, 10**3, 3) + " || 'x2'"],
+    [*(x for k in "1234" for x in ("BANK_PROTOCOL", f"'{k}'")), "BANK_REFERENCE", (29, 8), "CUSTOMER_ID", "cid", "INVOICE_CODE", "'ab' || " + _DIGITS.format(37, 10**6, 6)],
+    ["UNKNOWN_NUMBER", (41, 8), "AMOUNT", "'1.500.000'"],
+]
+
+
+def _roles_sql() -> str:
+    value = lambda v: _DIGITS.format(v[0], 10 ** v[1], v[1]) if isinstance(v, tuple) else v
+    rows = [f"SELECT n AS txn_id, {i // 2 + 1} AS slot, '{form[i]}' AS numeric_type, {value(form[i + 1])} AS value FROM o WHERE n % {len(_ROLES)} = {k}" for k, form in enumerate(_ROLES) for i in range(0, len(form), 2)]
+    return "WITH o AS (SELECT o_orderkey AS n, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS cid FROM orders) " + " UNION ALL ".join(rows)
+
+
+@query("narrative_roles", _roles_sql())
+def narrative_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nr.normalized(varied(spark, sf_dir))
+    return rows.select("txn_id", F.explode("norm.numbers").alias("n")).select("txn_id", "n.slot", "n.numeric_type", "n.value")
+
+
+@query(
+    "narrative_periods",
+    "SELECT o_orderkey AS txn_id, CASE WHEN o_orderkey % 9 IN (0, 2) THEN '07/2026' WHEN o_orderkey % 9 IN (3, 4) THEN '08/2026' ELSE '' END AS periods, "
+    "CASE WHEN o_orderkey % 9 IN (0, 2, 3, 4) THEN 'identified' ELSE 'not_found' END AS status FROM orders",
+)
+def narrative_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nr.normalized(varied(spark, sf_dir)).select("txn_id", F.array_join("norm.periods", ",").alias("periods"), F.col("norm.period_status").alias("status"))
+
+
 @query("source_offsets")
 def source_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of turns with their text as written, found through folded offsets."""
@@ -111,17 +165,29 @@ def mask_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.pandas_udf(masked, "string")("t", "p_name").alias("masked"))
 
 
-@query("bank_field_layouts", "SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS customer_id, o_orderkey % 4 <> 3 AS valid FROM orders")
+@query(
+    "bank_field_layouts",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 AND o_orderkey % 3 <> 2 THEN lpad(CAST(o_custkey AS VARCHAR), 6, '0') END AS customer_id,
+       CASE WHEN o_orderkey % 4 <> 3 AND o_orderkey % 3 <> 2 THEN 'Nguyen Van A' END AS name FROM orders""",
+)
 def bank_field_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of a fixed layout by native expressions; a date that does not exist makes the layout void."""
-    cid = F.lpad(F.col("o_custkey").cast("string"), 6, "0")
-    day = F.when(F.col("o_orderkey") % 4 == 3, "20261332").otherwise("20260801")
-    raw = F.concat(F.lit("MB.1-2-"), day, F.lit("-101112-3."), day, F.lit(".CITY WATER SUPPLY JSC."), cid, F.lit(".998877.7/2026.Nguyen Van A..1."))
-    pattern = r"^MB\.(?:\d+-){2}(\d{8})-(\d{6})-\d+\.(\d{8})\.([^.]+)\.(\d{6})\.(\d+)\.((?:0?[1-9]|1[0-2])/20\d{2})\.([^.\d]*)\.\.\d+\.?$"
-    g = lambda i: F.regexp_extract("raw", pattern, i)
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
-    valid = F.try_to_timestamp(F.concat(g(1), g(2)), F.lit("yyyyMMddHHmmss")).isNotNull() & (g(1) == g(3)) & tx.water_receiver(g(4))
-    return rows.select("o_orderkey", g(5).alias("customer_id"), valid.alias("valid"))
+    """Fields of both layouts; a date that does not exist, another city's receiver or no proper name makes a layout void."""
+    n, cid = F.col("o_orderkey"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")
+    day = F.when(n % 4 == 3, "20261332").otherwise("20260801")
+    receiver = F.when(n % 3 == 2, "CTCP CAP NUOC DA NANG").otherwise("CITY WATER SUPPLY JSC")
+    dotted = F.concat(F.lit("MB.1-2-"), day, F.lit("-101112-3."), day, F.lit("."), receiver, F.lit("."), cid, F.lit(".998877.7/2026.Nguyen Van A..1."))
+    name = F.when((n % 4 == 3) | (n % 3 == 2), "N2").otherwise("Nguyen Van A")
+    hashed = F.concat(F.lit("MA_GD:629957609|"), cid, F.lit(",Nuoc8/2026#"), name, F.lit("#"))
+
+    def fields(raw):
+        import pandas as pd
+
+        found = [nr.bank_field(r) for r in raw]
+        return pd.DataFrame({"customer_id": [r[slice(*f["customer"])] if f else None for r, f in zip(raw, found, strict=True)], "name": [nr.bank_name(r) for r in raw]})
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(n % 2 == 0, dotted).otherwise(hashed).alias("raw"))
+    got = F.pandas_udf(fields, "customer_id string, name string")("raw")
+    return rows.select("o_orderkey", got.alias("f")).select("o_orderkey", "f.customer_id", "f.name")
 
 
 @query("receipt_key")
