@@ -19,14 +19,23 @@ from ledgerline.functions import routing as rt
 from ledgerline.functions import sequence as sq
 from ledgerline.functions import text as tx
 from ledgerline.functions import values as vl
-from ledgerline.operators import decide, fusion, knowledge
+from ledgerline.operators import decide, fusion, knowledge, similarity
 from ledgerline.operators.postings import TOKEN_WEIGHTS, token_owners, top_k
 from ledgerline.operators.staging import staged
 
-#: Candidates of a query, hits of a channel, and patterns that a single token may bring into a channel.
-CANDIDATES, CHANNEL_LIMIT, PER_TOKEN = 40, 120, 120
+#: Candidates of a query, hits of a channel, and of one customer in it.
+CANDIDATES, CHANNEL_LIMIT, PER_CUSTOMER = 40, 120, 4
+#: Least trigram similarity of layouts.
+TRIGRAM = 0.3
 #: Retrieval channel of a token family.
-CHANNELS = {"id": "customer_id", "exact": "exact_text", "contract": "identity", "slot-id": "identity", "code": "structured", "detail": "structured", "payer": "payer", "template": "shared_template", "w": "full_text", "n": "postings", "name": "customer_name", "v": "semantic"}
+CHANNELS = {
+    "id": "customer_id", "exact": "exact_text", "contract": "identity", "slot-id": "identity", "code": "structured", "detail": "structured", "payer": "payer",
+    "template": "shared_template", "w": "full_text", "n": "postings", "name": "customer_name", "entity": "name_entity", "v": "semantic",
+}
+#: Recommendations of a query, and owners of a token or name that it takes in.
+OFFERED, OWNERS = 6, 20
+# Scores of what speaks for a customer where no candidate does.
+OFFERS = {"written": 0.59, "bare": 0.35, "payer": 0.45, "contract": 0.55, "slot-id": 0.55, "detail": 0.55, "exact": 0.65, "alias": 0.55, "conflict": 0.3}
 WATER = r"\b(?:tien\s*nuoc|nuoc\s+(?:sinh|sach|may)|phi\s*nuoc|(?:tt|tthd)\s+nuoc|water\s+bill)\b"
 #: Scores that no contradictory evidence may pass.
 GUARD = min(0.59, max(0.0, decide.REVIEW - 0.01))
@@ -39,17 +48,26 @@ class Knowledge:
     postings: DataFrame  # token, weight, pattern_id, customer_id
     memory: DataFrame  # recurring, channel, owners, owner, anchored, personal
     templates: DataFrame  # template_key, customers, most_customers, settled_rows
+    sets: DataFrame  # channel, set_key, token, weight: the distinct token sets of patterns
+    members: DataFrame  # set_key, pattern_id, customer_id: the newest patterns of a set, at most CHANNEL_LIMIT
     negatives: DataFrame | None = None  # text_key, customer_id
+    registry: DataFrame | None = None  # customer_id, name, member: customers that are known without a pattern of their own
 
 
 def _signature(raw):
     return raw.map(nr.identity_signature)
 
 
+def _bank_name(raw):
+    return raw.map(nr.bank_name)
+
+
 def parsed(rows: DataFrame) -> DataFrame:
-    """Adds norm, signature (of names and places), recurring (of texts and stable numbers), template_key, water and text_key."""
+    """Adds norm, signature (of names and places), names (of bank fields), recurring (of texts and stable numbers),
+    template_key, water and text_key."""
     rows = nr.normalized(rows)
-    rows = rows.withColumn("signature", F.pandas_udf(_signature, "string")("raw"))
+    rows = rows.withColumn("signature", F.pandas_udf(_signature, "string")("raw")).withColumn("bank_name", F.pandas_udf(_bank_name, "string")("raw"))
+    rows = rows.withColumn("names", F.array_compact(F.array("bank_name"))).drop("bank_name")
     return rows.select(
         "*", rt.recurring_signature(F.col("norm"), F.col("channel")).alias("recurring"), rt.layout_key(F.col("norm.template"), F.col("norm.structure"), F.col("channel")).alias("template_key"),
         tx.fold(F.col("raw")).rlike(WATER).alias("water"), F.sha2("norm.normalized", 256).alias("text_key"), em.embedding(F.col("norm.semantic_text")).alias("vector"),
@@ -72,17 +90,19 @@ def tokens(owner: Column | None, name: Column | None = None) -> Column:
         "detail": F.when(F.col("signature") != "", F.array(F.sha2("signature", 256))), "w": tx.text_tokens(F.col("norm.normalized")),
         "payer": F.col("norm.payer_accounts"), "contract": F.col("norm.contract_ids"), "code": F.col("norm.mixed_codes"), "slot-id": slots,
         "v": vl.vector_buckets(F.col("vector")), "name": tx.text_tokens(F.coalesce(name, F.lit("")) if name is not None else F.col("norm.normalized")),
+        "entity": tx.text_tokens(F.array_join("names", " ")),
         "n": _roles("ACCOUNT_ID", "CARD_ID", "CUSTOMER_ID", "CONTRACT_ID", "MIXED_CODE", "INVOICE_CODE"),
     }
     none = F.array().cast("array<string>")
 
     def tagged(family: str, values: Column) -> Column:
-        return F.transform(F.coalesce(values, none), lambda t: F.struct(F.concat(F.lit(family + ":"), t).alias("token"), F.lit(TOKEN_WEIGHTS[family]).alias("weight")))
+        weight = TOKEN_WEIGHTS["name" if family == "entity" else family]
+        return F.transform(F.coalesce(values, none), lambda t: F.struct(F.concat(F.lit(family + ":"), t).alias("token"), F.lit(weight).alias("weight")))
 
     return F.array_distinct(F.concat(*(tagged(f, v) for f, v in families.items())))
 
 
-def build(examples: DataFrame, negatives: DataFrame | None = None) -> Knowledge:
+def build(examples: DataFrame, negatives: DataFrame | None = None, registry: DataFrame | None = None) -> Knowledge:
     """Knowledge from confirmed examples (txn_id, cid, channel, raw, period, mode, and the customer's name if known)."""
     if "name" not in examples.columns:
         examples = examples.withColumn("name", F.lit(""))
@@ -92,62 +112,155 @@ def build(examples: DataFrame, negatives: DataFrame | None = None) -> Knowledge:
     last = rows.groupBy(*keys).agg(F.max("txn_id").alias("pattern_id"))
     patterns = rows.join(last.select("pattern_id"), rows["txn_id"] == F.col("pattern_id")).join(state, keys)
     patterns = staged(patterns.select(
-        "pattern_id", F.col("cid").alias("customer_id"), "channel", "norm", "signature", "vector", "template_key", "mode", "seen", "confidence", "text_key", "raw", "name",
+        "pattern_id", F.col("cid").alias("customer_id"), "channel", "norm", "signature", "vector", "template_key", "mode", "seen", "confidence", "text_key", "raw", "name", "names",
     ), "patterns")
     posts = patterns.select("pattern_id", "customer_id", F.explode(tokens(F.col("customer_id"), F.col("name"))).alias("t")).select("t.token", "t.weight", "pattern_id", "customer_id")
     posts = staged(posts, "postings")
+    held = staged(_token_sets(posts, ["pattern_id", "customer_id"]), "pattern-sets")
+    sets = staged(_set_tokens(held), "sets")
+    # a set's patterns score alike, so only its newest ones (a few of a customer) can be among a channel's hits
+    own = top_k(held.select("set_key", "pattern_id", "customer_id"), ["set_key", "customer_id"], [F.desc("pattern_id")], PER_CUSTOMER, "own")
+    cut = top_k(own.withColumn("bucket", F.pmod(F.xxhash64("pattern_id"), F.lit(32))), ["set_key", "bucket"], [F.desc("pattern_id")], CHANNEL_LIMIT, "at")
+    members = staged(top_k(cut, ["set_key"], [F.desc("pattern_id")], CHANNEL_LIMIT, "at").select("set_key", "pattern_id", "customer_id"), "members")
     anchored = F.exists("norm.numbers", lambda n: n["numeric_type"].isin(list(rt.IDENTITY_ROLES)))
     own = anchored | (F.size("norm.payer_accounts") > 0) | (F.size(tx.text_tokens(F.col("norm.normalized"))) >= 2)
-    memory = rows.groupBy("recurring", "channel").agg(F.count_distinct("cid").alias("owners"), F.min("cid").alias("owner"), F.bool_or(anchored).alias("anchored"), F.bool_or(own).alias("personal"))
+    memory = rows.groupBy("recurring", "channel").agg(F.count_distinct("cid").alias("owners"), F.min("cid").alias("owner"), F.array_sort(F.first("names")).alias("memory_names"), F.bool_or(anchored).alias("anchored"), F.bool_or(own).alias("personal"))
     unique = rt.unique_transfer_reference(F.col("norm.numbers"))
     split = rows.groupBy("template_key", "text_key", unique.alias("unique")).agg(F.count_distinct("cid").alias("n"), F.count("*").alias("rows"))
     of_one = F.when(F.col("unique"), F.col("n")).otherwise(1)
     templates = split.groupBy("template_key").agg(F.max(of_one).alias("most_customers"), F.coalesce(F.sum(F.when(of_one >= knowledge.SETTLEMENT, F.col("rows"))), F.lit(0)).alias("settled_rows"))
     customers = rows.groupBy("template_key").agg(F.count_distinct("cid").alias("customers"))
-    return Knowledge(patterns, posts, staged(memory, "memory"), staged(templates.join(customers, "template_key"), "templates"), negatives)
+    return Knowledge(patterns, posts, staged(memory, "memory"), staged(templates.join(customers, "template_key"), "templates"), sets, members, negatives, registry)
+
+
+def _channel(token: Column) -> Column:
+    family = F.substring_index(token, ":", 1)
+    return F.coalesce(*(F.when(family == f, F.lit(c)) for f, c in CHANNELS.items()))
+
+
+def _token_sets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, channel, tokens, set_key) of (keys, token, weight): what each row asks or holds in a channel, as a set."""
+    held = rows.withColumn("channel", _channel(F.col("token"))).where("channel IS NOT NULL")
+    sets = held.groupBy(*keys, "channel").agg(F.array_sort(F.collect_set(F.struct("token", "weight"))).alias("tokens"))
+    return sets.withColumn("set_key", F.md5(F.concat_ws(rt.SEPARATOR, "channel", F.array_join(F.transform("tokens", lambda t: t["token"]), rt.SEPARATOR))))
+
+
+def _set_tokens(sets: DataFrame) -> DataFrame:
+    each = sets.groupBy("set_key", "channel").agg(F.first("tokens").alias("tokens")).select("set_key", "channel", F.explode("tokens").alias("t"))
+    return each.select("channel", "set_key", "t.token", "t.weight")
+
+
+def _scoped(queries: DataFrame, known: Knowledge) -> DataFrame:
+    """(query_id, pattern_id, customer_id, score, place) of queries with a scope: its patterns of the same layout, then the newest."""
+    newest = [F.desc("pattern_id")]
+    held = known.patterns.select("pattern_id", F.col("customer_id").alias("scope"), "template_key")
+    alike = top_k(held, ["scope", "template_key"], newest, CANDIDATES, "at").drop("at")
+    any_ = top_k(held, ["scope"], newest, CANDIDATES, "at").drop("at", "template_key")
+    asked = queries.where("scope IS NOT NULL").select("query_id", "scope", "template_key")
+    same = asked.join(alike, ["scope", "template_key"]).select("query_id", "scope", "pattern_id", F.lit(1.0).alias("score"))
+    found = same.unionByName(asked.join(any_, "scope").select("query_id", "scope", "pattern_id", F.lit(0.0).alias("score")))
+    once = found.groupBy("query_id", "scope", "pattern_id").agg(F.max("score").alias("score"))
+    return top_k(once, ["query_id"], [F.desc("score"), F.desc("pattern_id")], CANDIDATES, "place").select("query_id", "pattern_id", F.col("scope").alias("customer_id"), "score", "place")
+
+
+def _alike_layouts(asked: DataFrame, known: Knowledge) -> DataFrame:
+    """(query_id, channel, set_key, pattern_id, customer_id, score): trigram hits, found between distinct layouts."""
+    layout = lambda rows, template: rows.select(F.md5(template).alias("layout"), tx.squeezed(template).alias("text")).distinct()
+    q = layout(asked, F.col("norm.template")).select(F.col("layout").alias("q"), similarity.trigrams(F.col("text")).alias("set"))
+    p = known.patterns.select(F.md5("norm.template").alias("p"), F.col("norm.template").alias("text"), "pattern_id", "customer_id")
+    own = top_k(p.drop("text"), ["p", "customer_id"], [F.desc("pattern_id")], PER_CUSTOMER, "own")
+    newest = top_k(own, ["p"], [F.desc("pattern_id")], CHANNEL_LIMIT, "at").select("p", "pattern_id", "customer_id")
+    sets = p.select("p", "text").distinct().select("p", similarity.trigrams(F.col("text")).alias("set"))
+    pairs = similarity.set_similarity(q, sets, "q", "p", "set", TRIGRAM)
+    return pairs.join(newest, "p").select(F.col("q").alias("set_key"), F.lit("trigram").alias("channel"), "pattern_id", "customer_id", F.col("similarity").alias("score"))
 
 
 def retrieve(queries: DataFrame, known: Knowledge) -> DataFrame:
-    """(query_id, pattern_id, customer_id, score, place): fused candidates of parsed queries.
+    """(query_id, pattern_id, customer_id, score, place): fused candidates of parsed queries with their scope.
 
-    A token brings at most PER_TOKEN patterns (a budget: ownership is counted elsewhere), so common words and layouts cannot
-    pair every query with every pattern. Patterns of a token are cut in buckets first.
+    Weights are summed over all tokens before any limit. Rows with the same tokens in a channel get the same hits, so sets of
+    tokens are matched, not rows: once for each distinct set of the queries, with the distinct sets of the patterns. A query
+    with one id that one customer owns is scoped to that customer.
     """
-    recent = [F.desc("weight"), F.desc("pattern_id")]
-    cut = top_k(known.postings.withColumn("bucket", F.pmod(F.xxhash64("pattern_id"), F.lit(32))), ["token", "bucket"], recent, PER_TOKEN, "at")
-    cut = top_k(cut, ["token"], recent, PER_TOKEN, "at").drop("at", "bucket")
-    asked = queries.select("query_id", F.explode(tokens(None)).alias("t")).select("query_id", F.col("t.token").alias("token"))
-    family = F.substring_index("token", ":", 1)
-    channel = F.coalesce(*(F.when(F.col("family") == f, F.lit(c)) for f, c in CHANNELS.items()))
-    met = asked.join(cut, "token").withColumn("family", family).where(F.col("family").isin(list(CHANNELS))).withColumn("channel", channel)
-    scored = met.groupBy("query_id", "channel", "pattern_id", "customer_id").agg(F.sum("weight").alias("score"))
+    asked = queries.where("scope IS NULL")
+    sets = staged(_token_sets(asked.select("query_id", F.explode(tokens(None)).alias("t")).select("query_id", "t.token", "t.weight"), ["query_id"]), "query-sets")
+    mine = _set_tokens(sets).select(F.col("set_key").alias("q"), "token")
+    met = mine.join(known.sets, "token").groupBy("q", "channel", "set_key").agg(F.sum("weight").alias("score"))
+    scored = met.join(known.members, "set_key").select(F.col("q").alias("set_key"), "channel", "pattern_id", "customer_id", "score")
+    scored = scored.unionByName(_alike_layouts(asked, known))
     order = [F.desc("score"), F.desc("pattern_id")]
-    own = top_k(scored, ["query_id", "channel", "customer_id"], order, 4, "own")
-    hits = top_k(own, ["query_id", "channel"], order, CHANNEL_LIMIT, "position")
-    return fusion.select_diverse(hits.select("query_id", "channel", "pattern_id", "customer_id", "position"), CANDIDATES)
+    own = top_k(scored, ["set_key", "channel", "customer_id"], order, PER_CUSTOMER, "own")
+    hits = top_k(own, ["set_key", "channel"], order, CHANNEL_LIMIT, "position").select("set_key", "channel", "pattern_id", "customer_id", "position")
+    wanted = sets.select("query_id", "channel", "set_key").unionByName(asked.select("query_id", F.lit("trigram").alias("channel"), F.md5("norm.template").alias("set_key")))
+    found = wanted.join(staged(hits, "hits"), ["set_key", "channel"]).select("query_id", "channel", "pattern_id", "customer_id", "position")
+    return fusion.select_diverse(found, CANDIDATES).unionByName(_scoped(queries, known))
 
 
 def ownership(queries: DataFrame, known: Knowledge) -> DataFrame:
     """(query_id, id_owners, id_owner, lost_contracts, compatible, exact_owners, exact_other): ownership of a query's tokens.
 
-    compatible is the number of customers that own all of its owned identifiers, null if none is owned.
+    compatible is the number of customers that own all of its owned identifiers, null if none is owned. It is counted once for
+    each distinct set of identifiers, from the owners of the rarest one; no token is joined with all its owners otherwise.
     """
     asked = queries.select("query_id", F.col("norm.customer_ids").alias("ids"), F.explode(tokens(None)).alias("t")).select("query_id", "ids", F.col("t.token").alias("token")).withColumn("family", F.substring_index("token", ":", 1))
     asked = asked.where(F.col("family").isin("id", "contract", "code", "slot-id", "exact"))
-    owners = token_owners(known.postings)
-    counted = asked.join(owners, "token", "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
+    held = known.postings.select("token", "customer_id").distinct()
+    counted = staged(asked.join(token_owners(known.postings), "token", "left").withColumn("owners", F.coalesce("owners", F.lit(0))), "owned")
     is_id, exact = F.col("family") == "id", F.col("family") == "exact"
+    own = F.array_sort(F.collect_set(F.when(~exact & (F.col("owners") > 0), F.struct("owners", "token"))))
     per = counted.groupBy("query_id").agg(
         F.max(F.when(is_id, F.col("owners"))).alias("id_owners"), F.max(F.when(is_id, F.col("owner"))).alias("id_owner"),
-        F.count_if((F.col("family") == "contract") & (F.col("owners") == 0)).alias("lost_contracts"), F.max(F.when(exact, F.col("owners"))).alias("exact_owners"),
-        F.count_if(F.col("family").isin("contract", "code", "slot-id", "id") & (F.col("owners") > 0)).alias("owned"),
-    )
-    each = asked.join(known.postings.select("token", "customer_id").distinct(), "token")
-    held = each.where(~exact).groupBy("query_id", "customer_id").agg(F.count_distinct("token").alias("held"))
-    full = held.join(per.select("query_id", "owned"), "query_id").where("held = owned").groupBy("query_id").agg(F.count("*").alias("compatible"))
-    other = each.where(exact & (F.size("ids") > 0) & ~F.array_contains("ids", F.col("customer_id"))).select("query_id").distinct().withColumn("exact_other", F.lit(True))
-    out = per.join(full, "query_id", "left").join(other, "query_id", "left")
-    return out.select("query_id", "id_owners", "id_owner", "lost_contracts", F.when(F.col("owned") > 0, F.coalesce("compatible", F.lit(0))).alias("compatible"), F.coalesce("exact_owners", F.lit(0)).alias("exact_owners"), F.coalesce("exact_other", F.lit(False)).alias("exact_other"))
+        F.count_if((F.col("family") == "contract") & (F.col("owners") == 0)).alias("lost_contracts"), F.max(F.when(exact, F.col("owners"))).alias("exact_owners"), own.alias("held"),
+    ).withColumn("set_key", F.md5(F.array_join(F.transform("held", lambda t: t["token"]), rt.SEPARATOR)))
+    several = per.where(F.size("held") > 1).select("set_key", "held").dropDuplicates(["set_key"])
+    first = several.select("set_key", "held", F.col("held")[0]["token"].alias("token")).join(held, "token").select("set_key", "customer_id", "held")
+    rest = first.select("set_key", "customer_id", F.size("held").alias("n"), F.explode(F.slice("held", 2, F.size("held") - 1)).alias("t")).select("set_key", "customer_id", "n", "t.token")
+    full = rest.join(held, ["token", "customer_id"]).groupBy("set_key", "customer_id", "n").agg(F.count("*").alias("met")).where("met = n - 1")
+    full = several.select("set_key").join(full.groupBy("set_key").agg(F.count("*").alias("found")), "set_key", "left").select("set_key", F.coalesce("found", F.lit(0)).alias("found"))
+    # an owner of the exact text that is none of the written ids: there are more owners than written ids among them
+    among = counted.where(exact).select("query_id", "token", F.explode(F.transform("ids", tx.id_key)).alias("customer_id")).distinct().join(held, ["token", "customer_id"]).groupBy("query_id").agg(F.count("*").alias("among"))
+    written = queries.select("query_id", (F.size("norm.customer_ids") > 0).alias("written"))
+    out = per.join(full, "set_key", "left").join(among, "query_id", "left").join(written, "query_id")
+    compatible = F.when(F.size("held") > 1, F.col("found")).when(F.size("held") == 1, F.col("held")[0]["owners"])
+    exact_owners = F.coalesce("exact_owners", F.lit(0))
+    return out.select("query_id", "id_owners", "id_owner", "lost_contracts", compatible.alias("compatible"), exact_owners.alias("exact_owners"), (F.col("written") & (exact_owners > F.coalesce("among", F.lit(0)))).alias("exact_other"))
+
+
+def recommend(queries: DataFrame, known: Knowledge) -> DataFrame:
+    """(query_id, customer_id, score, sources, rank): what speaks for a customer without a candidate, at most OFFERED of them.
+
+    A written id of a known or registered customer, a bare number that is one, an account, a contract, a learned position, the
+    confirmed text or details, a whole name. Where an id is written, an account, name or bare number of another customer is
+    kept as a hint only. Customers that were rejected for the text are left out.
+    """
+    text = queries.select("query_id", "norm", "text_key", "template_key", "signature", "channel", "names", "vector", F.transform("norm.customer_ids", tx.id_key).alias("written"))
+    people = known.patterns.select("customer_id", "name")
+    if known.registry is not None:
+        people = people.unionByName(known.registry.select("customer_id", "name"))
+    people = people.distinct()
+    numbers = F.transform(F.filter("norm.numbers", lambda n: F.length(n["value"]).eqNullSafe(6) & n["numeric_type"].isin("UNKNOWN_NUMBER", "REFERENCE_ID", "INVOICE_ID", "CONTRACT_ID")), lambda n: n["value"])
+    ids = text.select("query_id", F.explode(F.concat(F.transform("written", lambda v: F.struct(v.alias("v"), F.lit("written").alias("source"))), F.transform(numbers, lambda v: F.struct(tx.id_key(v).alias("v"), F.lit("bare").alias("source"))))).alias("x"))
+    offers = ids.select("query_id", F.col("x.v").alias("customer_id"), "x.source").join(people.select("customer_id").distinct(), "customer_id")
+    details = F.size(tx.text_tokens(F.col("signature"))) >= 2
+    anchored = F.when((F.size("written") > 0) | (F.size("norm.payer_accounts") > 0) | details, F.lit(True)).otherwise(False)
+    asked = text.select("query_id", anchored.alias("anchored"), F.explode(tokens(None)).alias("t")).select("query_id", "anchored", F.col("t.token").alias("token")).withColumn("source", F.substring_index("token", ":", 1))
+    asked = asked.where(F.col("source").isin("payer", "contract", "slot-id") | (F.col("anchored") & F.col("source").isin("exact", "detail")))
+    few = top_k(known.postings.select("token", "customer_id").distinct().join(asked.select("token").distinct(), "token", "left_semi"), ["token"], [F.col("customer_id")], OWNERS, "at").drop("at")
+    offers = offers.unionByName(asked.join(few, "token").select("query_id", "customer_id", "source"))
+    words = F.split("norm.normalized", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - w + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, w), " "))))
+    said = text.select("query_id", F.explode(F.array_distinct(F.concat(runs, F.transform("names", tx.name_key)))).alias("alias"))
+    named = top_k(people.select(tx.name_key(F.col("name")).alias("alias"), "customer_id").where(F.size(F.split("alias", " ")) >= 2).distinct(), ["alias"], [F.col("customer_id")], OWNERS, "at").drop("at")
+    offers = offers.unionByName(said.join(named, "alias").select("query_id", "customer_id", F.lit("alias").alias("source")))
+    score = F.coalesce(*(F.when(F.col("source") == k, F.lit(v)) for k, v in OFFERS.items()))
+    best = offers.groupBy("query_id", "customer_id").agg(F.max(score).alias("score"), F.array_sort(F.collect_set("source")).alias("sources"))
+    best = best.join(text.select("query_id", "written", "text_key"), "query_id")
+    weak = F.size(F.array_except("sources", F.array(*map(F.lit, ("payer", "alias", "bare"))))) == 0
+    conflict = (F.size("written") == 1) & ~F.array_contains("written", F.col("customer_id")) & weak
+    best = best.withColumn("conflict", conflict).withColumn("score", F.when(conflict, F.least("score", F.lit(OFFERS["conflict"]))).otherwise(F.col("score")))
+    if known.negatives is not None:
+        best = best.join(known.negatives.select("text_key", "customer_id").distinct(), ["text_key", "customer_id"], "left_anti")
+    return top_k(best, ["query_id"], [F.desc("score"), F.col("customer_id")], OFFERED).select("query_id", "customer_id", "score", "sources", "conflict", "rank")
 
 
 def _stable(numbers: str) -> Column:
@@ -180,8 +293,8 @@ def compare_numbers(pairs: DataFrame) -> DataFrame:
 
 def score_candidates(queries: DataFrame, known: Knowledge) -> DataFrame:
     """(query_id, customer_id, pattern_id, score, guarded, relevant, why) of every candidate."""
-    p = known.patterns.select("pattern_id", F.col("channel").alias("p_channel"), F.col("norm").alias("h"), F.col("signature").alias("p_signature"), F.col("vector").alias("p_vector"), "template_key", F.col("mode").alias("p_mode"), "seen", "confidence", F.col("raw").alias("p_raw"))
-    q = queries.select("query_id", F.col("norm").alias("q"), "water", "signature", "mode", "raw", "text_key", "compatible", "vector", F.col("channel"))
+    p = known.patterns.select("pattern_id", F.col("channel").alias("p_channel"), F.col("norm").alias("h"), F.col("signature").alias("p_signature"), F.col("vector").alias("p_vector"), "template_key", F.col("mode").alias("p_mode"), "seen", "confidence", F.col("raw").alias("p_raw"), F.col("names").alias("p_names"))
+    q = queries.select("names", "query_id", F.col("norm").alias("q"), "water", "signature", "mode", "raw", "text_key", "compatible", "vector", F.col("channel"))
     pairs = staged(retrieve(queries, known).select("query_id", "pattern_id", "customer_id"), "candidates").join(p, "pattern_id").join(q, "query_id")
     shared = known.templates.select("template_key", F.col("customers").alias("template_customers"))
     pairs = pairs.join(shared, "template_key", "left")
@@ -237,6 +350,7 @@ def score_candidates(queries: DataFrame, known: Knowledge) -> DataFrame:
         "codes": ~F.col("codes_complete"),
         "owner_conflict": F.col("compatible") == 0,
         "shared_layout": proxy & ~numeric,
+        "names": ~F.col("written") & ~numeric & (tx.compare_names(F.col("names"), F.col("p_names")) != "match"),
         "unknown_route": ~proxy & (F.col("mode") == "unknown") & (F.col("p_mode") == "unknown") & ~numeric,
     }
     raised = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in guards.items())))
@@ -246,44 +360,90 @@ def score_candidates(queries: DataFrame, known: Knowledge) -> DataFrame:
     return rows.select("query_id", "customer_id", "pattern_id", F.round(capped, 4).alias("score"), "guards", F.coalesce(relevant, F.lit(False)).alias("relevant"), "why", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
+def _scope(asked: DataFrame, known: Knowledge) -> DataFrame:
+    """Adds scope, the one customer that a single written id means: its owner, else the registered customer in a water payment."""
+    one = F.size(F.array_distinct(F.transform("norm.customer_ids", tx.id_key))) == 1
+    if known.registry is None:
+        return asked.withColumns({"registered": F.lit(None).cast("string"), "member": F.lit(False), "scope": F.when(one & (F.col("id_owners") == 1), F.col("id_owner"))})
+    registry = known.registry.groupBy(tx.id_key(F.col("customer_id")).alias("_id")).agg(F.min("customer_id").alias("registered"), F.max("member").alias("member"))
+    asked = asked.withColumn("_id", F.when(one & (F.coalesce("id_owners", F.lit(0)) == 0), tx.id_key(F.col("norm.customer_ids")[0]))).join(registry, "_id", "left").drop("_id")
+    return asked.withColumn("member", F.coalesce("member", F.lit(False))).withColumn("scope", F.when(one & (F.col("id_owners") == 1), F.col("id_owner")).when(F.col("water"), F.col("registered")))
+
+
+def _allocations(asked: DataFrame, known: Knowledge) -> DataFrame:
+    """(query_id, allocation, unallocated) of queries with several ids: the customers that single ids mean, and the other ids."""
+    several = asked.where(F.size(F.array_distinct(F.transform("norm.customer_ids", tx.id_key))) > 1)
+    ids = several.select("query_id", F.posexplode(F.array_distinct(F.transform("norm.customer_ids", tx.id_key))).alias("n", "value")).withColumn("token", F.concat(F.lit("id:"), "value"))
+    found = ids.join(token_owners(known.postings), "token", "left").withColumn("customer_id", F.col("owner"))
+    if known.registry is not None:
+        registry = known.registry.select(tx.id_key(F.col("customer_id")).alias("value"), F.col("customer_id").alias("listed")).dropDuplicates(["value"])
+        found = found.join(registry, "value", "left").withColumn("customer_id", F.coalesce("listed", "owner"))
+    put = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), ",")
+    told = F.when(F.col("customer_id").isNotNull(), F.struct("n", F.col("customer_id").alias("v")))
+    lost = F.when(F.col("customer_id").isNull(), F.struct("n", F.col("value").alias("v")))
+    return found.groupBy("query_id").agg(put(told).alias("allocation"), put(lost).alias("unallocated"))
+
+
 def classify(rows: DataFrame, known: Knowledge) -> DataFrame:
-    """(query_id, decision, customer_id, score, reason, alternatives) of narratives (query_id, channel, raw, amount, mode)."""
+    """(query_id, decision, customer_id, score, reason, alternatives, allocation, unallocated) of narratives (query_id, channel,
+    raw, amount, mode). allocation lists the customers of a transfer for several ids; money is never split."""
     queries = staged(parsed(rows), "queries")
     owned = ownership(queries, known)
     asked = queries.join(owned, "query_id", "left").join(known.memory, ["recurring", "channel"], "left")
-    asked = asked.join(known.templates.select("template_key", "most_customers", "settled_rows"), "template_key", "left")
+    asked = asked.join(known.templates.select("template_key", "customers", "most_customers", "settled_rows"), "template_key", "left")
+    asked = _scope(asked, known)
     if known.negatives is not None:
         blocked = known.negatives.select("text_key", F.col("customer_id").alias("owner")).distinct().withColumn("owner_blocked", F.lit(True))
         asked = asked.join(blocked, ["text_key", "owner"], "left")
     else:
         asked = asked.withColumn("owner_blocked", F.lit(None).cast("boolean"))
-    asked = staged(asked, "asked")
-    scored = score_candidates(asked.select(*queries.columns, "compatible"), known).where("relevant AND NOT blocked")
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "customer_id").orderBy(F.desc("score"), "pattern_id"))).where("n = 1").drop("n")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "customer_id")
-    ranked = best.withColumn("n", F.row_number().over(w)).withColumn("runner_up", F.lead("score").over(w)).where(F.col("n") <= 6)
-    first = F.max(F.when(F.col("n") == 1, F.struct(F.col("customer_id").alias("best"), F.col("score").alias("best_score"), "guards", "why", "runner_up")))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "customer_id"))), lambda x: x["customer_id"]), ",")
-    top = ranked.groupBy("query_id").agg(first.alias("b"), listed.alias("alternatives"))
-    all_of = asked.join(top, "query_id", "left")
+    asked = asked.join(_allocations(asked, known), "query_id", "left")
     ids, m = F.size("norm.customer_ids"), F.col("owners")
     anchored, owner = F.coalesce("anchored", F.lit(False)), F.col("owner")
     settled = (F.coalesce("most_customers", F.lit(1)) >= knowledge.SETTLEMENT) & ((F.col("mode") == "proxy") | (F.coalesce("settled_rows", F.lit(0)) > 0)) & rt.unique_transfer_reference(F.col("norm.numbers"))
     conflict = (ids > 0) & ~F.array_contains("norm.customer_ids", owner)
+    other_name = (m == 1) & (ids == 0) & ~anchored & (tx.compare_names(F.col("names"), F.coalesce("memory_names", F.array().cast("array<string>"))) == "mismatch")
     remembered = (m == 1) & ~conflict & F.col("personal") & F.col("owner_blocked").isNull() & ~settled & ((F.col("mode") != "proxy") | anchored)
-    capped = decide.cap_competing(F.col("b.best_score"), F.coalesce(F.col("b.runner_up"), F.lit(0.0)))
-    rules = [
-        ("not_credit", F.col("amount") <= 0), ("memory_shared", (m > 1) & (ids <= 1)), ("memory", remembered), ("memory_conflict", (m == 1) & conflict & (ids == 1)),
-        ("several_ids", ids > 1), ("confirmed_for_other", F.col("exact_other")), ("settlement", (ids == 0) & settled), ("unknown_id", (ids > 0) & (F.coalesce("id_owners", F.lit(0)) == 0)),
+    registered = F.col("registered").isNotNull()
+    # decided by ownership alone; what is left needs candidates
+    before = [
+        ("not_credit", F.col("amount") <= 0), ("memory_shared", (m > 1) & (ids <= 1)), ("memory_other_name", other_name), ("memory", remembered), ("memory_conflict", (m == 1) & conflict & (ids == 1)),
+        ("several_ids", ids > 1), ("confirmed_for_other", F.col("exact_other")), ("settlement", (ids == 0) & settled), ("unknown_id", (ids > 0) & (F.coalesce("id_owners", F.lit(0)) == 0) & ~(registered & F.col("water"))),
         ("shared_id", F.col("id_owners") > 1), ("unknown_contract", (ids == 0) & (F.col("lost_contracts") > 0)), ("conflicting_identifiers", F.col("compatible") == 0),
-        ("no_candidate", F.col("b").isNull()), ("guarded", (F.col("b.best_score") < decide.REVIEW) | (F.size("b.guards") > 0)),
+        ("registry_layout", registered & F.col("member") & (F.coalesce("customers", F.lit(0)) > 1)), ("registry_only", registered),
     ]
-    reason = F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules), F.col("b.why"))
-    decided = all_of.withColumn("reason", reason)
-    manual = [k for k, _ in rules if k not in ("not_credit", "memory")]
-    silent = ("not_credit", "memory_shared", "several_ids", "settlement", "unknown_id", "no_candidate")
+    first = lambda rules: F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules))
+    asked = staged(asked.withColumn("early", first(before)), "asked")
+    scored = score_candidates(asked.where("early IS NULL").select(*queries.columns, "compatible", "scope"), known)
+    scored = staged(scored, "scored")
+    turned_down = scored.groupBy("query_id").agg(F.bool_and("blocked").alias("all_blocked"))
+    best = scored.where("relevant AND NOT blocked").withColumn("n", F.row_number().over(Window.partitionBy("query_id", "customer_id").orderBy(F.desc("score"), "pattern_id"))).where("n = 1").drop("n")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "customer_id")
+    ranked = best.withColumn("n", F.row_number().over(w)).withColumn("runner_up", F.lead("score").over(w)).where(F.col("n") <= OFFERED)
+    lead = F.max(F.when(F.col("n") == 1, F.struct(F.col("customer_id").alias("best"), F.col("score").alias("best_score"), "guards", "why", "runner_up")))
+    listed = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n, "customer_id"))), lambda x: x["customer_id"]), ",")
+    top = ranked.groupBy("query_id").agg(lead.alias("b"), listed("n").alias("ranked"))
+    all_of = asked.join(top, "query_id", "left").join(turned_down, "query_id", "left")
+    late = [("no_candidate", F.col("b").isNull()), ("guarded", (F.col("b.best_score") < decide.REVIEW) | (F.size("b.guards") > 0))]
+    decided = staged(all_of.withColumn("reason", F.coalesce("early", first(late), "b.why")), "decided")
+    # without a candidate, what else speaks for a customer
+    lone = decided.where("b IS NULL AND reason NOT IN ('not_credit', 'memory', 'memory_shared', 'several_ids', 'settlement', 'registry_layout', 'registry_only')")
+    offers = recommend(lone.select(*queries.columns), known)
+    offered = offers.groupBy("query_id").agg(F.min(F.when(~F.col("conflict"), F.struct("rank", F.col("customer_id").alias("c"), F.col("score").alias("s")))).alias("o"), listed("rank").alias("offered"))
+    decided = decided.join(offered, "query_id", "left")
     r = F.col("reason")
-    score = F.when(r == "memory", 0.97).when(r.isin(list(silent)), 0.0).when(r.isin(manual), F.least(F.coalesce(F.col("b.best_score"), F.lit(0.0)), F.lit(GUARD))).otherwise(capped)
-    customer = F.when(r == "memory", owner).when(r.isin(list(silent)), F.lit(None)).otherwise(F.col("b.best"))
-    decision = F.when(r == "not_credit", "reject").when(r.isin(manual), "manual_check").otherwise(decide.threshold(score))
-    return decided.select("query_id", decision.alias("decision"), customer.alias("customer_id"), F.round(score, 4).alias("score"), "reason", F.coalesce("alternatives", F.lit("")).alias("alternatives"))
+    accepted = {"memory": owner, "registry_layout": F.col("registered"), "registry_only": F.col("registered")}
+    silent = ["not_credit", "memory_shared", "several_ids", "settlement"]
+    capped = decide.cap_competing(F.col("b.best_score"), F.coalesce(F.col("b.runner_up"), F.lit(0.0)))
+    fixed = {"memory": 0.97, "registry_layout": 0.97, "registry_only": 0.55, "unknown_id": 0.0} | {k: 0.0 for k in silent}
+    manual = [k for k, _ in [*before, *late] if k not in ("not_credit", "memory", "registry_layout")]
+    none = F.coalesce(F.col("o.s"), F.lit(0.0))
+    score = F.coalesce(*(F.when(r == k, F.lit(v)) for k, v in fixed.items()), F.when(r.isin(manual), F.least(F.coalesce(F.col("b.best_score"), none), F.lit(GUARD))), capped)
+    customer = F.when(r.isin(silent), F.lit(None)).otherwise(F.coalesce(*(F.when(r == k, c) for k, c in accepted.items()), F.col("b.best"), F.col("o.c")))
+    rejected = (r == "not_credit") | ((r == "no_candidate") & F.coalesce("all_blocked", F.lit(False)) & F.col("o").isNull())
+    decision = F.when(rejected, "reject").when(r.isin(manual), "manual_check").otherwise(decide.threshold(score))
+    text = lambda *c: F.coalesce(*c, F.lit(""))
+    return decided.select(
+        "query_id", decision.alias("decision"), customer.alias("customer_id"), F.round(score, 4).alias("score"), "reason",
+        text("ranked", "offered").alias("alternatives"), text("allocation").alias("allocation"), text("unallocated").alias("unallocated"),
+    )

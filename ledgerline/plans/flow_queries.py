@@ -435,9 +435,23 @@ def names_with_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.with_positions(mixed, names.learn_positions(rows), "p_partkey")
 
 
-@query("classify_narratives")
+@query(
+    "classify_narratives",
+    f"""{_NV}, f AS (SELECT *, CASE WHEN txn_id % 5 = 0 THEN regexp_extract(raw, 'HD ([0-9]+)', 1) ELSE '' END AS hd FROM nv),
+    k AS (SELECT * FROM f WHERE period < '{HOLDOUT}'), q AS (SELECT * FROM f WHERE period >= '{HOLDOUT}'),
+    own AS (SELECT DISTINCT cid, channel, TRUE AS mine FROM k WHERE hd = ''), people AS (SELECT DISTINCT cid, TRUE AS seen FROM k),
+    alike AS (SELECT hd, channel, count(DISTINCT cid) AS m, min(cid) AS owner FROM k WHERE hd <> '' GROUP BY hd, channel),
+    c AS (SELECT hd, count(DISTINCT cid) AS owners, min(cid) AS holder FROM k WHERE hd <> '' GROUP BY hd),
+    r AS (SELECT txn_id, cid, owner, holder, CASE
+        WHEN amount <= 0 THEN 'not_credit' WHEN hd = '' AND mine THEN 'memory' WHEN hd = '' AND seen THEN 'id' WHEN hd = '' THEN 'unknown_id'
+        WHEN m > 1 THEN 'memory_shared' WHEN m = 1 THEN 'memory' WHEN owners IS NULL THEN 'unknown_contract' WHEN owners = 1 THEN 'contract' ELSE 'guarded' END AS reason, hd
+      FROM q LEFT JOIN own USING (cid, channel) LEFT JOIN people USING (cid) LEFT JOIN alike USING (hd, channel) LEFT JOIN c USING (hd))
+    SELECT txn_id AS query_id, reason, CASE WHEN reason = 'not_credit' THEN 'reject' WHEN reason IN ('memory', 'id', 'contract') THEN 'auto_accept' ELSE 'manual_check' END AS decision,
+           CASE WHEN reason IN ('memory', 'id', 'contract') THEN CASE WHEN hd = '' THEN cid WHEN reason = 'memory' THEN owner ELSE holder END END AS accepted FROM r""",
+)
 def classify_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole classification: everything before the holdout is learned, everything after it decided."""
     n = billed(spark, sf_dir).withColumn("mode", F.lit("unknown"))
     known = classify.build(n.where(F.col("period") < HOLDOUT))
-    return classify.classify(n.where(F.col("period") >= HOLDOUT).withColumnRenamed("txn_id", "query_id"), known)
+    decided = classify.classify(n.where(F.col("period") >= HOLDOUT).withColumnRenamed("txn_id", "query_id"), known)
+    return decided.select("query_id", "reason", "decision", F.when(F.col("decision") == "auto_accept", F.col("customer_id")).alias("accepted"))
