@@ -20,7 +20,7 @@ from ledgerline.functions import sequence as sq
 from ledgerline.functions import text as tx
 from ledgerline.functions import values as vl
 from ledgerline.operators import decide, fusion, knowledge, similarity
-from ledgerline.operators.postings import TOKEN_WEIGHTS, token_owners, top_k
+from ledgerline.operators.postings import TOKEN_WEIGHTS, common_owners, token_owners, top_k, top_k_split
 from ledgerline.operators.staging import staged
 
 #: Candidates of a query, hits of a channel, and of one customer in it.
@@ -78,10 +78,11 @@ def _roles(*roles: str) -> Column:
     return F.transform(F.filter("norm.numbers", lambda n: n["numeric_type"].isin(list(roles))), lambda n: n["value"])
 
 
-def tokens(owner: Column | None, name: Column | None = None) -> Column:
+def tokens(owner: Column | None, name: Column | None = None, only: tuple[str, ...] = ()) -> Column:
     """The tokens (token, weight) of a parsed row; a pattern has its owner's id and name, a query what it names and says.
 
-    Vectors take part by the signs of their greatest components, so a semantic hit shares some of these.
+    Vectors take part by the signs of their greatest components, so a semantic hit shares some of these. ``only`` names the
+    families that are wanted, if not all are.
     """
     ids = F.array(owner) if owner is not None else F.col("norm.customer_ids")
     slots = F.transform(F.filter("norm.numbers", lambda n: n["context"].isNotNull()), lambda n: F.concat_ws(":", F.sha2(F.concat_ws(rt.SEPARATOR, tx.channel_key(F.col("channel")), n["context"]), 256), n["value"]))
@@ -99,7 +100,7 @@ def tokens(owner: Column | None, name: Column | None = None) -> Column:
         weight = TOKEN_WEIGHTS["name" if family == "entity" else family]
         return F.transform(F.coalesce(values, none), lambda t: F.struct(F.concat(F.lit(family + ":"), t).alias("token"), F.lit(weight).alias("weight")))
 
-    return F.array_distinct(F.concat(*(tagged(f, v) for f, v in families.items())))
+    return F.array_distinct(F.concat(*(tagged(f, v) for f, v in families.items() if not only or f in only)))
 
 
 def build(examples: DataFrame, negatives: DataFrame | None = None, registry: DataFrame | None = None) -> Knowledge:
@@ -120,8 +121,7 @@ def build(examples: DataFrame, negatives: DataFrame | None = None, registry: Dat
     sets = staged(_set_tokens(held), "sets")
     # a set's patterns score alike, so only its newest ones (a few of a customer) can be among a channel's hits
     own = top_k(held.select("set_key", "pattern_id", "customer_id"), ["set_key", "customer_id"], [F.desc("pattern_id")], PER_CUSTOMER, "own")
-    cut = top_k(own.withColumn("bucket", F.pmod(F.xxhash64("pattern_id"), F.lit(32))), ["set_key", "bucket"], [F.desc("pattern_id")], CHANNEL_LIMIT, "at")
-    members = staged(top_k(cut, ["set_key"], [F.desc("pattern_id")], CHANNEL_LIMIT, "at").select("set_key", "pattern_id", "customer_id"), "members")
+    members = staged(top_k_split(own, ["set_key"], [F.desc("pattern_id")], CHANNEL_LIMIT, F.col("pattern_id"), "at").select("set_key", "pattern_id", "customer_id"), "members")
     anchored = F.exists("norm.numbers", lambda n: n["numeric_type"].isin(list(rt.IDENTITY_ROLES)))
     own = anchored | (F.size("norm.payer_accounts") > 0) | (F.size(tx.text_tokens(F.col("norm.normalized"))) >= 2)
     memory = rows.groupBy("recurring", "channel").agg(F.count_distinct("cid").alias("owners"), F.min("cid").alias("owner"), F.array_sort(F.first("names")).alias("memory_names"), F.bool_or(anchored).alias("anchored"), F.bool_or(own).alias("personal"))
@@ -202,8 +202,7 @@ def ownership(queries: DataFrame, known: Knowledge) -> DataFrame:
     compatible is the number of customers that own all of its owned identifiers, null if none is owned. It is counted once for
     each distinct set of identifiers, from the owners of the rarest one; no token is joined with all its owners otherwise.
     """
-    asked = queries.select("query_id", F.col("norm.customer_ids").alias("ids"), F.explode(tokens(None)).alias("t")).select("query_id", "ids", F.col("t.token").alias("token")).withColumn("family", F.substring_index("token", ":", 1))
-    asked = asked.where(F.col("family").isin("id", "contract", "code", "slot-id", "exact"))
+    asked = queries.select("query_id", F.col("norm.customer_ids").alias("ids"), F.explode(tokens(None, only=("id", "contract", "code", "slot-id", "exact"))).alias("t")).select("query_id", "ids", F.col("t.token").alias("token")).withColumn("family", F.substring_index("token", ":", 1))
     held = known.postings.select("token", "customer_id").distinct()
     counted = staged(asked.join(token_owners(known.postings), "token", "left").withColumn("owners", F.coalesce("owners", F.lit(0))), "owned")
     is_id, exact = F.col("family") == "id", F.col("family") == "exact"
@@ -212,18 +211,13 @@ def ownership(queries: DataFrame, known: Knowledge) -> DataFrame:
         F.max(F.when(is_id, F.col("owners"))).alias("id_owners"), F.max(F.when(is_id, F.col("owner"))).alias("id_owner"),
         F.count_if((F.col("family") == "contract") & (F.col("owners") == 0)).alias("lost_contracts"), F.max(F.when(exact, F.col("owners"))).alias("exact_owners"), own.alias("held"),
     ).withColumn("set_key", F.md5(F.array_join(F.transform("held", lambda t: t["token"]), rt.SEPARATOR)))
-    several = per.where(F.size("held") > 1).select("set_key", "held").dropDuplicates(["set_key"])
-    first = several.select("set_key", "held", F.col("held")[0]["token"].alias("token")).join(held, "token").select("set_key", "customer_id", "held")
-    rest = first.select("set_key", "customer_id", F.size("held").alias("n"), F.explode(F.slice("held", 2, F.size("held") - 1)).alias("t")).select("set_key", "customer_id", "n", "t.token")
-    full = rest.join(held, ["token", "customer_id"]).groupBy("set_key", "customer_id", "n").agg(F.count("*").alias("met")).where("met = n - 1")
-    full = several.select("set_key").join(full.groupBy("set_key").agg(F.count("*").alias("found")), "set_key", "left").select("set_key", F.coalesce("found", F.lit(0)).alias("found"))
+    full = common_owners(per.where(F.size("held") > 0).select("set_key", F.col("held").alias("tokens")), held)
     # an owner of the exact text that is none of the written ids: there are more owners than written ids among them
     among = counted.where(exact).select("query_id", "token", F.explode(F.transform("ids", tx.id_key)).alias("customer_id")).distinct().join(held, ["token", "customer_id"]).groupBy("query_id").agg(F.count("*").alias("among"))
     written = queries.select("query_id", (F.size("norm.customer_ids") > 0).alias("written"))
     out = per.join(full, "set_key", "left").join(among, "query_id", "left").join(written, "query_id")
-    compatible = F.when(F.size("held") > 1, F.col("found")).when(F.size("held") == 1, F.col("held")[0]["owners"])
     exact_owners = F.coalesce("exact_owners", F.lit(0))
-    return out.select("query_id", "id_owners", "id_owner", "lost_contracts", compatible.alias("compatible"), exact_owners.alias("exact_owners"), (F.col("written") & (exact_owners > F.coalesce("among", F.lit(0)))).alias("exact_other"))
+    return out.select("query_id", "id_owners", "id_owner", "lost_contracts", F.col("customers").alias("compatible"), exact_owners.alias("exact_owners"), (F.col("written") & (exact_owners > F.coalesce("among", F.lit(0)))).alias("exact_other"))
 
 
 def recommend(queries: DataFrame, known: Knowledge) -> DataFrame:
@@ -244,7 +238,7 @@ def recommend(queries: DataFrame, known: Knowledge) -> DataFrame:
     details = F.size(tx.text_tokens(F.col("signature"))) >= 2
     anchored = F.when((F.size("written") > 0) | (F.size("norm.payer_accounts") > 0) | details, F.lit(True)).otherwise(False)
     asked = text.select("query_id", anchored.alias("anchored"), F.explode(tokens(None)).alias("t")).select("query_id", "anchored", F.col("t.token").alias("token")).withColumn("source", F.substring_index("token", ":", 1))
-    asked = asked.where(F.col("source").isin("payer", "contract", "slot-id") | (F.col("anchored") & F.col("source").isin("exact", "detail")))
+    asked = asked.where(F.col("anchored") | ~F.col("source").isin("exact", "detail"))
     few = top_k(known.postings.select("token", "customer_id").distinct().join(asked.select("token").distinct(), "token", "left_semi"), ["token"], [F.col("customer_id")], OWNERS, "at").drop("at")
     offers = offers.unionByName(asked.join(few, "token").select("query_id", "customer_id", "source"))
     words = F.split("norm.normalized", " ")

@@ -46,16 +46,29 @@ def decide_by_owner(queries: DataFrame, owners: DataFrame, key: str) -> DataFram
     return rows.select(key, "token", "owners", F.col("owner").alias("customer_id"), decision.alias("decision"))
 
 
+def token_sets(rows: DataFrame, key: str) -> DataFrame:
+    """(key, set_key, tokens) of (key, token): what each row asks, as a sorted set. Rows that ask the same share a set."""
+    sets = rows.groupBy(key).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    return sets.withColumn("set_key", F.md5(F.array_join("tokens", "\x1f")))
+
+
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """(set_key, token) of the distinct sets."""
+    return sets.groupBy("set_key").agg(F.first("tokens").alias("tokens")).select("set_key", F.explode("tokens").alias("token"))
+
+
 def posting_channel(queries: DataFrame, found: DataFrame, key: str, per_customer: int, limit: int) -> DataFrame:
     """(key, pattern_id, customer_id, score, rank): summed weights, at most ``per_customer`` patterns of a customer.
 
-    Weights are grouped before any limit, so repeated tokens cannot use up the budget.
+    Weights are grouped before any limit, so repeated tokens cannot use up the budget. Hits are found once for each distinct
+    set of tokens: a token that many queries share is joined with its postings once.
     """
-    scored = queries.select(key, "token").join(found, "token").groupBy(key, "pattern_id", "customer_id").agg(F.sum("weight").alias("score"))
-    own = Window.partitionBy(key, "customer_id").orderBy(F.desc("score"), F.desc("pattern_id"))
-    best = scored.withColumn("own", F.row_number().over(own)).where(F.col("own") <= per_customer)
-    every = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("pattern_id"))
-    return best.withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= limit).drop("own")
+    sets = token_sets(queries, key)
+    scored = distinct_sets(sets).join(found, "token").groupBy("set_key", "pattern_id", "customer_id").agg(F.sum("weight").alias("score"))
+    order = [F.desc("score"), F.desc("pattern_id")]
+    best = top_k(scored, ["set_key", "customer_id"], order, per_customer, "own").drop("own")
+    hits = top_k_split(best, ["set_key"], order, limit, F.col("pattern_id"))
+    return sets.select(key, "set_key").join(hits, "set_key").select(key, "pattern_id", "customer_id", "score", "rank")
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -63,9 +76,31 @@ def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def top_k_split(rows: DataFrame, keys: list[str], order: list[Column], k: int, split: Column, rank: str = "rank", buckets: int = 32) -> DataFrame:
+    """``top_k`` for keys that may hold a large share of the rows: cut within hash buckets of ``split`` first."""
+    cut = top_k(rows.withColumn("_bucket", F.pmod(F.xxhash64(split), F.lit(buckets))), [*keys, "_bucket"], order, k, rank)
+    return top_k(cut.drop("_bucket", rank), keys, order, k, rank)
+
+
+def common_owners(sets: DataFrame, held: DataFrame) -> DataFrame:
+    """(set_key, customers): how many customers own every token of each distinct set (set_key, tokens sorted by owners).
+
+    ``tokens`` are structs (owners, token), ``held`` the distinct (token, customer_id). Only the owners of a set's rarest token
+    are looked at; a set of one token has as many as that has owners.
+    """
+    each = sets.select("set_key", "tokens").dropDuplicates(["set_key"])
+    several = each.where(F.size("tokens") > 1)
+    first = several.select("set_key", "tokens", F.col("tokens")[0]["token"].alias("token")).join(held, "token")
+    rest = first.select("set_key", "customer_id", F.size("tokens").alias("n"), F.explode(F.slice("tokens", 2, F.size("tokens") - 1)).alias("t")).select("set_key", "customer_id", "n", "t.token")
+    full = rest.join(held, ["token", "customer_id"]).groupBy("set_key", "customer_id", "n").agg(F.count("*").alias("met")).where("met = n - 1")
+    found = full.groupBy("set_key").agg(F.count("*").alias("found"))
+    customers = F.when(F.size("tokens") == 1, F.col("tokens")[0]["owners"]).otherwise(F.coalesce("found", F.lit(0)))
+    return each.join(found, "set_key", "left").select("set_key", customers.cast("long").alias("customers"))
+
+
 def intersect_owners(tokens: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, customers): how many customers own every token of a query (conflict where none does)."""
-    needed = tokens.groupBy(key).agg(F.count_distinct("token").alias("needed"))
-    held = tokens.join(found.select("token", "customer_id").distinct(), "token").groupBy(key, "customer_id").agg(F.count_distinct("token").alias("held"))
-    all_of = held.join(needed, key).where("held = needed").groupBy(key).agg(F.count("*").alias("customers"))
-    return needed.join(all_of, key, "left").select(key, F.coalesce("customers", F.lit(0)).cast("long").alias("customers"))
+    counted = tokens.select(key, "token").distinct().join(token_owners(found), "token", "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
+    sets = counted.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("owners", "token"))).alias("tokens"))
+    sets = sets.withColumn("set_key", F.md5(F.array_join(F.transform("tokens", lambda t: t["token"]), "\x1f")))
+    return sets.select(key, "set_key").join(common_owners(sets, found.select("token", "customer_id").distinct()), "set_key").select(key, "customers")

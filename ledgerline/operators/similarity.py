@@ -13,43 +13,62 @@ from ledgerline.operators.postings import top_k
 
 #: Query vectors that are held at once (a block of them is 4 MB at 64 dimensions in float64).
 QUERY_BLOCK = 8192
+#: Rows that are scored at once (a block of scores is 16 MB).
+ROW_BLOCK = 256
+
+
+class _Best:
+    """The ``k`` best rows of each query so far, by rounded score and then by key."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.scores = np.full((queries, 0), -np.inf)
+        self.keys = np.zeros((queries, 0), dtype=np.int64)
+
+    def take(self, scores: np.ndarray, keys: np.ndarray) -> None:
+        """``scores`` has a row for each query and a column for each key."""
+        scores = np.concatenate([self.scores, scores], axis=1)
+        keys = np.concatenate([self.keys, np.broadcast_to(keys, (len(scores), len(keys)))], axis=1)
+        if scores.shape[1] > self.k:
+            # the k-th best score bounds what can stay; ties at it are settled by key
+            bound = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+            width = int((scores >= bound[:, None]).sum(axis=1).max())
+            at = np.argpartition(-scores, width - 1, axis=1)[:, :width] if width < scores.shape[1] else np.broadcast_to(np.arange(width), scores.shape)
+            scores, keys = np.take_along_axis(scores, at, axis=1), np.take_along_axis(keys, at, axis=1)
+        order = np.lexsort((keys, -scores), axis=1)[:, : self.k]
+        self.scores, self.keys = np.take_along_axis(scores, order, axis=1), np.take_along_axis(keys, order, axis=1)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query_id, key, cosine, rank): the ``k`` nearest rows of each query by rounded dot product, ties by id.
 
-    Exact. Queries are taken in blocks of a bounded size; each task keeps ``k`` rows of a block's queries, so what is
-    shuffled grows with tasks and queries, not with rows.
+    Exact. Queries are taken in blocks of a bounded size (one scan of the rows for each); a task keeps the best rows of a
+    block's queries and gives them at its end, so what is shuffled grows with tasks and queries, not with rows.
     """
     ordered = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("v"))
-    n = ordered.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
+    blocks = max(1, -(-ordered.count() // QUERY_BLOCK))
+    found = rows.sparkSession.createDataFrame([], f"query_id long, {key} long, cosine double")
     arrow = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("cosine", pa.float64())])
     for b in range(blocks):
-        part = ordered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else ordered.collect()
+        part = ordered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
         if not part:
             continue
         ids = np.array([r["query_id"] for r in part])
-        matrix = np.array([r["v"] for r in part], dtype=np.float64).T
+        matrix = np.array([r["v"] for r in part], dtype=np.float64)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            best = _Best(len(ids), k + 1)  # one more, since a query may meet itself
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = batch.column(key).to_numpy(zero_copy_only=False)
-                values = np.array(batch.column(vector).to_pylist(), dtype=np.float64)
-                scores = np.round(np.clip(values @ matrix, 0.0, 1.0), 6)
-                for j in range(scores.shape[1]):
-                    best = np.lexsort((keys, -scores[:, j]))[: k + 1]
-                    yield pa.RecordBatch.from_pydict({"query_id": np.full(len(best), ids[j]), key: keys[best], "cosine": scores[best, j]}, schema=arrow)
-
-        some = rows.select(key, vector).mapInArrow(run, f"query_id long, {key} long, cosine double")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], f"query_id long, {key} long, cosine double")
-    others = found.where(F.col("query_id") != F.col(key))
-    return top_k(others, ["query_id"], [F.desc("cosine"), F.col(key)], k)
+                for start in range(0, batch.num_rows, ROW_BLOCK):
+                    some = batch.slice(start, ROW_BLOCK)
+                    flat = some.column(vector)
+                    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)
+                    best.take(np.round(np.clip(matrix @ values.T, 0.0, 1.0), 6), some.column(key).to_numpy(zero_copy_only=False))
+            width = best.keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best.keys.ravel(), pa.int64()), pa.array(best.scores.ravel())], schema=arrow)
+
+        found = found.unionByName(rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id long, {key} long, cosine double"))
+    return top_k(found.where(F.col("query_id") != F.col(key)), ["query_id"], [F.desc("cosine"), F.col(key)], k)
 
 
 def trigrams(c: Column) -> Column:

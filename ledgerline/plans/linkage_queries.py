@@ -154,13 +154,18 @@ def owner_intersection_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits of three channels: identity by customer number, postings by contract, scope by recency."""
-    known, late = knowledge(spark, sf_dir), holdout(spark, sf_dir)
-    same = late.select(F.col("txn_id").alias("query_id"), "cid").join(known.select("cid", F.col("txn_id").alias("pattern_id"), "period"), "cid")
-    recent = postings.top_k(same, ["query_id"], [F.desc("period"), F.col("pattern_id")], 12, "position").withColumn("channel", F.lit("customer_id"))
-    old = postings.top_k(same, ["query_id"], [F.col("period"), F.col("pattern_id")], 12, "position").withColumn("channel", F.lit("semantic"))
-    q = late.select(F.col("txn_id").alias("query_id"), (F.col("txn_id") % 997).alias("n"))
-    k = known.select((F.col("txn_id") % 997).alias("n"), F.col("txn_id").alias("pattern_id"), "cid", "period")
-    contract = postings.top_k(q.join(k, "n"), ["query_id"], [F.col("pattern_id").desc()], 20, "position").withColumn("channel", F.lit("identity"))
+    # the order of a customer's or contract's patterns does not depend on the query: cut first, then join
+    known = knowledge(spark, sf_dir).select("cid", F.col("txn_id").alias("pattern_id"), "period").withColumn("n", F.col("pattern_id") % 997)
+    late = holdout(spark, sf_dir).select(F.col("txn_id").alias("query_id"), "cid", (F.col("txn_id") % 997).alias("n"))
+
+    def channel(name: str, key: str, order: list, k: int) -> DataFrame:
+        cut = postings.top_k_split(known, [key], order, k, F.col("pattern_id"), "position")
+        asked = late.select("query_id", key)
+        return asked.join(cut, key).withColumn("channel", F.lit(name))
+
+    recent = channel("customer_id", "cid", [F.desc("period"), F.col("pattern_id")], 12)
+    old = channel("semantic", "cid", [F.col("period"), F.col("pattern_id")], 12)
+    contract = channel("identity", "n", [F.desc("pattern_id")], 20)
     columns = ["query_id", "channel", "pattern_id", F.col("cid").alias("customer_id"), "position"]
     return recent.select(columns).unionByName(old.select(columns)).unionByName(contract.select(columns))
 
@@ -222,13 +227,21 @@ s AS (SELECT txn_id, cid, p.customer_id, sum(p.weight) AS score FROM x JOIN p ON
     f"{_DECIDED} SELECT txn_id, customer_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, customer_id) AS rank FROM s) WHERE rank <= 6",
 )
 def best_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    return postings.top_k(scored, ["txn_id"], [F.desc("score"), F.col("customer_id")], 6).select("txn_id", "customer_id", "score", "rank")
+    sets, scored = _scored(spark, sf_dir)
+    return sets.join(_best(scored, 6), "set_key").select("txn_id", "customer_id", "score", "rank")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(txn_id, cid, set_key) of the queries and (set_key, customer_id, score) of what they ask, once for each distinct set."""
     tokens = identifiers(query_tokens(spark, sf_dir))
-    return tokens.join(known_postings(spark, sf_dir), "token").groupBy("txn_id", "cid", "customer_id").agg(F.sum("weight").alias("score"))
+    sets = postings.token_sets(tokens, "txn_id")
+    weights = known_postings(spark, sf_dir).groupBy("token", "customer_id").agg(F.sum("weight").alias("weight"))
+    scored = postings.distinct_sets(sets).join(weights, "token").groupBy("set_key", "customer_id").agg(F.sum("weight").alias("score"))
+    return tokens.select("txn_id", "cid").distinct().join(sets.select("txn_id", "set_key"), "txn_id"), scored
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    return postings.top_k_split(scored, ["set_key"], [F.desc("score"), F.col("customer_id")], k, F.col("customer_id"))
 
 
 @query(
@@ -237,16 +250,17 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT txn_id, customer_id, CAST(score AS DOUBLE) AS score, CAST(score - next AS DOUBLE) AS gap FROM r WHERE rank = 1""",
 )
 def score_gap_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("txn_id").orderBy(F.desc("score"), "customer_id")
-    ranked = _scored(spark, sf_dir).withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
-    return ranked.where("rank = 1").select("txn_id", "customer_id", "score", (F.col("score") - F.col("next")).alias("gap"))
+    sets, scored = _scored(spark, sf_dir)
+    first = F.max(F.when(F.col("rank") == 1, F.struct("customer_id", "score"))).alias("first")
+    two = _best(scored, 2).groupBy("set_key").agg(first, F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("next"))
+    return sets.join(two, "set_key").select("txn_id", "first.customer_id", "first.score", (F.col("first.score") - F.col("next")).alias("gap"))
 
 
 @query("top6_recommendations", f"{_DECIDED} SELECT txn_id, string_agg(customer_id, ',' ORDER BY score DESC, customer_id) AS customers FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, customer_id) <= 6) GROUP BY 1")
 def top6_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = postings.top_k(_scored(spark, sf_dir), ["txn_id"], [F.desc("score"), F.col("customer_id")], 6)
+    sets, scored = _scored(spark, sf_dir)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "customer_id"))), lambda x: x["customer_id"])
-    return best.groupBy("txn_id").agg(F.array_join(ordered, ",").alias("customers"))
+    return sets.join(_best(scored, 6).groupBy("set_key").agg(F.array_join(ordered, ",").alias("customers")), "set_key").select("txn_id", "customers")
 
 
 @query(
@@ -257,10 +271,10 @@ SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(CASE WHEN b.txn_id IS NULL
 FROM q LEFT JOIN (SELECT DISTINCT txn_id FROM r) b USING (txn_id) LEFT JOIN (SELECT txn_id, rank FROM r WHERE customer_id = cid) t USING (txn_id)""",
 )
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = identifiers(query_tokens(spark, sf_dir)).select("txn_id", "cid").distinct()
-    ranked = _scored(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("txn_id").orderBy(F.desc("score"), "customer_id")))
-    truth = ranked.groupBy("txn_id").agg(F.min(F.when(F.col("customer_id") == F.col("cid"), F.col("rank"))).alias("rank"), F.lit(1.0).alias("some"))
-    rows = queries.join(truth, "txn_id", "left")
+    sets, scored = _scored(spark, sf_dir)
+    best = _best(scored, 5)
+    some = best.select("set_key").distinct().withColumn("some", F.lit(1.0))
+    rows = sets.join(some, "set_key", "left").join(best.select("set_key", F.col("customer_id").alias("cid"), "rank"), ["set_key", "cid"], "left")
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 9)
     return rows.agg(F.count("*").alias("queries"), share(F.col("some").isNotNull()).alias("coverage"), share(F.col("rank") == 1).alias("hit1"), share(F.col("rank") <= 5).alias("hit5"))
 
@@ -273,12 +287,13 @@ c AS (SELECT txn_id, customer_id, max(CASE WHEN starts_with(q.token, 'id:') THEN
 SELECT txn_id, customer_id, CAST(score AS DOUBLE) AS score, reasons, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, customer_id) AS rank FROM c) WHERE rank <= 6""",
 )
 def recommend_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposals of all sources merged per customer: the greatest score and the reasons, six at most."""
-    q = query_tokens(spark, sf_dir).select("txn_id", "token")
-    met = q.join(known_postings(spark, sf_dir), "token").withColumn("source", F.substring_index("token", ":", 1))
+    """Proposals of all sources merged per customer: the greatest score and the reasons, six at most, once for each distinct set of tokens."""
+    sets = postings.token_sets(query_tokens(spark, sf_dir), "txn_id")
+    owned = known_postings(spark, sf_dir).select("token", "customer_id").distinct()
+    met = postings.distinct_sets(sets).join(owned, "token").withColumn("source", F.substring_index("token", ":", 1))
     score = F.when(F.col("source") == "id", 0.59).when(F.col("source") == "exact", 0.65).otherwise(0.55)
-    merged = met.groupBy("txn_id", "customer_id").agg(F.max(score).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("reasons"))
-    return postings.top_k(merged, ["txn_id"], [F.desc("score"), F.col("customer_id")], 6)
+    merged = met.groupBy("set_key", "customer_id").agg(F.max(score).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("reasons"))
+    return sets.select("txn_id", "set_key").join(_best(merged, 6), "set_key").drop("set_key")
 
 
 @query("decision_counts", f"{_LINK} SELECT CASE WHEN owners = 1 THEN 'unique' WHEN owners > 1 THEN 'shared' ELSE 'unknown' END AS decision, CAST(count(*) AS BIGINT) AS n FROM t LEFT JOIN o ON o.token = t.token WHERE period >= '{HOLDOUT}' AND NOT starts_with(t.token, 'exact:') GROUP BY 1")

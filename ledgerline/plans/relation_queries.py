@@ -405,10 +405,23 @@ def import_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupingSets([["event_type"], ["day"], []], "event_type", "day").agg(F.count("*").alias("n"))
 
 
-@query("scope_digest", "SELECT sha256(string_agg(n_nationkey || ':' || n_name, '' ORDER BY n_nationkey || ':' || n_name)) AS digest FROM nation")
+@query(
+    "scope_digest",
+    """WITH a AS (SELECT o_orderkey // 4096 AS k, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ';' ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1),
+    b AS (SELECT k // 4096 AS k, sha256(string_agg(d, '' ORDER BY k)) AS d FROM a GROUP BY k // 4096) SELECT sha256(string_agg(d, '' ORDER BY k)) AS digest FROM b""",
+)
 def scope_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").select(F.concat_ws(":", "n_nationkey", "n_name").alias("row"))
-    return rows.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("row"))), 256).alias("digest"))
+    """One digest of a whole scope as a tree over ranges of keys, so that no task holds more than a range."""
+    row = F.struct(F.col("o_orderkey").alias("k"), F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("v"))
+    level = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 4096).alias("k"), row.alias("x"))
+
+    def up(rows: DataFrame, between: str) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), between)
+        return rows.groupBy("k").agg(F.sha2(joined, 256).alias("v"))
+
+    ranges = up(level, ";").select(F.floor(F.col("k") / 4096).alias("k"), F.struct("k", "v").alias("x"))
+    groups = up(ranges, "").select(F.lit(0).alias("k"), F.struct("k", "v").alias("x"))
+    return up(groups, "").select(F.col("v").alias("digest"))
 
 
 @query(
