@@ -23,8 +23,8 @@ FOLDS, HELD_OUT = 5, 0
 #: Bounds of the training sample: texts per class, characters of a text.
 PER_CLASS, SAMPLE_CHARS = 1000, 20_000
 CUT = 0.5
-#: Words in a window, and between the starts of two windows.
-WINDOW, STEP = 24, 16
+#: Words in a window, and between the starts of two windows: half a window, so that each run of half a window lies whole in one.
+WINDOW, STEP = 24, 12
 VOCABULARY, TRIGRAM_BITS = 4096, 12
 WORD, CHARS, HIDDEN, ATTEND = 8, 8, 8, 8
 EPOCHS, WARM, BATCH, RATE = 9, 2, 64, 0.02

@@ -5,17 +5,21 @@
 (offset, length) so that a reader can fetch one record without the rest. ``read_records`` goes through that index.
 
 Archives are rows with a binary column, staged in the shared folder by Spark's writer once they are normalised: tasks that
-are lost are run again and leave no half-written archive.
+are lost are run again and leave no half-written archive. ``outside`` takes archives of others from files, ``records`` gives all
+headers and blocks of a normalised archive, ``export`` writes archives and their indexes as files.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import slices, staged
@@ -26,7 +30,10 @@ LEAST = 1000
 ARCHIVE_BYTES = 4 << 20
 LEVEL = 1
 SALTS = 16
+#: Bytes of members after which a normalised archive goes on in another part; a member is never parted.
+PART_BYTES = 64 << 20
 _END = b"\r\n\r\n"
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
 def _value(x: object) -> str:
@@ -58,17 +65,22 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of a record."""
     head, _, rest = data.partition(_END)
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip(): value.strip() for name, _, value in lines}
+    length = next(int(v) for k, v in fields.items() if k.lower() == "content-length")
+    return fields, rest[:length]
 
 
 def split_stream(archive: bytes, step: int = 1 << 18) -> Iterator[bytes]:
-    """The records of a gzip stream that is inflated once, piece by piece; at most a record and a piece are held."""
-    inflate, held, start = zlib.decompressobj(31), bytearray(), 0
-    for k in range(0, len(archive) + step, step):
-        held += inflate.decompress(archive[k : k + step]) if k < len(archive) else inflate.flush()
+    """The records of a gzip stream that is inflated once, piece by piece; at most a record and a piece are held.
+
+    A stream may be one member for all records or any number of members, cut anywhere.
+    """
+    held, start = bytearray(), 0
+    for piece in _inflated(archive, step):
+        held += piece
         while (end := held.find(_END, start)) >= 0:
-            length = int(bytes(held[start:end]).rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
+            length = int(_LENGTH.search(bytes(held[start:end]))[1])
             stop = end + len(_END) + length + len(_END)
             if stop > len(held):
                 break
@@ -80,16 +92,37 @@ def split_stream(archive: bytes, step: int = 1 << 18) -> Iterator[bytes]:
         raise ValueError(f"{len(held)} bytes after the last whole record")
 
 
-def rewrite(archive: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-    """The archive with a gzip member for each record, and (offset, length) of each member."""
+def _inflated(archive: bytes, step: int) -> Iterator[bytes]:
+    inflate, view = zlib.decompressobj(31), memoryview(archive)
+    for k in range(0, len(view), step):
+        data = view[k : k + step]
+        while data:
+            yield inflate.decompress(data)
+            data = inflate.unused_data
+            if inflate.eof:
+                inflate = zlib.decompressobj(31)
+    yield inflate.flush()
+
+
+def rewrite_parts(archive: bytes, most: int = PART_BYTES) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Parts of the archive with a gzip member for each record, and (offset, length) of each member in its part."""
     out, index, at = [], [], 0
     for data in split_stream(archive):
         squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         member = squeeze.compress(data) + squeeze.flush()
+        if out and at + len(member) > most:
+            yield b"".join(out), index
+            out, index, at = [], [], 0
         out.append(member)
         index.append((at, len(member)))
         at += len(member)
-    return b"".join(out), index
+    if out:
+        yield b"".join(out), index
+
+
+def rewrite(archive: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """The whole archive with a gzip member for each record, and (offset, length) of each member."""
+    return next(rewrite_parts(archive, 1 << 62), (b"", []))
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
@@ -135,18 +168,65 @@ def write_archives(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
+def outside(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, content) of gzip archives in files, read by Spark from any store; a file is a row and must fit a task."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+
+
 def normalise(archives: DataFrame) -> DataFrame:
-    """(archive, content, sidecar): every record a gzip member of its own, with the offset index beside the archive."""
+    """(archive, part, content, sidecar): every record a gzip member of its own, with the offset index beside the part."""
     entry = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-    arrow = pa.schema([("archive", pa.string()), ("content", pa.binary()), ("sidecar", entry)])
+    arrow = pa.schema([("archive", pa.string()), ("part", pa.int32()), ("content", pa.binary()), ("sidecar", entry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
-                data, index = rewrite(content.as_py())
-                yield pa.RecordBatch.from_pydict({"archive": [name], "content": [data], "sidecar": [[{"offset": a, "length": n} for a, n in index]]}, schema=arrow)
+                for part, (data, index) in enumerate(rewrite_parts(content.as_buffer())):
+                    yield pa.RecordBatch.from_pydict({"archive": [name], "part": [part], "content": [data], "sidecar": [[{"offset": a, "length": n} for a, n in index]]}, schema=arrow)
+
+    return archives.select("archive", "content").mapInArrow(run, "archive string, part int, content binary, sidecar array<struct<offset: long, length: long>>")
+
+
+def records(archives: DataFrame) -> DataFrame:
+    """(archive, part, offset, length, headers, block) of every record of normalised archives."""
+    arrow = pa.schema([("archive", pa.string()), ("part", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, part, content, sidecar in zip(*(batch.column(c) for c in ("archive", "part", "content", "sidecar")), strict=True):
+                view = memoryview(content.as_buffer())
+                for x in sidecar.as_py():
+                    fields, block = parse(zlib.decompress(view[x["offset"] : x["offset"] + x["length"]], 31))
+                    got = [[name.as_py()], [part.as_py()], [x["offset"]], [x["length"]], [list(fields.items())], [block]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, arrow.types, strict=True)], schema=arrow)
+
+    return archives.select("archive", "part", "content", "sidecar").mapInArrow(run, "archive string, part int, offset long, length long, headers map<string, string>, block binary")
+
+
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """(file, members): normalised archives as ``.warc.gz`` files with an index file of "offset length" lines beside each.
+
+    ``folder`` is a path that tasks can write. A file gets its name when it is whole, so a task that is run again leaves no
+    half file and no second one.
+    """
+    arrow = pa.schema([("file", pa.string()), ("members", pa.int64())])
+
+    def put(name: str, data: bytes) -> None:
+        os.makedirs(folder, exist_ok=True)
+        attempt = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+        with open(attempt, "wb") as f:
+            f.write(data)
+        os.replace(attempt, os.path.join(folder, name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, part, content, sidecar in zip(*(batch.column(c) for c in ("archive", "part", "content", "sidecar")), strict=True):
+                stem = f"{hashlib.sha1(name.as_py().encode()).hexdigest()}-{part.as_py():05d}"
+                put(f"{stem}.warc.gz", content.as_buffer())
+                put(f"{stem}.idx", "".join(f"{x['offset']} {x['length']}\n" for x in sidecar.as_py()).encode())
+                yield pa.RecordBatch.from_pydict({"file": [f"{stem}.warc.gz"], "members": [len(sidecar)]}, schema=arrow)
 
-    return archives.select("archive", "content").mapInArrow(run, "archive string, content binary, sidecar array<struct<offset: long, length: long>>")
+    return archives.select("archive", "part", "content", "sidecar").mapInArrow(run, "file string, members long")
 
 
 def read_records(archives: DataFrame) -> DataFrame:

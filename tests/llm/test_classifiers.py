@@ -114,3 +114,51 @@ def test_descent_parts_separable_texts():
     model = quality.fit(rows)
     scores = model.score([t for t, _ in rows], quality.Words())
     assert min(scores[:40]) > 0.7 > max(scores[40:])
+
+
+def plain_logit(model, words):
+    """Logit of one window by the formulas, a step at a time and in double precision."""
+    p, n = model.p, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        marked = f"<{word}>"
+        grams = [marked[i : i + 3] for i in range(len(marked) - 2)]
+        rows = [toxicity.trigrams([word])[0][i] for i in range(len(grams))]
+        return np.r_[p["words"][model.vocabulary.get(word, 0)], np.mean([p["chars"][r] for r in rows], axis=0)] @ p["in"] + p["in_bias"]
+
+    def walk(gates, u):
+        h, out = np.zeros(n), []
+        for x in gates:
+            z, r = sigmoid(x[:n] + h @ u[:, :n]), sigmoid(x[n : 2 * n] + h @ u[:, n : 2 * n])
+            c = np.tanh(x[2 * n :] + (r * h) @ u[:, 2 * n :])
+            h = h + z * (c - h)
+            out.append(h)
+        return out
+
+    x = [vector(toxicity.normal(w)) for w in words]
+    states = [np.r_[a, b] for a, b in zip(walk([v[: 3 * n] for v in x], p["ahead"]), walk([v[3 * n :] for v in x[::-1]], p["back"])[::-1], strict=True)]
+    weight = np.exp([np.tanh(s @ p["attend"] + p["attend_bias"]) @ p["attend_to"] for s in states])
+    return float(sum(w * (s @ p["out"]) for w, s in zip(weight / weight.sum(), states, strict=True)) + p["out_bias"][0])
+
+
+def test_scores_are_those_of_a_plain_network():
+    rng = np.random.default_rng(5)
+    known = ["idiot", "dear", "fine", "day", "Mörder", "x"]
+    model = toxicity.Model({"idiot": 1, "dear": 2, "fine": 3}, toxicity._parameters(4), slope=1.5, offset=-0.2)
+    for n in (1, 5, 24, 25, 60):
+        words = [known[i] for i in rng.integers(0, len(known), n)]
+        every = [plain_logit(model, words[a : a + toxicity.WINDOW]) for a in toxicity.starts(n)]
+        want = 1 / (1 + np.exp(-(1.5 * max(every) - 0.2)))
+        assert abs(model.score([" ".join(words)])[0] - want) < 1e-5
+        assert all(any(a <= k and k + toxicity.WINDOW // 2 <= a + toxicity.WINDOW for a in toxicity.starts(n)) for k in range(max(1, n - toxicity.WINDOW // 2)))
+
+
+def test_features_are_those_of_plain_sets():
+    words = quality.Words()
+    for text in ("one two one", "word", "a " * 3000, " ".join(f"w{i % 500} W{i}" for i in range(3000))):
+        got = quality.features(text, words)
+        assert got.tolist() == sorted(set(got.tolist())) and 0 <= got[0] and got[-1] < 1 << quality.BITS
+    both = set(quality.features("one two three", words).tolist())
+    assert 8 <= len(both) <= 3 + 2 + 3 + 2 + 1  # words, pairs, shapes of one to three; equal hashes count once
+    assert set(quality.features("one two", words).tolist()) <= both

@@ -1,6 +1,7 @@
 """Archives: exact round trips, members that can be read apart, and copies."""
 
 import hashlib
+import os
 import zlib
 
 from ledgerline.llm import warc
@@ -34,3 +35,23 @@ def test_payloads_survive(spark, sf_dir):
     plain = warc.write_archives(warc.with_originals(pages))
     read = warc.read_records(warc.normalise(plain))
     assert {r.page_id: r.url for r in read.collect()} == {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Files of one stream and of many members, lower-case headers, and a record larger than a part."""
+    blobs = [f"WARC/1.0\r\nWARC-Type: resource\r\ncontent-length:{len(b)}\r\nWARC-Record-ID: <urn:x:{i}>\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate([b"", b"a" * 50, os.urandom(6 << 20), b"\r\n\r\n"])]
+    gz = lambda b: zlib.compress(b, wbits=31)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.warc.gz").write_bytes(gz(b"".join(blobs)))
+    (tmp_path / "in" / "many.warc.gz").write_bytes(b"".join(map(gz, blobs)))
+    assert [len(i) for _, i in warc.rewrite_parts(gz(b"".join(blobs)), 1 << 20)] == [2, 1, 1]
+    got = warc.normalise(warc.outside(spark, str(tmp_path / "in")))
+    rows = warc.records(got).collect()
+    assert len(rows) == 8 and {r.headers["WARC-Record-ID"] for r in rows} == {f"<urn:x:{i}>" for i in range(4)}
+    assert sorted(len(r.block) for r in rows) == sorted([0, 50, 6 << 20, 4] * 2)
+    files = warc.export(got, str(tmp_path / "out")).collect()
+    assert [f.members for f in files] == [4, 4] and len(list((tmp_path / "out").iterdir())) == 4
+    for f in files:
+        data = (tmp_path / "out" / f.file).read_bytes()
+        index = [tuple(map(int, x.split())) for x in (tmp_path / "out" / f.file.replace(".warc.gz", ".idx")).read_text().splitlines()]
+        assert [zlib.decompress(data[a : a + n], 31) for a, n in index] == blobs
