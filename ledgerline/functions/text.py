@@ -173,6 +173,24 @@ def branch_markers(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.zip_with(kinds, numbers, marker)))
 
 
+# Device names that cannot begin a file name.
+DEVICES = r"^(?i:CON|PRN|AUX|NUL|(?:COM|LPT)[1-9¹²³])$"
+
+
+def portable_filename(c: Column, most: int = 180) -> Column:
+    """A file name that is valid on common systems and at most ``most`` bytes long, with its suffix; ``upload`` where nothing stays."""
+    clean = F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"[ .]+$", "")
+    device = F.regexp_replace(F.substring_index(clean, ".", 1), " +$", "").rlike(DEVICES)
+    name = F.when(device, F.concat(F.lit("_"), clean)).otherwise(clean)
+    suffix = F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$", 1)
+    stem = F.substr(name, F.lit(1), F.length(name) - F.length(suffix))
+    room = F.lit(most) - F.octet_length(suffix)
+    # a character has a byte at least, so no longer prefix can fit
+    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(stem), room)), lambda i: F.octet_length(F.substr(stem, F.lit(1), i)) <= room)
+    cut = F.regexp_replace(F.substr(stem, F.lit(1), F.array_max(fits)), r"[ .]+$", "")
+    return F.concat(F.when(cut == "", "upload").otherwise(cut), suffix)
+
+
 def csv_safe(c: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets a leading apostrophe."""
     return F.when(F.ltrim(c).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)

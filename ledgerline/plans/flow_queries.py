@@ -271,6 +271,17 @@ def layout_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s, at, kind) for s, (at, kind, _) in found.items()], "sheet string, header_row int, layout string")
 
 
+@query("xlsx_sink", "SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS id, c_name AS name, c_nationkey AS nation FROM customer")
+def xlsx_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as workbooks and read back: identifiers keep their zeros."""
+    xlsx.register(spark)
+    path = scratch(spark, "workbooks")
+    rows = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    rows.write.format("xlsx").option("path", path).option("rowsPerSheet", "400").mode("append").save()
+    cells = spark.read.format("xlsx").option("path", path).load().where("row > 1")
+    return cells.select(F.col("cells")["A"].alias("id"), F.col("cells")["B"].alias("name"), F.col("cells")["C"].cast("int").alias("nation"))
+
+
 @query("sheet_catalog_filter", "SELECT 'notes' AS skipped")
 def sheet_catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets without a known layout."""

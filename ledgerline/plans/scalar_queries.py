@@ -317,6 +317,21 @@ def valid_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.valid_name(value).alias("valid"), tx.water_receiver(value).alias("receiver"))
 
 
+@query(
+    "portable_filename",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '_' || p_size || '_.xlsx' WHEN 1 THEN '_CON.' || p_size WHEN 2 THEN repeat('é', (180 - 1 - length(p_size::VARCHAR)) // 2) || '.' || p_size
+       WHEN 3 THEN 'upload' ELSE 'a_b' || p_size || '.tar.gz' END AS name FROM part""",
+)
+def portable_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    raws = [
+        F.concat("p_name", F.lit(":"), size, F.lit("?.xlsx")), F.concat(F.lit("CON."), size), F.concat(F.lit("é" * 120), F.lit("."), size),
+        F.lit(" .. "), F.concat(F.lit("a/b"), size, F.lit(".tar.gz. ")),
+    ]
+    raw = F.get(F.array(*raws), (F.col("p_partkey") % 5).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.portable_filename(raw).alias("name"))
+
+
 @query(
     "branch_markers",
     """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'cs:' || p_size || ',kv:1' WHEN 1 THEN 'school:' || p_size ELSE '' END AS markers FROM part""",

@@ -1,24 +1,33 @@
-"""A batch data source for XLSX workbooks: zip and XML read in a stream, one partition per sheet.
+"""A batch data source for XLSX workbooks: zip and XML read and written in streams, one partition per sheet.
 
 Options: ``path`` (a workbook, or a folder of them, reachable from the executors), ``sheet`` (all by default). Rows are
-(file, sheet, row, cells); cells are text by column letter, so long or zero-led digit runs keep their digits.
+(file, sheet, row, cells); cells are text by column letter, so long or zero-led digit runs keep their digits. Written tables
+make a workbook for each task in the folder ``path``; ``rowsPerSheet`` bounds a sheet.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import NumericType
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Uncompressed bytes that a workbook may have.
 MOST_BYTES = 2 << 30
+#: Rows that a sheet can hold.
+MOST_ROWS = 1_048_576
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
 class SheetPartition(InputPartition):
@@ -85,6 +94,54 @@ class XlsxReader(DataSourceReader):
             yield partition.path, partition.sheet, number, cells
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """The workbook of a task, under the name of its attempt."""
+
+    attempt: str
+    rows: int
+
+
+class XlsxWriter(DataSourceWriter):
+    """A workbook for each task, rows streamed to its sheets. Text stays text (identifiers keep their zeros and nothing becomes a
+    formula), numbers are numbers. Workbooks get their names when the whole write is committed."""
+
+    def __init__(self, options: dict[str, str], schema) -> None:
+        self.path, self.most = options["path"], int(options.get("rowspersheet", MOST_ROWS))
+        self.columns = [(f.name, isinstance(f.dataType, NumericType)) for f in schema.fields]
+
+    def write(self, iterator: Iterator) -> Written:
+        os.makedirs(self.path, exist_ok=True)
+        attempt = os.path.join(self.path, f"_{uuid.uuid4().hex}.part")
+        head = [(name, False) for name, _ in self.columns]
+        n, sheets = 0, 0
+        with zipfile.ZipFile(attempt, "w", zipfile.ZIP_DEFLATED) as z:
+            rest = iter(iterator)
+            row = next(rest, None)
+            while row is not None or not sheets:
+                sheets += 1
+                with z.open(f"xl/worksheets/sheet{sheets}.xml", "w") as f:
+                    f.write(f'{_HEAD}<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{_line(1, [h for h, _ in head], head)}'.encode())
+                    at = 1
+                    while row is not None and at < self.most:
+                        at += 1
+                        f.write(_line(at, row, self.columns).encode())
+                        n += 1
+                        row = next(rest, None)
+                    f.write(b"</sheetData></worksheet>")
+            _frame(z, [f"rows{i}" for i in range(1, sheets + 1)])
+        return Written(attempt, n)
+
+    def commit(self, messages: list) -> None:
+        for i, m in enumerate(m for m in messages if m is not None):
+            os.replace(m.attempt, os.path.join(self.path, f"part-{i:05d}.xlsx"))
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.attempt):
+                os.remove(m.attempt)
+
+
 class XlsxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -96,27 +153,43 @@ class XlsxSource(DataSource):
     def reader(self, schema) -> XlsxReader:
         return XlsxReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> XlsxWriter:
+        return XlsxWriter(dict(self.options), schema)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)
 
 
-def write_workbook(path: str, tables: dict[str, list[list[str]]]) -> None:
-    """A small workbook of text cells, a sheet per table, written whole and then moved into place."""
-    from xml.sax.saxutils import escape, quoteattr
+def _column(i: int) -> str:
+    return (_column(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
 
-    def column(i: int) -> str:
-        return (column(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+def _line(number: int, values, columns: list[tuple[str, bool]]) -> str:
+    """A row of cells; what is null has none, and characters that XML forbids are left out."""
+    cells = []
+    for i, (v, (_, numeric)) in enumerate(zip(values, columns, strict=True)):
+        if v is None or v == "":
+            continue
+        at = f'<c r="{_column(i)}{number}"'
+        cells.append(f"{at}><v>{v}</v></c>" if numeric else f'{at} t="inlineStr"><is><t xml:space="preserve">{escape(_FORBIDDEN.sub("", str(v)))}</t></is></c>')
+    return f'<row r="{number}">{"".join(cells)}</row>'
 
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+
+def _frame(z: zipfile.ZipFile, names: list[str]) -> None:
+    """The parts of a workbook beside its sheets."""
     main, office = _MAIN[1:-1], _REL[1 : _REL.index("}")]
-    names = list(tables)
+    z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/></Types>')
+    z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+    z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+
+
+def write_workbook(path: str, tables: dict[str, list[list[str]]]) -> None:
+    """A small workbook of text cells, a sheet per table, written whole and then moved into place."""
     part = f"{path}.part"
     with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/></Types>')
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
-        for i, name in enumerate(names, 1):
-            lines = (f'<row r="{r}">' + "".join(f'<c r="{column(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for c, v in enumerate(cells) if v) + "</row>" for r, cells in enumerate(tables[name], 1))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+        _frame(z, list(tables))
+        for i, lines in enumerate(tables.values(), 1):
+            rows_ = (_line(r, cells, [("", False)] * len(cells)) for r, cells in enumerate(lines, 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{_HEAD}<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{"".join(rows_)}</sheetData></worksheet>')
     os.replace(part, path)
