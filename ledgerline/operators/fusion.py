@@ -33,26 +33,30 @@ def fuse(hits: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id", "pattern_id", "customer_id").agg(F.round(score, 9).alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
-def reserved_places(hits: DataFrame, limit: int) -> DataFrame:
-    """(query_id, pattern_id, place): the first hit of each of a channel's first ``limit // 5`` customers, channel by channel."""
-    ranked = first_positions(hits).where(F.col("channel").isin(list(RESERVED)))
-    own = ranked.withColumn("own", F.row_number().over(Window.partitionBy("query_id", "channel", "customer_id").orderBy("rank"))).where("own = 1")
-    kept = own.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("rank"))).where(F.col("n") <= max(1, limit // 5))
-    order = F.coalesce(*(F.when(F.col("channel") == c, F.lit(i)) for i, c in enumerate(RESERVED)))
-    first = kept.groupBy("query_id", "pattern_id", "customer_id").agg(F.min(F.struct(order.alias("c"), F.col("n"))).alias("at"))
-    places = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at.c", "at.n")))
-    return places.where(F.col("place") <= limit).select("query_id", "pattern_id", "customer_id", "place")
-
-
 def select_diverse(hits: DataFrame, limit: int) -> DataFrame:
     """(query_id, pattern_id, customer_id, score, place): reserved places, then by score with at most PER_CUSTOMER of a
-    customer (its reserved ones count), then what was put off by that quota, up to ``limit``."""
-    scored = fuse(hits).drop("channels")
-    held = reserved_places(hits, limit)
-    rows = scored.join(held.select("query_id", "pattern_id", "place"), ["query_id", "pattern_id"], "left")
+    customer (its reserved ones count), then what was put off by that quota, up to ``limit``.
+
+    The hits are dealt out by query once; all that follows groups by the query and more, and needs no other shuffle.
+    """
+    ranked = first_positions(hits.repartition("query_id"))
+    channel = F.col("channel")
+    weight = F.coalesce(*(F.when(channel == c, F.lit(w)) for c, w in CHANNEL_WEIGHTS.items()))
+    order = F.coalesce(*(F.when(channel == c, F.lit(i)) for i, c in enumerate(RESERVED)))
+    first = F.row_number().over(Window.partitionBy("query_id", "channel", "customer_id").orderBy("rank")) == 1
+    ranked = ranked.withColumn("first", first)
+    upto = Window.partitionBy("query_id", "channel").orderBy("rank")
+    ranked = ranked.withColumn("n", F.sum(F.when(F.col("first"), 1).otherwise(0)).over(upto))
+    held = F.col("first") & order.isNotNull() & (F.col("n") <= max(1, limit // 5))
+    rows = ranked.where(weight.isNotNull()).groupBy("query_id", "pattern_id", "customer_id").agg(
+        F.round(F.sum(reciprocal_rank(weight, F.col("rank"))), 9).alias("score"), F.min(F.when(held, F.struct(order.alias("c"), F.col("n")))).alias("at")
+    )
+    by_place = Window.partitionBy("query_id").orderBy(F.col("at").isNull(), "at.c", "at.n")
+    place = F.row_number().over(by_place)
+    rows = rows.withColumn("place", place).withColumn("place", F.when(F.col("at").isNotNull() & (F.col("place") <= limit), F.col("place"))).drop("at")
     own = Window.partitionBy("query_id", "customer_id")
     by_score = own.orderBy(F.col("place").isNotNull(), F.desc("score"), "pattern_id")
     rows = rows.withColumn("taken", F.count("place").over(own)).withColumn("nth", F.row_number().over(by_score) + F.col("taken"))
     tier = F.when(F.col("place").isNotNull(), 0).when(F.col("nth") <= PER_CUSTOMER, 1).otherwise(2)
-    order = Window.partitionBy("query_id").orderBy(tier, F.col("place").asc_nulls_last(), F.desc("score"), "pattern_id")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "pattern_id", "customer_id", "score", "place")
+    last = Window.partitionBy("query_id").orderBy(tier, F.col("place").asc_nulls_last(), F.desc("score"), "pattern_id")
+    return rows.withColumn("place", F.row_number().over(last)).where(F.col("place") <= limit).select("query_id", "pattern_id", "customer_id", "score", "place")
