@@ -30,12 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later plans start from files that outlive executors."""
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` to a new folder in the shared one; the table read back from there, and the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: later plans start from files that outlive executors."""
+    return written(df, label)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of ``written`` that no later plan reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

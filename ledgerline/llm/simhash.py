@@ -7,8 +7,9 @@ replicated to every anchor within covering radius plus threshold (2): 16 of them
 Homes and replicas that meet at an anchor are compared in full. Nothing is missed: the home of one of two linked
 fingerprints is an anchor to which the other one is replicated.
 
-Equal fingerprints are one node from the start, so the size of a group of copies plays no part in the search. Components
-come from alternating large-star and small-star rounds over the links, each round written to the shared folder.
+Equal fingerprints are one node from the start, so the size of a group of copies plays no part in the search. Anchors at
+which many distinct fingerprints meet are searched by a second key: of the other half's four bytes at least one is equal, as
+at most three bits differ. Components come from alternating large-star and small-star rounds over the links, each round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import map_texts, spread, staged
+from ledgerline.llm.common import map_texts, remove, spread, staged, written
 
 SEED = 42
 WIDTH = 3
 DISTANCE = 3
+#: An anchor that is home to more distinct fingerprints is searched by the other half's bytes as well.
+CROWD = 256
 #: Shingles whose bits are counted at once.
 _AT_ONCE = 1 << 15
 
@@ -101,11 +104,41 @@ def links(fps: DataFrame) -> DataFrame:
     )
     near = F.transform(F.concat(F.array("home"), couples), lambda c: _anchor(c, F.col("last"), F.col("half")))
     turned = F.array(_anchor(F.col("home"), F.lit(1) - F.col("last"), F.col("half")))
-    replicas = halves.select(F.explode(F.concat(near, turned)).alias("anchor"), F.col("fp").alias("v"))
+    replicas = halves.select(F.explode(F.concat(near, turned)).alias("anchor"), F.col("half"), F.col("fp").alias("v"))
+    crowded = staged(homes.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowded")
+    if crowded.isEmpty():
+        return _near(homes.join(replicas.drop("half"), "anchor"))
+    # home rows alone decide which way a pair is met, so each pair is met one way
+    sparse = _near(homes.join(crowded, "anchor", "left_anti").join(replicas.drop("half"), "anchor"))
+    homes = _by_byte(homes.join(crowded, "anchor", "left_semi"), "u")
+    replicas = _by_byte(replicas.join(crowded, "anchor", "left_semi"), "v").drop("half")
+    met = homes.join(replicas, ["anchor", "byte", "value"])
+    other = _other_half(F.col("u").bitwiseXOR(F.col("v")))
+    first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _byte(other, i)), F.lit(0)) - 1
+    return sparse.unionByName(_near(met.where(F.col("byte") == first)))
+
+
+def _near(met: DataFrame) -> DataFrame:
+    """The pairs u < v of those that meet at an anchor that are linked, each once."""
     differ = F.col("u").bitwiseXOR(F.col("v"))
     # a pair belongs to the upper half if it is near there, else to the lower one
     once = (F.col("half") == 0) == (F.bit_count(F.shiftrightunsigned(differ, 32)) <= 1)
-    return homes.join(replicas, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= DISTANCE) & once).select("u", "v")
+    return met.where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= DISTANCE) & once).select("u", "v")
+
+
+def _other_half(fp: Column) -> Column:
+    """The half that the anchor was not made of."""
+    return F.when(F.col("half") == 0, fp.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))).otherwise(F.shiftrightunsigned(fp, 32))
+
+
+def _byte(half: Column, i: Column) -> Column:
+    return F.call_function("shiftright", half, i * 8).bitwiseAND(F.lit(255).cast("long")).cast("int")
+
+
+def _by_byte(rows: DataFrame, fp: str) -> DataFrame:
+    """A row for each byte of the other half."""
+    rows = rows.withColumn("byte", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return rows.withColumn("value", _byte(_other_half(F.col(fp)), F.col("byte")))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -119,16 +152,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star: each node ties its greater neighbours to its least neighbour. Small-star: each node ties its lesser
     neighbours to the least of them. At the fixed point all ties lead to roots. Minima combine before the shuffle.
     """
-    now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "ties")
+    spark = edges.sparkSession
+    now, path = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "ties")
     before = _state(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "large")
+        large, large_path = written(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = staged(small.distinct(), "small")
+        superseded = (path, large_path)
+        now, path = written(small.distinct(), "small")
+        remove(spark, *superseded)
         after = _state(now)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -169,6 +205,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     prints = staged(fingerprints(docs, key=True), "prints")
     nodes = staged(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")), "nodes")
-    stays = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_row"))
-    kept = docs.withColumn("_row", _row_key(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(stays.hint("shuffle_hash"), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).drop("_row")
+    stays = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    row = "_" * (1 + max(map(len, docs.columns)))  # no column of docs
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = docs.withColumn(row, _row_key(doc_id, text))
+    kept = keyed.join(stays.hint("shuffle_hash"), keyed["doc_id"].cast("long").eqNullSafe(stays["_id"]) & (keyed[row] == stays["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", row]).drop(row)

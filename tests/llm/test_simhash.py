@@ -41,8 +41,9 @@ def test_fingerprints():
         assert simhash.fingerprint(t) & (1 << 64) - 1 == plain_fingerprint(t), t
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_are_whole(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(1, simhash.CROWD), (2, simhash.CROWD), (3, 0), (4, 2)])
+def test_links_are_whole(spark, monkeypatch, seed, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(seed)
     prints = {0, (1 << 64) - 1}
     for _ in range(40):
@@ -79,9 +80,9 @@ def test_rows(spark):
 def test_one_of_each_component(spark):
     lone = [(None, f"text number {i} with its own words {i * 7} {i * 11} and {i * 13}") for i in range(5)]
     rows = lone + lone[:2] + [(1, "first text of an id that comes twice"), (1, "quite another story under this same id"), (2, "quite another story under this same id")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, _id string, _row string")
     kept = [tuple(r) for r in simhash.one_of_each(docs).collect()]
-    assert sorted(kept, key=str) == sorted(lone + rows[7:9], key=str)
+    assert sorted(kept, key=str) == sorted([(*r, "a", "b") for r in lone + rows[7:9]], key=str)
 
 
 def test_whole_table(spark, sf_dir):
