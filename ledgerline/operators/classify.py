@@ -20,6 +20,7 @@ from ledgerline.functions import sequence as sq
 from ledgerline.functions import text as tx
 from ledgerline.functions import values as vl
 from ledgerline.operators import decide, fusion, knowledge, similarity
+from ledgerline.operators import names as nm
 from ledgerline.operators.postings import TOKEN_WEIGHTS, common_owners, token_owners, top_k, top_k_split
 from ledgerline.operators.staging import staged
 
@@ -52,6 +53,7 @@ class Knowledge:
     members: DataFrame  # set_key, pattern_id, customer_id: the newest patterns of a set, at most CHANNEL_LIMIT
     negatives: DataFrame | None = None  # text_key, customer_id
     registry: DataFrame | None = None  # customer_id, name, member: customers that are known without a pattern of their own
+    positions: DataFrame | None = None  # channel, context, stops: where names stand, learned if the examples have names
 
 
 def _signature(raw):
@@ -62,11 +64,14 @@ def _bank_name(raw):
     return raw.map(nr.bank_name)
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """Adds norm, signature (of names and places), names (of bank fields), recurring (of texts and stable numbers),
+def parsed(rows: DataFrame, key: str = "", positions: DataFrame | None = None) -> DataFrame:
+    """Adds norm, signature (of names and places), names (of bank fields, else at learned positions), recurring (of texts and stable numbers),
     template_key, water and text_key."""
     rows = nr.normalized(rows)
     rows = rows.withColumn("signature", F.pandas_udf(_signature, "string")("raw")).withColumn("bank_name", F.pandas_udf(_bank_name, "string")("raw"))
+    if positions is not None:
+        located = nm.extract(rows, positions, [key]).groupBy(key).agg(F.min("name").alias("located"))
+        rows = rows.join(located, key, "left").withColumn("bank_name", F.coalesce("bank_name", "located")).drop("located")
     rows = rows.withColumn("names", F.array_compact(F.array("bank_name"))).drop("bank_name")
     return rows.select(
         "*", rt.recurring_signature(F.col("norm"), F.col("channel")).alias("recurring"), rt.layout_key(F.col("norm.template"), F.col("norm.structure"), F.col("channel")).alias("template_key"),
@@ -105,9 +110,12 @@ def tokens(owner: Column | None, name: Column | None = None, only: tuple[str, ..
 
 def build(examples: DataFrame, negatives: DataFrame | None = None, registry: DataFrame | None = None) -> Knowledge:
     """Knowledge from confirmed examples (txn_id, cid, channel, raw, period, mode, and the customer's name if known)."""
-    if "name" not in examples.columns:
+    positions = None
+    if "name" in examples.columns:
+        positions = staged(nm.learn_positions(examples), "positions")
+    else:
         examples = examples.withColumn("name", F.lit(""))
-    rows = staged(parsed(examples), "examples").withColumn("identity", F.array_join(rt.pattern_identity(F.col("norm.numbers")), ","))
+    rows = staged(parsed(examples, "txn_id", positions), "examples").withColumn("identity", F.array_join(rt.pattern_identity(F.col("norm.numbers")), ","))
     keys = ["cid", "channel", "template_key", "identity"]
     state = knowledge.learn(None, rows.select(*keys, "period"), keys)
     last = rows.groupBy(*keys).agg(F.max("txn_id").alias("pattern_id"))
@@ -130,7 +138,7 @@ def build(examples: DataFrame, negatives: DataFrame | None = None, registry: Dat
     of_one = F.when(F.col("unique"), F.col("n")).otherwise(1)
     templates = split.groupBy("template_key").agg(F.max(of_one).alias("most_customers"), F.coalesce(F.sum(F.when(of_one >= knowledge.SETTLEMENT, F.col("rows"))), F.lit(0)).alias("settled_rows"))
     customers = rows.groupBy("template_key").agg(F.count_distinct("cid").alias("customers"))
-    return Knowledge(patterns, posts, staged(memory, "memory"), staged(templates.join(customers, "template_key"), "templates"), sets, members, negatives, registry)
+    return Knowledge(patterns, posts, staged(memory, "memory"), staged(templates.join(customers, "template_key"), "templates"), sets, members, negatives, registry, positions)
 
 
 def _channel(token: Column) -> Column:
@@ -381,7 +389,7 @@ def _allocations(asked: DataFrame, known: Knowledge) -> DataFrame:
 def classify(rows: DataFrame, known: Knowledge) -> DataFrame:
     """(query_id, decision, customer_id, score, reason, alternatives, allocation, unallocated) of narratives (query_id, channel,
     raw, amount, mode). allocation lists the customers of a transfer for several ids; money is never split."""
-    queries = staged(parsed(rows), "queries")
+    queries = staged(parsed(rows, "query_id", known.positions), "queries")
     owned = ownership(queries, known)
     asked = queries.join(owned, "query_id", "left").join(known.memory, ["recurring", "channel"], "left")
     asked = asked.join(known.templates.select("template_key", "customers", "most_customers", "settled_rows"), "template_key", "left")

@@ -77,6 +77,49 @@ def review(state: DataFrame, feedback: DataFrame, keys: list[str]) -> tuple[Data
     return merged, negatives
 
 
+def hard_negatives(reviews: DataFrame) -> DataFrame:
+    """(text_key, customer_id, count) after reviews (entry_key, at, text_key, proposed, chosen, mentioned, allocation).
+
+    A proposed customer that was not chosen is a negative of the text, once for each entry and choice. It is none if the text
+    names, or an earlier allocation pays, several customers and both are among them: they are co-recipients. An acceptance
+    lifts the negatives of its text and customer that came before it. A rejection has no chosen customer.
+    """
+
+    def together(ids: str) -> Column:
+        return (F.size(F.array_distinct(ids)) > 1) & F.array_contains(ids, F.col("proposed")) & F.array_contains(ids, F.col("chosen"))
+
+    co_recipient = F.coalesce(together("mentioned"), F.lit(False)) | F.coalesce(together("allocation"), F.lit(False))
+    wrong = reviews.where(F.col("proposed").isNotNull() & ~F.col("proposed").eqNullSafe(F.col("chosen")) & ~co_recipient)
+    once = wrong.groupBy("entry_key", "text_key", F.col("proposed").alias("customer_id"), "chosen").agg(F.min("at").alias("at"))
+    lifts = reviews.where("chosen IS NOT NULL").groupBy("text_key", F.col("chosen").alias("customer_id")).agg(F.max("at").alias("lifted"))
+    left = once.join(lifts, ["text_key", "customer_id"], "left").where("lifted IS NULL OR at > lifted")
+    return left.groupBy("text_key", "customer_id").agg(F.count("*").alias("count"))
+
+
+def undo(changes: DataFrame, current: DataFrame, asked: DataFrame) -> DataFrame:
+    """(change_id, entity, outcome, value) of each asked change_id of the log.
+
+    changes is the log (change_id, entity, before, after, reversible, reverted), current the values now (entity, value). A
+    change is undone if it is reversible and not reverted yet (else: fixed), the last one of its entity (else: newer), and
+    what it left is still there (else: changed); value is what stood before it, null if nothing did.
+    """
+    last = changes.groupBy("entity").agg(F.max("change_id").alias("last"))
+    now = current.select("entity", F.col("value").alias("now"))
+    rows = changes.join(asked.select("change_id").distinct(), "change_id", "left_semi").join(last, "entity").join(now, "entity", "left")
+    outcome = (
+        F.when(~F.col("reversible") | F.col("reverted"), "fixed").when(F.col("last") > F.col("change_id"), "newer")
+        .when(~F.col("now").eqNullSafe(F.col("after")), "changed").otherwise("undone")
+    )
+    return rows.select("change_id", "entity", outcome.alias("outcome"), F.col("before").alias("value"))
+
+
+def after_undo(current: DataFrame, undone: DataFrame) -> DataFrame:
+    """(entity, value): the current values with undone changes taken back; an entity without a value before is gone."""
+    back = undone.where("outcome = 'undone'").select("entity", F.col("value").alias("before"), F.lit(True).alias("back"))
+    both = current.join(back, "entity", "full")
+    return both.select("entity", F.when(F.col("back"), F.col("before")).otherwise(F.col("value")).alias("value")).where("value IS NOT NULL")
+
+
 def invalidate(stats: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics without the positions that a correction touched."""
     return stats.join(positions.select(*keys).distinct(), keys, "left_anti")

@@ -106,6 +106,54 @@ def review_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(negatives.select("cid", F.lit(True).alias("blocked")), "cid", "left").select("cid", "seen", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
+_REVIEWS = f"""{_NV}, k AS (SELECT raw, min(cid) AS proposed FROM nv WHERE period < '{HOLDOUT}' GROUP BY raw),
+r AS (SELECT txn_id, raw, proposed, CASE WHEN txn_id % 4 <> 0 THEN cid END AS chosen, CASE WHEN txn_id % 3 = 0 THEN [cid, proposed] ELSE [cid] END AS mentioned FROM nv LEFT JOIN k USING (raw) WHERE period >= '{HOLDOUT}'),
+w AS (SELECT txn_id, raw, proposed AS customer_id FROM r WHERE proposed IS NOT NULL AND proposed IS DISTINCT FROM chosen AND NOT coalesce(len(list_distinct(mentioned)) > 1 AND list_contains(mentioned, proposed) AND list_contains(mentioned, chosen), FALSE)),
+l AS (SELECT raw, chosen AS customer_id, max(txn_id) AS lifted FROM r WHERE chosen IS NOT NULL GROUP BY ALL)"""
+
+
+@query("review_co_recipients", f"{_REVIEWS} SELECT sha256(raw) AS text_key, customer_id, CAST(count(*) AS BIGINT) AS count FROM w LEFT JOIN l USING (raw, customer_id) WHERE lifted IS NULL OR txn_id > lifted GROUP BY ALL")
+def review_co_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdout reviewed: memory's first owner was proposed; some texts name two customers, some entries are rejected."""
+    n = narratives(spark, sf_dir)
+    known = n.where(F.col("period") < HOLDOUT).groupBy("raw").agg(F.min("cid").alias("proposed"))
+    rows = n.where(F.col("period") >= HOLDOUT).join(known, "raw", "left")
+    both = F.when(F.col("txn_id") % 3 == 0, F.array("cid", "proposed")).otherwise(F.array("cid"))
+    reviews = rows.select(
+        F.col("txn_id").alias("entry_key"), F.col("txn_id").alias("at"), F.sha2("raw", 256).alias("text_key"), "proposed",
+        F.when(F.col("txn_id") % 4 != 0, F.col("cid")).alias("chosen"), both.alias("mentioned"), F.array().cast("array<string>").alias("allocation"),
+    )
+    return kn.hard_negatives(reviews)
+
+
+_CHANGES = """WITH c AS (SELECT o_orderkey AS change_id, o_custkey AS entity, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS before, o_orderpriority AS after, o_orderkey % 7 <> 0 AS reversible, o_orderkey % 11 = 0 AS reverted FROM orders),
+s AS (SELECT entity, max(change_id) AS last, CASE WHEN entity % 5 = 0 THEN 'edited' ELSE arg_max(after, change_id) END AS value FROM c GROUP BY entity),
+u AS (SELECT change_id, entity, before, value, CASE WHEN NOT reversible OR reverted THEN 'fixed' WHEN last > change_id THEN 'newer' WHEN value <> after THEN 'changed' ELSE 'undone' END AS outcome FROM c JOIN s USING (entity))"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A log of changes and the values now, some of which were edited past the log."""
+    key = F.col("o_orderkey")
+    log = table(spark, sf_dir, "orders").select(
+        key.alias("change_id"), F.col("o_custkey").alias("entity"), F.when(key % 3 != 0, F.col("o_orderstatus")).alias("before"),
+        F.col("o_orderpriority").alias("after"), (key % 7 != 0).alias("reversible"), (key % 11 == 0).alias("reverted"),
+    )
+    last = log.groupBy("entity").agg(F.max_by("after", "change_id").alias("value"))
+    return log, last.select("entity", F.when(F.col("entity") % 5 == 0, "edited").otherwise(F.col("value")).alias("value"))
+
+
+@query("undo_changes", f"{_CHANGES} SELECT change_id, outcome FROM u")
+def undo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, current = _changes(spark, sf_dir)
+    return kn.undo(log, current, log).select("change_id", "outcome")
+
+
+@query("undo_state", f"{_CHANGES}, b AS (SELECT entity, before FROM u WHERE outcome = 'undone') SELECT entity, CASE WHEN b.entity IS NOT NULL THEN before ELSE value END AS value FROM s LEFT JOIN b USING (entity) WHERE b.entity IS NULL OR before IS NOT NULL")
+def undo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, current = _changes(spark, sf_dir)
+    return kn.after_undo(current, kn.undo(log, current, log))
+
+
 @query(
     "import_pipeline",
     f"{_NV} SELECT channel, CASE WHEN amount <= 1000 THEN 'skipped' WHEN txn_id % 11 = 0 THEN 'unresolved' ELSE 'learned' END AS status, CAST(count(*) AS BIGINT) AS n FROM nv WHERE period < '{HOLDOUT}' GROUP BY ALL",

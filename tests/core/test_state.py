@@ -130,3 +130,34 @@ def test_workbook(tmp_path):
     (name, part), (other, _) = xlsx.sheets(path)
     assert (name, other) == ("one & two", "empty")
     assert list(xlsx.rows(path, part)) == [(1, {"A": "00123", "C": "é <x>"})]
+
+
+def test_hard_negatives(spark):
+    rows = [
+        (1, 1, "t", "A", "B", ["B"], None),  # A is wrong
+        (1, 2, "t", "A", "B", ["B"], None),  # the same entry and choice again
+        (2, 3, "t", "A", None, [], []),  # rejected
+        (3, 4, "u", "A", "B", ["A", "B"], None),  # both are named
+        (4, 5, "u", "A", "B", [], ["A", "B", "C"]),  # both were paid before
+        (5, 6, "v", "A", "B", ["A"], ["A"]),  # one name only
+        (6, 7, "v", "C", "A", None, None),  # lifts v, A and turns C down
+        (7, 8, "w", "A", "A", [], []),  # confirmed as proposed
+        (8, 9, "w", None, "A", [], []),
+        (9, 10, "w", "A", None, [], []),  # rejected after it was accepted
+        (10, 11, None, "A", None, None, None),
+    ]
+    schema = "entry_key int, at int, text_key string, proposed string, chosen string, mentioned array<string>, allocation array<string>"
+    reviews = spark.createDataFrame(rows, schema)
+    got = {(r.text_key, r.customer_id, r["count"]) for r in knowledge.hard_negatives(reviews).collect()}
+    assert got == {("t", "A", 2), ("v", "C", 1), ("w", "A", 1), (None, "A", 1)}
+    assert knowledge.hard_negatives(reviews.limit(0)).count() == 0
+
+
+def test_undo(spark):
+    log = [(1, "a", None, "x", True, False), (2, "a", "x", "y", True, False), (3, "b", "o", "p", False, False), (4, "c", "o", "p", True, True), (5, "d", "o", "p", True, False), (6, "e", None, "n", True, False), (7, "f", "gone", None, True, False)]
+    changes = spark.createDataFrame(log, "change_id int, entity string, before string, after string, reversible boolean, reverted boolean")
+    current = spark.createDataFrame([("a", "y"), ("b", "p"), ("c", "p"), ("d", "edited"), ("e", "n"), ("g", "kept")], "entity string, value string")
+    undone = knowledge.undo(changes, current, changes)
+    assert {r.change_id: r.outcome for r in undone.collect()} == {1: "newer", 2: "undone", 3: "fixed", 4: "fixed", 5: "changed", 6: "undone", 7: "undone"}
+    assert dict(map(tuple, knowledge.after_undo(current, undone).collect())) == {"a": "x", "b": "p", "c": "p", "d": "edited", "f": "gone", "g": "kept"}
+    assert knowledge.undo(changes, current, changes.limit(0)).count() == 0
