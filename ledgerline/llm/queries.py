@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe_codec, decontaminate, langid, licenses, merkle, quality, simhash, token_count, toxicity, warc
+from ledgerline.llm import bpe_codec, conversations, decontaminate, kmeans, langid, licenses, merkle, pii, quality, simhash, token_count, toxicity, warc
 from ledgerline.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,10 +66,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clustered(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")), table(spark, sf_dir, "conversations"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_token_counts, op3_language_id, op4_bpe_round_trip, op5_fingerprints, op6_quality, op7_toxicity, op8_warc, op9_decontamination, op10_simhash)
+    every = (
+        op1_license_scan, op2_token_counts, op3_language_id, op4_bpe_round_trip, op5_fingerprints, op6_quality, op7_toxicity, op8_warc, op9_decontamination, op10_simhash,
+        op11_clusters, op12_conversation_repair, op13_personal_data,
+    )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql(), "op8_warc": OP8_SQL}
+    return {"op1_license_scan": licenses.scan_sql(), "op8_warc": OP8_SQL, "op11_clusters": kmeans.clustered_sql(), "op12_conversation_repair": conversations.REPAIRED_SQL}
