@@ -28,7 +28,7 @@ EDITED, SHORT = 2 * WINDOW - 1 + NEEDED, 4
 TIGHT, SHORTEST = 10, 3
 #: Benchmark windows up to this many (about 100 bytes each) are broadcast; beyond it the join shuffles both sides.
 BROADCAST_WINDOWS = 500_000
-#: Up to so many questions with short windows, only texts with one of their telling words get short windows; no result changes.
+#: Up to so many questions with short windows, only texts with one of their telling words get short windows (see ``_short_gate``).
 GATED = 5_000
 
 # Units that may follow a number.
@@ -119,13 +119,8 @@ def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return _formed_windows(_forms(_tokens(rows.select(*keys, "text"))), keys, [(F.lit(WINDOW), F.lit(LITERAL), None)])
 
 
-def _question_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, kind, width, item_at, hash, item_slots, loose) of the questions.
-
-    Kind long: windows of WINDOW tokens. Kind short: those of SHORT tokens (SHORTEST below TIGHT), of questions that one
-    edited word can hide from the long ones. Kind whole: a question with fewer tokens than WINDOW, as it stands; loose tells
-    whether it has enough literal words to be known with other values.
-    """
+def _question_forms(benchmark: DataFrame) -> DataFrame:
+    """The questions' tokens, a row for each kind of windows that a question has (see ``_question_windows``): kind, width, least."""
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates()
     formed = _forms(_tokens(rows)).withColumn("n", F.size("plain"))
     kind = lambda name, width, least: F.struct(F.lit(name).alias("kind"), width.alias("width"), least.alias("least"))
@@ -134,36 +129,57 @@ def _question_windows(benchmark: DataFrame) -> DataFrame:
         F.when(long, kind("long", F.lit(WINDOW), F.lit(LITERAL))), F.when((n > 0) & ~long, kind("whole", n, F.lit(0))),
         F.when(long & (n < TIGHT), kind("short", F.lit(SHORTEST), F.lit(SHORTEST // 2 + 1))).when(long & (n < EDITED), kind("short", F.lit(SHORT), F.lit(SHORT // 2))),
     )
-    formed = formed.withColumn("k", F.explode(F.array_compact(kinds))).select("*", "k.kind", "k.width", "k.least")
+    return formed.withColumn("k", F.explode(F.array_compact(kinds))).select("*", "k.kind", "k.width", "k.least").drop("k")
+
+
+def _question_windows(formed: DataFrame) -> DataFrame:
+    """(item_id, kind, width, item_at, hash, item_slots, loose) of the questions' forms.
+
+    Kind long: windows of WINDOW tokens. Kind short: those of SHORT tokens (SHORTEST below TIGHT), of questions that one
+    edited word can hide from the long ones. Kind whole: a question with fewer tokens than WINDOW, as it stands; loose tells
+    whether it has enough literal words to be known with other values.
+    """
     found = _formed_windows(formed, ["item_id", "kind", "width"], [(F.col("width"), F.col("least"), None)])
     found = found.select("item_id", "kind", "width", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
     loose = (F.col("kind") != "whole") | (2 * F.coalesce(F.size("item_slots"), F.lit(0)) <= F.col("width"))
     return found.withColumn("loose", loose)
 
 
-def _short_gate(benchmark: DataFrame) -> Column | None:
-    """Whether a text (with its words) can hold a question that has short or whole windows; None if that cannot be told cheaply.
+def _needed() -> Column:
+    """How many places of a question must meet: one edited word takes at most as many windows as a window has tokens."""
+    few = F.greatest(F.lit(NEEDED), F.col("places") - F.col("width"))
+    return F.least(F.col("places"), F.when(F.col("kind") == "short", few).otherwise(F.lit(NEEDED)))
 
-    An edited word takes at most as many windows as a window has words. So of two literal words of a question, one of them
-    inside it (its windows alone are that many), a text that holds the question has one; the rarest in the benchmark are taken.
-    A question that is held as it stands needs one.
+
+def _short_gate(formed: DataFrame) -> Column | None:
+    """Whether a text (with its words) can hold a question by its short or whole windows; None if that cannot be told cheaply.
+
+    A place of a question is covered by a set of words if each of its windows, in every form, has one of them as a literal
+    word. Words of a question are taken, the rarest of the benchmark first, until the places that are not covered are fewer
+    than those that must meet: then a text that holds the question has one of the words. No result changes by this.
     """
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").dropDuplicates()
-    formed = _forms(_tokens(rows)).withColumn("n", F.size("plain"))
-    each = formed.select("item_id", "n", F.hash("words").alias("key"), F.posexplode(F.arrays_zip("words", "plain", F.coalesce("typed", "plain").alias("typed"))).alias("at", "x"))
-    each = each.select("item_id", "key", "n", "at", F.col("x.words").alias("word"), (~F.col("x.plain").startswith("<") & (F.col("x.typed") != "<name>")).alias("literal"))
-    often = each.groupBy("word").agg(F.count("*").alias("often"))
-    short = each.where(F.col("n") < EDITED)
-    width = F.when(F.col("n") < TIGHT, SHORTEST).otherwise(SHORT)
-    inside = (F.col("n") < WINDOW) | F.col("at").between(width - 1, F.col("n") - width)
-    best = Window.partitionBy("item_id", "key", "n").orderBy(F.desc("literal"), F.desc(inside), "often", F.desc(F.length("word")), "word", "at")
-    two = short.join(often, "word").withColumn("inside", inside & F.col("literal")).withColumn("nth", F.row_number().over(best)).where("nth <= 2")
-    told = F.when(F.col("n") < WINDOW, F.bool_or("inside")).otherwise(F.bool_or("inside") & (F.count_if("literal") == 2))
-    kept = two.groupBy("item_id", "key", "n").agg(told.alias("told"), F.collect_set("word").alias("words")).select("told", "words").limit(GATED + 1).collect()
-    if len(kept) > GATED or not all(r["told"] for r in kept):
+    rows = formed.where("kind <> 'long'")
+    words = formed.select("item_id", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+
+    def held(form: str) -> Column:
+        each = F.transform(_spans(F.col(form), F.col("width")), lambda i: F.struct(i.alias("at"), F.filter(F.slice(form, i, F.col("width")), lambda w: ~w.startswith("<")).alias("w"), F.array_contains(F.slice(form, i, F.col("width")), "<name>").alias("name")))
+        return F.filter(each, lambda x: (F.size(x["w"]) >= F.col("least")) & (x["name"] if form == "typed" else F.lit(True)))
+
+    every = F.concat(held("plain"), F.when(F.col("named"), held("typed")).otherwise(F.array()))
+    cut = rows.select("item_id", "kind", "width", F.explode(every).alias("x")).select("item_id", "kind", "width", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+    keys = ["item_id", "kind", "width"]
+    order = F.struct("often", (-F.length("word")).alias("short"), "word")
+    ranked = cut.select(*keys, "at", "w", F.explode_outer("w").alias("word")).join(words, "word", "left").withColumn("rank", F.when(F.col("word").isNotNull(), order))
+    rarest = ranked.groupBy(*keys, "at", "w").agg(F.min("rank").alias("rank"), F.collect_set("rank").alias("all"))
+    # a place is covered when its last window is; windows without a literal word never are
+    place = rarest.groupBy(*keys, "at").agg(F.max("rank").alias("rank"), F.bool_or(F.col("rank").isNull()).alias("never"), F.flatten(F.collect_set("all")).alias("all"))
+    of = place.groupBy(*keys).agg(F.count("*").alias("places"), F.array_sort(F.collect_list(F.when(~F.col("never"), F.col("rank")))).alias("ranks"), F.array_distinct(F.flatten(F.collect_list("all"))).alias("all"))
+    upto = F.get("ranks", F.col("places") - _needed())
+    gates = of.select(upto.isNotNull().alias("told"), F.transform(F.filter("all", lambda r: r <= upto), lambda r: r["word"]).alias("words")).limit(GATED + 1).collect()
+    if len(gates) > GATED or not all(r["told"] for r in gates):
         return None
-    words = sorted({w for r in kept for w in r["words"]})
-    return F.exists("words", lambda w: w.isin(words)) if words else F.lit(False)
+    chosen = sorted({w for r in gates for w in r["words"]})
+    return F.exists("words", lambda w: w.isin(chosen)) if chosen else F.lit(False)
 
 
 def _consistent(held: Column) -> Column:
@@ -186,7 +202,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> Dat
     slot has another value than in the question. With ``veto`` a question's value that stands for two values makes its whole
     diagonal inconsistent; without, only its windows with the rarer values are left out.
     """
-    questions = _question_windows(benchmark)
+    forms = _question_forms(benchmark)
+    questions = _question_windows(forms)
     places = questions.groupBy("item_id", "kind", "width").agg(F.count_distinct("item_at").alias("places"))
     questions = questions.join(places, ["item_id", "kind", "width"])
     many, widths = questions.agg(F.count("*"), F.collect_set("width")).first()
@@ -196,7 +213,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> Dat
     keys = ["doc_id", "text_key"]
     formed = _forms(_tokens(rows.select(*keys, "text")))
     short = sorted({*widths} - {WINDOW})
-    if short and (gate := _short_gate(benchmark)) is not None:
+    if short and (gate := _short_gate(forms)) is not None:
         formed = formed.withColumn("gate", gate)
     asked = [(F.lit(WINDOW), F.lit(LITERAL), None), *((F.lit(w), F.lit(0), F.col("gate") if "gate" in formed.columns else None) for w in short)]
     met = _formed_windows(formed, keys, asked).join(questions, "hash")
@@ -212,8 +229,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> Dat
     # a diagonal has at most the places of one question, whatever the corpus
     found = met.groupBy(*keys, "item_id", "kind", "width", "places", "single", "shift").agg(F.collect_set(F.struct("item_at", "pairs")).alias("held"))
     count = lambda held: F.size(F.array_distinct(F.transform(held, lambda x: x["item_at"])))
-    # one edited word takes at most as many windows as a window has tokens
-    needed = F.least(F.col("places"), F.when(F.col("kind") == "short", F.greatest(F.lit(NEEDED), F.col("places") - F.col("width"))).otherwise(F.lit(NEEDED)))
+    needed = _needed()
     found = found.where(count(F.col("held")) >= needed)
     if not veto:
         found = found.withColumn("held", _consistent(F.col("held"))).where(count(F.col("held")) >= needed)

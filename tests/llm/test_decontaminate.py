@@ -1,5 +1,6 @@
 """Contaminated texts against a plain search, re-parameterised questions, and odd rows."""
 
+import random
 import re
 
 import pytest
@@ -122,6 +123,41 @@ def test_gate_changes_no_row(spark, monkeypatch):
     texts = [" ".join(words), " ".join(words[1:5] + ["zzz"] + words[6:]), " ".join(words[::-1]), "so is 5 of 6 more", "7 + 8 = 15", "nothing", None, " ".join(words[2:10]).title()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     gated = {k: rows(dc.contaminated(docs, items.where(k))) for k in ("true", "item_id < 90", "item_id = 91")}
-    assert dc._short_gate(items.where("item_id < 90")) is not None and dc._short_gate(items.where("item_id = 90")) is None
+    assert dc._short_gate(dc._question_forms(items.where("item_id < 90"))) is not None and dc._short_gate(dc._question_forms(items.where("item_id = 90"))) is None
     monkeypatch.setattr(dc, "GATED", -1)
     assert gated == {k: rows(dc.contaminated(docs, items.where(k))) for k in gated} and len(gated["true"]) > 8
+
+
+def test_gate_with_numbers_around_its_words(spark, monkeypatch):
+    """Telling words that few windows have do not hide an edited question."""
+    q = "ab cd ef 11 12 13 longwordxx 14 15 16 longwordyy 17 18 gh ij kl mn"
+    edited = q.replace("longwordxx", "other").replace("longwordyy", "another")
+    for limit in (dc.GATED, -1):
+        monkeypatch.setattr(dc, "GATED", limit)
+        assert held(spark, q, q, edited, "ab cd ef gh") == [(True, False), (True, False), (False, True)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_gate_at_random(spark, monkeypatch, seed):
+    """Random short questions with numbers, units and names, edited at random: the same rows with the gate and without."""
+    rng = random.Random(seed)
+    words = ["ka", "lo", "mi", "ruben", "dor", "fisher", "gul", "3", "14", "15.5", "km", "Anna", "Bob", "the", "of"]
+    questions = [" ".join(rng.choice(words) for _ in range(rng.randrange(2, 19))) for _ in range(25)]
+    texts = []
+    for q in questions:
+        for _ in range(6):
+            t = q.split()
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = rng.choice([*words, "zzz", "99"])
+            texts.append(" ".join([rng.choice(words) for _ in range(rng.randrange(3))] + t + [rng.choice(words) for _ in range(rng.randrange(3))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = [questions[k : k + 5] for k in range(0, 25, 5)]  # a question without telling words takes the gate from its group only
+    gated = 0
+    for group in some:
+        items = spark.createDataFrame([(i % 4, q) for i, q in enumerate(group)], "item_id long, text string")
+        gated += dc._short_gate(dc._question_forms(items)) is not None
+        with monkeypatch.context() as m:
+            got = rows(dc.contaminated(docs, items))
+            m.setattr(dc, "GATED", -1)
+            assert got == rows(dc.contaminated(docs, items)) and got
+    assert gated
