@@ -33,8 +33,8 @@ CHANNELS = {
     "id": "customer_id", "exact": "exact_text", "contract": "identity", "slot-id": "identity", "code": "structured", "detail": "structured", "payer": "payer",
     "template": "shared_template", "w": "full_text", "n": "postings", "name": "customer_name", "entity": "name_entity", "v": "semantic",
 }
-#: Recommendations of a query, and owners of a token or name that it takes in.
-OFFERED, OWNERS = 6, 20
+#: Recommendations of a query.
+OFFERED = 6
 # Scores of what speaks for a customer where no candidate does.
 OFFERS = {"written": 0.59, "bare": 0.35, "payer": 0.45, "contract": 0.55, "slot-id": 0.55, "detail": 0.55, "exact": 0.65, "alias": 0.55, "conflict": 0.3}
 WATER = r"\b(?:tien\s*nuoc|nuoc\s+(?:sinh|sach|may)|phi\s*nuoc|(?:tt|tthd)\s+nuoc|water\s+bill)\b"
@@ -228,6 +228,15 @@ def ownership(queries: DataFrame, known: Knowledge) -> DataFrame:
     return out.select("query_id", "id_owners", "id_owner", "lost_contracts", F.col("customers").alias("compatible"), exact_owners.alias("exact_owners"), (F.col("written") & (exact_owners > F.coalesce("among", F.lit(0)))).alias("exact_other"))
 
 
+def _first_owners(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, customer_id, source) of asked (query_id, reach, source, key): the first customers of a key (key, customer_id), as
+    many as a query can need (``reach``: what is offered, and one more for each customer that was rejected for its text)."""
+    reach = asked.groupBy("key").agg(F.max("reach").alias("most"))
+    owners = held.distinct().join(reach, "key")
+    first = top_k_split(owners, ["key"], [F.col("customer_id")], F.col("most"), F.col("customer_id"), "at").select("key", "customer_id", "at")
+    return asked.join(first, "key").where("at <= reach").select("query_id", "customer_id", "source")
+
+
 def recommend(queries: DataFrame, known: Knowledge) -> DataFrame:
     """(query_id, customer_id, score, sources, rank): what speaks for a customer without a candidate, at most OFFERED of them.
 
@@ -236,6 +245,11 @@ def recommend(queries: DataFrame, known: Knowledge) -> DataFrame:
     kept as a hint only. Customers that were rejected for the text are left out.
     """
     text = queries.select("query_id", "norm", "text_key", "template_key", "signature", "channel", "names", "vector", F.transform("norm.customer_ids", tx.id_key).alias("written"))
+    if known.negatives is None:
+        text = text.withColumn("reach", F.lit(OFFERED).cast("long"))
+    else:
+        turned_down = known.negatives.select("text_key", "customer_id").distinct().groupBy("text_key").agg(F.count("*").alias("n"))
+        text = text.join(turned_down, "text_key", "left").withColumn("reach", OFFERED + F.coalesce("n", F.lit(0))).drop("n")
     people = known.patterns.select("customer_id", "name")
     if known.registry is not None:
         people = people.unionByName(known.registry.select("customer_id", "name"))
@@ -245,15 +259,14 @@ def recommend(queries: DataFrame, known: Knowledge) -> DataFrame:
     offers = ids.select("query_id", F.col("x.v").alias("customer_id"), "x.source").join(people.select("customer_id").distinct(), "customer_id")
     details = F.size(tx.text_tokens(F.col("signature"))) >= 2
     anchored = F.when((F.size("written") > 0) | (F.size("norm.payer_accounts") > 0) | details, F.lit(True)).otherwise(False)
-    asked = text.select("query_id", anchored.alias("anchored"), F.explode(tokens(None)).alias("t")).select("query_id", "anchored", F.col("t.token").alias("token")).withColumn("source", F.substring_index("token", ":", 1))
+    wanted = tokens(None, only=("payer", "contract", "slot-id", "exact", "detail"))
+    asked = text.select("query_id", "reach", anchored.alias("anchored"), F.explode(wanted).alias("t")).select("query_id", "reach", "anchored", F.col("t.token").alias("key")).withColumn("source", F.substring_index("key", ":", 1))
     asked = asked.where(F.col("anchored") | ~F.col("source").isin("exact", "detail"))
-    few = top_k(known.postings.select("token", "customer_id").distinct().join(asked.select("token").distinct(), "token", "left_semi"), ["token"], [F.col("customer_id")], OWNERS, "at").drop("at")
-    offers = offers.unionByName(asked.join(few, "token").select("query_id", "customer_id", "source"))
+    offers = offers.unionByName(_first_owners(asked, known.postings.select(F.col("token").alias("key"), "customer_id")))
     words = F.split("norm.normalized", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - w + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, w), " "))))
-    said = text.select("query_id", F.explode(F.array_distinct(F.concat(runs, F.transform("names", tx.name_key)))).alias("alias"))
-    named = top_k(people.select(tx.name_key(F.col("name")).alias("alias"), "customer_id").where(F.size(F.split("alias", " ")) >= 2).distinct(), ["alias"], [F.col("customer_id")], OWNERS, "at").drop("at")
-    offers = offers.unionByName(said.join(named, "alias").select("query_id", "customer_id", F.lit("alias").alias("source")))
+    said = text.select("query_id", "reach", F.lit("alias").alias("source"), F.explode(F.array_distinct(F.concat(runs, F.transform("names", tx.name_key)))).alias("key"))
+    offers = offers.unionByName(_first_owners(said, people.select(tx.name_key(F.col("name")).alias("key"), "customer_id").where(F.size(F.split("key", " ")) >= 2)))
     score = F.coalesce(*(F.when(F.col("source") == k, F.lit(v)) for k, v in OFFERS.items()))
     best = offers.groupBy("query_id", "customer_id").agg(F.max(score).alias("score"), F.array_sort(F.collect_set("source")).alias("sources"))
     best = best.join(text.select("query_id", "written", "text_key"), "query_id")

@@ -71,12 +71,12 @@ def posting_channel(queries: DataFrame, found: DataFrame, key: str, per_customer
     return sets.select(key, "set_key").join(hits, "set_key").select(key, "pattern_id", "customer_id", "score", "rank")
 
 
-def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each key in a total order, with their rank from 1."""
+def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int | Column, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each key in a total order, with their rank from 1; ``k`` may be a column of the rows."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def top_k_split(rows: DataFrame, keys: list[str], order: list[Column], k: int, split: Column, rank: str = "rank", buckets: int = 32) -> DataFrame:
+def top_k_split(rows: DataFrame, keys: list[str], order: list[Column], k: int | Column, split: Column, rank: str = "rank", buckets: int = 32) -> DataFrame:
     """``top_k`` for keys that may hold a large share of the rows: cut within hash buckets of ``split`` first."""
     cut = top_k(rows.withColumn("_bucket", F.pmod(F.xxhash64(split), F.lit(buckets))), [*keys, "_bucket"], order, k, rank)
     return top_k(cut.drop("_bucket", rank), keys, order, k, rank)

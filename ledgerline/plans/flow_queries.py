@@ -273,11 +273,12 @@ def layout_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("xlsx_sink", "SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS id, c_name AS name, c_nationkey AS nation FROM customer")
 def xlsx_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table written as workbooks and read back: identifiers keep their zeros."""
+    """A table written as workbooks in two appends, after an overwrite of other rows, and read back: identifiers keep their zeros."""
     xlsx.register(spark)
     path = scratch(spark, "workbooks")
     rows = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
-    rows.write.format("xlsx").option("path", path).option("rowsPerSheet", "400").mode("append").save()
+    for mode, some in (("append", rows), ("overwrite", rows.where("id < '000000000500'")), ("append", rows.where("id >= '000000000500'"))):
+        some.write.format("xlsx").option("path", path).option("rowsPerSheet", "400").mode(mode).save()
     cells = spark.read.format("xlsx").option("path", path).load().where("row > 1")
     return cells.select(F.col("cells")["A"].alias("id"), F.col("cells")["B"].alias("name"), F.col("cells")["C"].cast("int").alias("nation"))
 
@@ -450,19 +451,37 @@ def names_with_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "classify_narratives",
     f"""{_NV}, f AS (SELECT *, CASE WHEN txn_id % 5 = 0 THEN regexp_extract(raw, 'HD ([0-9]+)', 1) ELSE '' END AS hd FROM nv),
     k AS (SELECT * FROM f WHERE period < '{HOLDOUT}'), q AS (SELECT * FROM f WHERE period >= '{HOLDOUT}'),
-    own AS (SELECT DISTINCT cid, channel, TRUE AS mine FROM k WHERE hd = ''), people AS (SELECT DISTINCT cid, TRUE AS seen FROM k),
+    own AS (SELECT DISTINCT cid, channel, TRUE AS mine FROM k WHERE hd = ''), people AS (SELECT cid, TRUE AS seen, bool_or(hd = '') AS written FROM k GROUP BY cid),
     alike AS (SELECT hd, channel, count(DISTINCT cid) AS m, min(cid) AS owner FROM k WHERE hd <> '' GROUP BY hd, channel),
     c AS (SELECT hd, count(DISTINCT cid) AS owners, min(cid) AS holder FROM k WHERE hd <> '' GROUP BY hd),
-    r AS (SELECT txn_id, cid, owner, holder, CASE
+    r AS (SELECT txn_id, cid, owner, holder, written, CASE
         WHEN amount <= 0 THEN 'not_credit' WHEN hd = '' AND mine THEN 'memory' WHEN hd = '' AND seen THEN 'id' WHEN hd = '' THEN 'unknown_id'
         WHEN m > 1 THEN 'memory_shared' WHEN m = 1 THEN 'memory' WHEN owners IS NULL THEN 'unknown_contract' WHEN owners = 1 THEN 'contract' ELSE 'guarded' END AS reason, hd
       FROM q LEFT JOIN own USING (cid, channel) LEFT JOIN people USING (cid) LEFT JOIN alike USING (hd, channel) LEFT JOIN c USING (hd))
     SELECT txn_id AS query_id, reason, CASE WHEN reason = 'not_credit' THEN 'reject' WHEN reason IN ('memory', 'id', 'contract') THEN 'auto_accept' ELSE 'manual_check' END AS decision,
-           CASE WHEN reason IN ('memory', 'id', 'contract') THEN CASE WHEN hd = '' THEN cid WHEN reason = 'memory' THEN owner ELSE holder END END AS accepted FROM r""",
+           CASE WHEN reason IN ('memory', 'id') AND hd = '' THEN cid WHEN reason = 'memory' THEN owner WHEN reason IN ('contract', 'guarded') THEN holder END AS customer_id,
+           CAST(CASE reason WHEN 'memory' THEN 0.97 WHEN 'id' THEN CASE WHEN written THEN 0.98 ELSE 0.9675 END WHEN 'contract' THEN 0.96 WHEN 'guarded' THEN 0.5251 ELSE 0 END AS DOUBLE) AS score,
+           CASE reason WHEN 'id' THEN cid WHEN 'contract' THEN holder WHEN 'guarded' THEN holder ELSE '' END AS leading, '' AS allocation, '' AS unallocated FROM r""",
 )
 def classify_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole classification: everything before the holdout is learned, everything after it decided."""
     n = billed(spark, sf_dir).withColumn("mode", F.lit("unknown"))
     known = classify.build(n.where(F.col("period") < HOLDOUT))
     decided = classify.classify(n.where(F.col("period") >= HOLDOUT).withColumnRenamed("txn_id", "query_id"), known)
-    return decided.select("query_id", "reason", "decision", F.when(F.col("decision") == "auto_accept", F.col("customer_id")).alias("accepted"))
+    return decided.select("query_id", "reason", "decision", "customer_id", "score", F.split("alternatives", ",")[0].alias("leading"), "allocation", "unallocated")
+
+
+@query(
+    "recommend_fallback",
+    f"""{_NV}, f AS (SELECT *, CASE WHEN txn_id % 5 = 0 THEN regexp_extract(raw, 'HD ([0-9]+)', 1) ELSE '' END AS hd FROM nv),
+    k AS (SELECT DISTINCT hd, cid FROM f WHERE period < '{HOLDOUT}'), q AS (SELECT * FROM f WHERE period >= '{HOLDOUT}'),
+    first AS (SELECT hd, cid, row_number() OVER (PARTITION BY hd ORDER BY cid) AS rank FROM k WHERE hd <> '' QUALIFY rank <= 6)
+    SELECT txn_id AS query_id, cid AS customer_id, CAST(CASE WHEN cid IN (SELECT cid FROM k WHERE hd = '') THEN 0.65 ELSE 0.59 END AS DOUBLE) AS score, CAST(1 AS INTEGER) AS rank FROM q WHERE hd = '' AND cid IN (SELECT cid FROM k)
+    UNION ALL SELECT txn_id, first.cid, 0.55, CAST(rank AS INTEGER) FROM q JOIN first USING (hd)""",
+)
+def recommend_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks for a customer of each held-out narrative without any candidate: written ids, confirmed texts, else the contract's first owners."""
+    n = billed(spark, sf_dir).withColumn("mode", F.lit("unknown"))
+    known = classify.build(n.where(F.col("period") < HOLDOUT))
+    asked = classify.parsed(n.where(F.col("period") >= HOLDOUT).withColumnRenamed("txn_id", "query_id"), "query_id")
+    return classify.recommend(asked, known).select("query_id", "customer_id", "score", "rank")

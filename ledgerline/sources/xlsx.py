@@ -7,11 +7,15 @@ make a workbook for each task in the folder ``path``; ``rowsPerSheet`` bounds a
 
 from __future__ import annotations
 
+import glob
 import os
 import re
+import tempfile
 import uuid
 import zipfile
+from array import array
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
@@ -46,19 +50,54 @@ def sheets(path: str) -> list[tuple[str, str]]:
         return [(s.get("name"), "xl/" + targets[s.get(_REL)].removeprefix("/xl/")) for s in book.iter(_MAIN + "sheet")]
 
 
-def _shared(z: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in z.namelist():
-        return []
-    out = []
-    with z.open("xl/sharedStrings.xml") as f:
-        for _, e in ElementTree.iterparse(f):
-            if e.tag == _MAIN + "si":
-                out.append("".join(t.text or "" for t in e.iter(_MAIN + "t")))
-                e.clear()
-    return out
+class SharedStrings:
+    """The shared strings of a workbook in a file that vanishes when closed, read by offset; in memory are 8 bytes for each
+    string and the last ``KEPT`` ones that were read."""
+
+    KEPT = 4096
+
+    def __init__(self, z: zipfile.ZipFile) -> None:
+        self.file = tempfile.TemporaryFile(prefix="ledgerline-strings-")  # noqa: SIM115
+        self.ends = array("q", [0])
+        self.kept: dict[int, str] = {}
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                for e in _elements(f, "si"):
+                    data = "".join(t.text or "" for t in e.iter(_MAIN + "t")).encode()
+                    self.file.write(data)
+                    self.ends.append(self.ends[-1] + len(data))
+
+    def __getitem__(self, i: int) -> str:
+        found = self.kept.get(i)
+        if found is None:
+            if not 0 <= i < len(self.ends) - 1:
+                raise IndexError(f"no shared string {i}")
+            self.file.seek(self.ends[i])
+            found = self.file.read(self.ends[i + 1] - self.ends[i]).decode()
+            if len(self.kept) >= self.KEPT:
+                del self.kept[next(iter(self.kept))]
+            self.kept[i] = found
+        return found
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def _elements(f, name: str) -> Iterator[ElementTree.Element]:
+    """The elements of a name, one at a time: what was given is taken out of its parent."""
+    open_: list[ElementTree.Element] = []
+    for event, e in ElementTree.iterparse(f, events=("start", "end")):
+        if event == "start":
+            open_.append(e)
+            continue
+        open_.pop()
+        if e.tag == _MAIN + name:
+            yield e
+            if open_:
+                open_[-1].clear()
 
 
-def _cell(e: ElementTree.Element, shared: list[str]) -> str:
+def _cell(e: ElementTree.Element, shared: SharedStrings) -> str:
     kind, value = e.get("t"), e.findtext(_MAIN + "v") or ""
     if kind == "s":
         return shared[int(value)]
@@ -71,14 +110,10 @@ def _cell(e: ElementTree.Element, shared: list[str]) -> str:
 
 def rows(path: str, part: str) -> Iterator[tuple[int, dict[str, str]]]:
     """(row number, cells by column) of a sheet, one row in memory at a time."""
-    with zipfile.ZipFile(path) as z:
-        shared = _shared(z)
-        with z.open(part) as f:
-            for _, e in ElementTree.iterparse(f):
-                if e.tag == _MAIN + "row":
-                    cells = {re.sub(r"\d+", "", c.get("r", "")): _cell(c, shared) for c in e.iter(_MAIN + "c")}
-                    yield int(e.get("r", 0)), {k: v for k, v in cells.items() if v != ""}
-                    e.clear()
+    with zipfile.ZipFile(path) as z, closing(SharedStrings(z)) as shared, z.open(part) as f:
+        for e in _elements(f, "row"):
+            cells = {re.sub(r"\d+", "", c.get("r", "")): _cell(c, shared) for c in e.iter(_MAIN + "c")}
+            yield int(e.get("r", 0)), {k: v for k, v in cells.items() if v != ""}
 
 
 class XlsxReader(DataSourceReader):
@@ -104,15 +139,17 @@ class Written(WriterCommitMessage):
 
 class XlsxWriter(DataSourceWriter):
     """A workbook for each task, rows streamed to its sheets. Text stays text (identifiers keep their zeros and nothing becomes a
-    formula), numbers are numbers. Workbooks get their names when the whole write is committed."""
+    formula), numbers are numbers. Workbooks get their names, which carry the write's id, when the whole write is committed: an
+    append adds to what is there, an overwrite then removes all that was there before, and workbooks of lost attempts go."""
 
-    def __init__(self, options: dict[str, str], schema) -> None:
-        self.path, self.most = options["path"], int(options.get("rowspersheet", MOST_ROWS))
+    def __init__(self, options: dict[str, str], schema, overwrite: bool) -> None:
+        self.path, self.most, self.overwrite = options["path"], int(options.get("rowspersheet", MOST_ROWS)), overwrite
         self.columns = [(f.name, isinstance(f.dataType, NumericType)) for f in schema.fields]
+        self.id = uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> Written:
         os.makedirs(self.path, exist_ok=True)
-        attempt = os.path.join(self.path, f"_{uuid.uuid4().hex}.part")
+        attempt = os.path.join(self.path, f"_{self.id}-{uuid.uuid4().hex}.part")
         head = [(name, False) for name, _ in self.columns]
         n, sheets = 0, 0
         with zipfile.ZipFile(attempt, "w", zipfile.ZIP_DEFLATED) as z:
@@ -133,13 +170,23 @@ class XlsxWriter(DataSourceWriter):
         return Written(attempt, n)
 
     def commit(self, messages: list) -> None:
+        before = glob.glob(os.path.join(glob.escape(self.path), "*.xlsx"))
         for i, m in enumerate(m for m in messages if m is not None):
-            os.replace(m.attempt, os.path.join(self.path, f"part-{i:05d}.xlsx"))
+            os.replace(m.attempt, os.path.join(self.path, f"part-{i:05d}-{self.id}.xlsx"))
+        # an overwrite clears the folder, attempts of other writes that never ended included
+        self._remove([*before, *self._attempts("_*.part")] if self.overwrite else self._attempts(f"_{self.id}-*.part"))
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.attempt):
-                os.remove(m.attempt)
+        self._remove(self._attempts(f"_{self.id}-*.part"))
+
+    def _attempts(self, pattern: str) -> list[str]:
+        return glob.glob(os.path.join(glob.escape(self.path), pattern))
+
+    @staticmethod
+    def _remove(paths: list[str]) -> None:
+        for path in paths:
+            if os.path.exists(path):
+                os.remove(path)
 
 
 class XlsxSource(DataSource):
@@ -154,7 +201,7 @@ class XlsxSource(DataSource):
         return XlsxReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> XlsxWriter:
-        return XlsxWriter(dict(self.options), schema)
+        return XlsxWriter(dict(self.options), schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from ledgerline.sources import ingest, xlsx
 
 
@@ -38,8 +40,78 @@ def test_written_workbooks(spark, tmp_path):
     df = spark.createDataFrame(rows, "id string, text string, value double").repartition(3)
     df.write.format("xlsx").option("path", str(tmp_path / "out")).option("rowsPerSheet", "5").mode("append").save()
     files = sorted(os.listdir(tmp_path / "out"))
-    assert files == [f"part-0000{i}.xlsx" for i in range(len(files))] and len(files) == 3
+    assert [f.rsplit("-", 1)[0] for f in files] == [f"part-0000{i}" for i in range(3)] and len({f.rsplit("-", 1)[1] for f in files}) == 1
     back = spark.read.format("xlsx").option("path", str(tmp_path / "out")).load().collect()
     assert max(r.row for r in back) <= 5
     cells = {(r.cells.get("A"), r.cells.get("B"), r.cells.get("C")) for r in back if r.row > 1 and r.cells}
     assert ("001", "=1+1", "1.5") in cells and ("0010", "a<&10", "15.0") in {(a, b, f"{float(c)}") for a, b, c in cells} and len(cells) == 25
+
+
+def _written(spark, path):
+    from ledgerline.sources import xlsx
+
+    xlsx.register(spark)
+    cells = spark.read.format("xlsx").option("path", path).load().where("row > 1")
+    return sorted(int(r[0]) for r in cells.selectExpr("cells['A']").collect())
+
+
+def test_workbooks_append_overwrite_and_lost_attempts(spark, tmp_path):
+    from ledgerline.sources import xlsx
+
+    xlsx.register(spark)
+    path = str(tmp_path / "books")
+    save = lambda lo, hi, mode, tasks=2: spark.range(lo, hi, 1, tasks).write.format("xlsx").option("path", path).mode(mode).save()
+    save(0, 5, "append")
+    save(200, 205, "append")
+    assert _written(spark, path) == [*range(5), *range(200, 205)]
+    (tmp_path / "books" / "_dead-1.part").write_bytes(b"x")  # of a write that never ended
+    save(300, 302, "append", 1)
+    assert (tmp_path / "books" / "_dead-1.part").exists()
+    save(7, 10, "overwrite", 1)
+    assert _written(spark, path) == [7, 8, 9] and not list(tmp_path.glob("books/_*.part"))
+
+    def fails(batch):
+        for rows in batch:
+            if (rows["id"] == 49).any():
+                raise ValueError("bad row")
+            yield rows
+
+    before = sorted(p.name for p in tmp_path.glob("books/*"))
+    with pytest.raises(Exception, match="bad row"):
+        spark.range(0, 50, 1, 4).mapInPandas(fails, "id long").write.format("xlsx").option("path", path).mode("append").save()
+    assert sorted(p.name for p in tmp_path.glob("books/*")) == before and _written(spark, path) == [7, 8, 9]
+
+
+def test_shared_strings_are_spilled(tmp_path):
+    """Two million shared strings are read within 100 MB; a list of them would need some 200 MB."""
+    import resource
+    import subprocess
+    import sys
+    import zipfile
+
+    from ledgerline.sources import xlsx
+
+    path, n = str(tmp_path / "big.xlsx"), 2_000_000
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        xlsx._frame(z, ["one"])
+        with z.open("xl/sharedStrings.xml", "w") as f:
+            f.write(f'<sst xmlns="{xlsx._MAIN[1:-1]}">'.encode())
+            for k in range(0, n, 10_000):
+                f.write("".join(f"<si><t>a string that is not short at all, number {i}</t></si>" for i in range(k, k + 10_000)).encode())
+            f.write(b"</sst>")
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{xlsx._MAIN[1:-1]}"><sheetData>'.encode())
+            for k in range(1, 1001):
+                f.write(f'<row r="{k}"><c r="A{k}" t="s"><v>{(k * 7919) % n}</v></c></row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+    code = f"""
+import resource, sys
+sys.path.insert(0, {repr(sys.path[0])})
+from ledgerline.sources import xlsx
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = [c["A"].rsplit(" ", 1)[1] for _, c in xlsx.rows({path!r}, "xl/worksheets/sheet1.xml")]
+assert found == [str((k * 7919) % {n}) for k in range(1, 1001)]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 100_000 and resource.getpagesize()
