@@ -2,11 +2,11 @@
 
 Base identifiers are found in the text as it stands. Then a cascade of transducers rewrites the text: lookalike letters and
 digits of other scripts become ASCII and invisible signs go; disguises of at, dot and plus become their signs; spelled digits
-become digits. Each transducer reads tokens at places that its trigger finds and copies the rest, and says of every piece it
+become digits. Each transducer reads its tokens and copies the rest, and says of every piece it
 writes where in its input the piece stood. The cascade's pieces are composed, so a span of the rewritten text maps to a span
 of the source. Identifiers found in the rewritten text, and nowhere in the text as it stands, are added.
 
-A text in which no trigger occurs is read once and never rewritten. All patterns run in time linear in the text: an e-mail is
+A text in which no transducer's trigger occurs is never rewritten. All patterns run in time linear in the text: an e-mail is
 sought around its sign, other patterns cannot begin twice in one run of their characters.
 """
 
@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 MOST_OCTET, CARD_DIGITS, PHONE_DIGITS = 255, (14, 19), (10, 15)
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -106,14 +106,17 @@ class Rewritten:
 
 @dataclass
 class Transducer:
-    """Tokens that it reads, and what it writes for each: (output, kind), or None to copy the token."""
+    """Tokens that it reads, and what it writes for each: (output, kind), or None to copy the token. The trigger tells cheaply
+    whether a text can have a token that matters, and gives the pattern of tokens then."""
 
-    tokens: re.Pattern[str]
+    trigger: Callable[[str], re.Pattern[str] | None]
     write: Callable[[re.Match[str]], tuple[str, str] | None]
 
     def run(self, before: Rewritten) -> Rewritten:
         """Rewrites a text; pieces of ``before`` that no token takes are carried over, others join the token's piece."""
-        found = [(m.start(), m.end(), *w) for m in self.tokens.finditer(before.text) if (w := self.write(m)) is not None]
+        if (tokens := self.trigger(before.text)) is None:
+            return before
+        found = [(m.start(), m.end(), *w) for m in tokens.finditer(before.text) if (w := self.write(m)) is not None]
         if not found:
             return before
         text, starts, ends, source, kinds = [], [], [], [], []
@@ -149,7 +152,12 @@ class Transducer:
 
 def _lookalikes() -> Transducer:
     table = letters()
-    return Transducer(re.compile(f"[{re.escape(''.join(table))}]"), lambda m: (table[m[0]], "letter"))
+
+    def trigger(text: str) -> re.Pattern[str] | None:
+        held = None if text.isascii() else table.keys() & set(text)
+        return re.compile(f"[{re.escape(''.join(sorted(held)))}]") if held else None
+
+    return Transducer(trigger, lambda m: (table[m[0]], "letter"))
 
 
 _OPEN, _SHUT = r"[\x20\t]*[(\[{<][\x20\t]*", r"[\x20\t]*[)\]}>][\x20\t]*"
@@ -173,7 +181,16 @@ def _signs() -> Transducer:
             return named[m["w"].lower()], "weak " + m["w"].lower()
         return code.get(m[0].lower(), "."), "sign"
 
-    return Transducer(re.compile(f"{bracketed}|{bare}|{plus}|{html}", re.I), write)
+    tokens = re.compile(f"{bracketed}|{bare}|{plus}|{html}", re.I)
+    opened, coded = re.compile(bracketed, re.I), re.compile(html, re.I)
+
+    def trigger(text: str) -> re.Pattern[str] | None:
+        # a bare "at" alone makes no e-mail: a dot must be disguised too (see _told)
+        low = text.lower()
+        words = any(w in low for w in ("dot", "point", "plus", "dash", "hyphen", "underscore"))
+        return tokens if words or opened.search(text) or coded.search(text) else None
+
+    return Transducer(trigger, write)
 
 
 def _digits() -> Transducer:
@@ -189,12 +206,16 @@ def _digits() -> Transducer:
             return None
         return "".join(DIGITS[w.lower()] * TIMES.get(t.lower(), 1) for t, w in said), "digit"
 
-    return Transducer(run, write)
+    whole = {w: re.compile(rf"{w}(?<![a-z]{w})(?![a-z])") for w in DIGITS}
+
+    def trigger(text: str) -> re.Pattern[str] | None:
+        low = text.lower()
+        return run if any(w in low and p.search(low) for w, p in whole.items()) else None
+
+    return Transducer(trigger, write)
 
 
 CASCADE = (_lookalikes(), _signs(), _digits())
-#: Whether there is anything to rewrite: a look that costs less than the transducers.
-_TRIGGER = re.compile(rf"[^\x00-\x7f]|[(\[{{<]|&[#cp]|%40|\b(?:at|dot|point|plus|dash|hyphen|underscore|{_WORDS})\b", re.I)
 
 
 def normalised(text: str) -> Rewritten:
@@ -223,6 +244,17 @@ def _octet(digits: str) -> bool:
     return len(digits) <= 3 and int(digits or 0) <= MOST_OCTET
 
 
+def _ips(chain: str, at: int) -> Iterator[tuple[str, int, int]]:
+    """Of a run of numbers parted by dots every four, as a leftmost search takes them."""
+    parts = chain.split(".")
+    for k in range(0, len(parts) - 3, 4):
+        four = parts[k : k + 4]
+        end = at + sum(map(len, four)) + 3
+        if all(map(_octet, four)):
+            yield "ip", at, end
+        at = end + 1
+
+
 def luhn(digits: str) -> bool:
     doubled = "0246813579"
     return sum(int(doubled[int(d)] if i % 2 else d) for i, d in enumerate(reversed(digits))) % 10 == 0
@@ -238,9 +270,9 @@ def identifiers(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of the base identifiers, leftmost and without overlap for each kind; matches that fail are dropped."""
     for start, end in _emails(text):
         yield "email", start, end
-    for m in _IP.finditer(text):
-        if all(map(_octet, m.groups())):
-            yield "ip", *m.span()
+    for m in _CHAIN.finditer(text):
+        if m[0].count(".") >= 3:
+            yield from _ips(m[0], m.start())
     for m in _CARD.finditer(text):
         if (d := _count(m[0], *CARD_DIGITS)) and luhn(d):
             yield "card", *m.span()
@@ -264,8 +296,6 @@ def _told(kind: str, value: str, disguises: set[str]) -> bool:
 
 def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The spans of the source that are identifiers when rewritten, and do not lie within a base span of their kind."""
-    if not _TRIGGER.search(text):
-        return []
     new = normalised(text)
     if not new.starts:
         return []
