@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.values import confidence_after
-from ledgerline.operators.relations import drop_members, runs
+from ledgerline.operators.relations import drop_members, segmented_runs
 
 #: Customers of one transfer from which on it is a provider's settlement.
 SETTLEMENT = 10
@@ -49,10 +49,13 @@ def memberships(batch: DataFrame, template: str, customer: str) -> DataFrame:
     return batch.groupBy(template, customer).agg(F.count("*").alias("seen"))
 
 
-def settlement_units(rows: DataFrame, key: str, order: list[str], same: Column, customer: str) -> DataFrame:
-    """Runs of consecutive rows of one transfer, with their number of customers and whether they are a settlement."""
-    numbered = runs(rows, key, order, ~same)
-    grouped = numbered.groupBy(key, "run").agg(F.count_distinct(customer).alias("customers"), F.count("*").alias("rows"))
+def settlement_units(rows: DataFrame, key: str, order: list[str], unit: str, customer: str) -> DataFrame:
+    """(key, run, customers, rows, settlement): runs of consecutive rows of one transfer (``unit``), with their number of customers
+    and whether they are a settlement. A key or transfer may hold any share of the rows (``relations.segmented_runs``)."""
+    numbered = segmented_runs(rows.select(*dict.fromkeys([key, *order, unit, customer])), key, order, unit)
+    # customers first: what is counted of a run is dealt out by customer
+    each = numbered.groupBy(key, "run", customer).agg(F.count("*").alias("n"))
+    grouped = each.groupBy(key, "run").agg(F.count(customer).alias("customers"), F.sum("n").alias("rows"))
     return grouped.select("*", (F.col("customers") >= SETTLEMENT).alias("settlement"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.staging import staged
+
 
 def with_history(base: DataFrame, history: DataFrame, key: str, fill: dict[str, object]) -> DataFrame:
     """Every base row with its history; counts without history are filled."""
@@ -33,6 +35,33 @@ def runs(rows: DataFrame, key: str, order: list[str], changed: Column, name: str
     return rows.withColumn("_new", F.when(F.coalesce(changed, F.lit(True)), 1).otherwise(0)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def segmented_runs(rows: DataFrame, key: str, order: list[str], unit: str, name: str = "run") -> DataFrame:
+    """Numbers the runs of each key from 1: a new one begins where ``unit`` differs from the row before.
+
+    For keys that may hold a large share of the rows: rows are dealt out by ranges of key and order, so a key can span many
+    tasks. Each range numbers its own rows; what it needs of the ranges before it (their last row, and how many runs of the
+    key they began) comes from a table with a few rows for each range. Nulls are a key and a unit of their own.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    by = [F.asc_nulls_first(key), *map(F.col, order)]
+    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    dealt = staged(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), "ranges")
+    within = Window.partitionBy("_range").orderBy("_at")
+    here = F.struct(F.col(key).alias("k"), F.col(unit).alias("u"))
+    last = dealt.groupBy("_range").agg(F.max_by(here, "_at").alias("_last"))
+    before = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+    marked = dealt.withColumn("_before", F.lag(here).over(within)).join(before, "_range")
+    marked = marked.withColumn("_before", F.coalesce("_before", "_carried"))
+    same_key = F.col("_before").isNotNull() & F.col("_before.k").eqNullSafe(F.col(key))
+    marked = marked.withColumn("_new", F.when(same_key & F.col("_before.u").eqNullSafe(F.col(unit)), 0).otherwise(1))
+    begun = marked.groupBy("_range", F.col(key).alias("_key")).agg(F.sum("_new").alias("_begun"))
+    of_key = Window.partitionBy("_key").orderBy("_range")
+    carried = begun.withColumn("_sofar", F.coalesce(F.sum("_begun").over(of_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_sofar > 0")
+    numbered = marked.withColumn(name, F.sum("_new").over(Window.partitionBy("_range", key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = numbered.join(carried.select(F.col("_range").alias("_r"), "_key", "_sofar"), (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return numbered.select(*rows.columns, (F.col(name) + F.coalesce("_sofar", F.lit(0))).alias(name))
+
+
 def interval_union(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, start, end): the intervals of each key with overlapping and touching ones merged."""
     w = Window.partitionBy(key).orderBy(start, end)

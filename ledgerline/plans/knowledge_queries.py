@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import routing as rt
@@ -57,7 +57,20 @@ def reindex_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def settlement_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = narratives(spark, sf_dir).where((F.col("period") < HOLDOUT) & F.col("raw").contains("HD"))
-    return kn.settlement_units(known, "raw", ["txn_id"], F.lag("txn_id").over(Window.partitionBy("raw").orderBy("txn_id")).isNotNull(), "cid").drop("run")
+    return kn.settlement_units(known, "raw", ["txn_id"], "raw", "cid").drop("run")
+
+
+@query(
+    "settlement_runs_of_channel",
+    f"""{_NV}, m AS (SELECT *, CASE WHEN raw LIKE '%HD%' THEN 'HD' ELSE raw END AS unit FROM nv), n AS (SELECT *, CASE WHEN unit IS DISTINCT FROM lag(unit) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM m WINDOW w AS (PARTITION BY amount > 100000 ORDER BY txn_id)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY amount > 100000 ORDER BY txn_id ROWS UNBOUNDED PRECEDING) AS run FROM n)
+    SELECT amount > 100000 AS large, CAST(run AS BIGINT) AS run, CAST(count(DISTINCT cid) AS BIGINT) AS customers, CAST(count(*) AS BIGINT) AS rows, count(DISTINCT cid) >= 10 AS settlement FROM r GROUP BY ALL""",
+)
+def settlement_runs_of_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over two keys that hold all rows between them: consecutive contract transfers count as one."""
+    n = narratives(spark, sf_dir).withColumn("large", F.col("amount") > 100000)
+    unit = F.when(F.col("raw").contains("HD"), "HD").otherwise(F.col("raw"))
+    return kn.settlement_units(n.withColumn("unit", unit), "large", ["txn_id"], "unit", "cid")
 
 
 @query("settlement_memberships", f"{_NV} SELECT regexp_replace(raw, '[0-9]+', '#', 'g') AS template, cid, CAST(count(*) AS BIGINT) AS seen FROM nv WHERE period < '{_SPLIT}' GROUP BY ALL")

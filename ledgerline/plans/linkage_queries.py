@@ -99,6 +99,13 @@ def semantic_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(e, e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 5)
 
 
+@query("semantic_ann_topk")
+def semantic_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an inverted file of cells; a test measures its recall against the exact query."""
+    e = table(spark, sf_dir, "embeddings")
+    return similarity.nearest_in_cells(e, e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 5)
+
+
 @query(
     "fulltext_or_rank",
     f"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({FOLD.format("text")}, '[a-z]{{5,}}')) AS w FROM benchmark),

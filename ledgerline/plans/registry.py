@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries.
-MODULES = ["scalar_queries", "linkage_queries", "relation_queries", "knowledge_queries", "flow_queries"]
+MODULES = ["scalar_queries", "linkage_queries", "relation_queries", "knowledge_queries", "flow_queries", "store_queries"]
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -161,3 +161,32 @@ def test_undo(spark):
     assert {r.change_id: r.outcome for r in undone.collect()} == {1: "newer", 2: "undone", 3: "fixed", 4: "fixed", 5: "changed", 6: "undone", 7: "undone"}
     assert dict(map(tuple, knowledge.after_undo(current, undone).collect())) == {"a": "x", "b": "p", "c": "p", "d": "edited", "f": "gone", "g": "kept"}
     assert knowledge.undo(changes, current, changes.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_segmented_runs(spark, seed):
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for key, size in (("hot", 300), ("b", 1), (None, 40), ("c", 60)):
+        for _ in range(size):
+            rows.append((key, n, rng.choice(["x", "x", "x", "y", None])))
+            n += 1
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k string, at int, u string")
+    want, last = {}, {}
+    for k, at, u in rows:
+        run, before = last.get(k, (0, object()))
+        run += u != before
+        last[k] = (run, u)
+        want[at] = run
+    assert {r["at"]: r.run for r in relations.segmented_runs(df, "k", ["at"], "u").collect()} == want
+
+
+def test_recall_of_cells(spark):
+    """At least nine of ten neighbours of the exact search are found, over all rows of two tables."""
+    for sf in ("sf0.001", "sf0.01"):
+        e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        asked = e.where("vec_id % 10 = 0")
+        exact = {(r.query_id, r.vec_id) for r in similarity.nearest(e, asked, "vec_id", "embedding", 5).collect()}
+        found = {(r.query_id, r.vec_id) for r in similarity.nearest_in_cells(e, asked, "vec_id", "embedding", 5).collect()}
+        print("recall", sf, len(exact & found) / len(exact))
+        assert len(exact & found) >= 0.9 * len(exact)
