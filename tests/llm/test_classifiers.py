@@ -162,3 +162,128 @@ def test_features_are_those_of_plain_sets():
     both = set(quality.features("one two three", words).tolist())
     assert 8 <= len(both) <= 3 + 2 + 3 + 2 + 1  # words, pairs, shapes of one to three; equal hashes count once
     assert set(quality.features("one two", words).tolist()) <= both
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_features(text):
+    """Feature numbers by plain loops over words: words, pairs, and runs of one to four shapes that know of repeats."""
+    words = (text or "").split()
+    a, b = int(quality._A), int(quality._B)
+    ids = [zlib.crc32(w.lower().encode()) for w in words]
+    forms = [(zlib.crc32(quality.shape(w).encode()) * b + (k > 0 and ids[k] == ids[k - 1])) & MASK for k, w in enumerate(words)]
+    found = [x * a + 1 for x in ids] + [(x * b + y) * a + 2 for x, y in zip(ids, ids[1:], strict=False)]
+    for n in range(4):
+        for k in range(len(words) - n):
+            code = 0
+            for f in forms[k : k + n + 1]:
+                code = (code * b + f) & MASK
+            found.append(code * a + 3 + n)
+    return sorted({(((x & MASK) * a) & MASK) >> (64 - quality.BITS) for x in found})
+
+
+def quality_rows(n=60):
+    rng = np.random.default_rng(11)
+    good, bad = ["The river runs slowly.", "Birds sing at dawn,", "we read old books"], ["CLICK here!!!", "$$$ 999", "buy buy buy"]
+    return [(" ".join(rng.choice(good if (i % 2) ^ (rng.random() < 0.15) else bad, 4)), i % 2) for i in range(n)]
+
+
+def test_quality_by_plain_formulas():
+    """Features, ratios, weights and scores equal those of plain loops, and the weights are near the least possible loss."""
+    rows = quality_rows()
+    words = quality.Words()
+    found = [plain_features(t) for t, _ in rows]
+    assert [quality.features(t, words).tolist() for t, _ in rows] == found and quality.features(None, words).size == 0
+    labels = np.array([1 if y else -1 for _, y in rows])
+    size = 1 << quality.BITS
+
+    def ratios_of(which):
+        count = {1: {}, -1: {}}
+        for i in which:
+            for f in found[i]:
+                count[labels[i]][f] = count[labels[i]].get(f, 0) + 1
+        total = {c: quality.SMOOTH * size + sum(count[c].values()) for c in count}
+        return lambda f: np.log((quality.SMOOTH + count[1].get(f, 0)) / total[1] / ((quality.SMOOTH + count[-1].get(f, 0)) / total[-1]))
+
+    ratio = ratios_of(range(len(rows)))
+    got = quality._ratios([np.array(f) for f in found], labels)
+    assert all(abs(got[f] - ratio(f)) < 1e-9 for at in found for f in at)
+
+    def vector(f):
+        v = {k: ratio(k) for k in f}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {k: x / norm for k, x in v.items()}
+
+    vectors = [vector(f) for f in found]
+    cost = {c: quality.COST * len(rows) / (2 * (labels == c).sum()) for c in (1, -1)}
+
+    def margin(w, bias, v):
+        return sum(w.get(k, 0.0) * x for k, x in v.items()) + bias
+
+    def loss(w, bias):
+        return 0.5 * (sum(x * x for x in w.values()) + bias**2) + sum(cost[y] * max(0.0, 1 - y * margin(w, bias, v)) for v, y in zip(vectors, labels, strict=True))
+
+    def descend(epochs):
+        w, bias, alpha, rng = {}, 0.0, [0.0] * len(rows), np.random.default_rng(7)
+        for _ in range(epochs):
+            moved = 0.0
+            for i in rng.permutation(len(rows)):
+                y, v = labels[i], vectors[i]
+                new = min(max(alpha[i] + (1 - y * margin(w, bias, v)) / (sum(x * x for x in v.values()) + 1), 0.0), cost[y])
+                for k, x in v.items():
+                    w[k] = w.get(k, 0.0) + (new - alpha[i]) * y * x
+                bias += (new - alpha[i]) * y
+                moved += abs(new - alpha[i])
+                alpha[i] = new
+            if moved < 1e-3 * len(rows):
+                break
+        return w, bias, sum(alpha) - 0.5 * (sum(x * x for x in w.values()) + bias**2)
+
+    w, bias, _ = descend(quality.EPOCHS)
+    dense, b = quality._descend([np.array(f) for f in found], got, labels)
+    assert abs(b - bias) < 1e-9 and all(abs(dense[k] - x) < 1e-9 for k, x in w.items())
+    _, _, dual = descend(400)  # the dual's value bounds the least loss from below
+    assert loss({k: dense[k] for k in w}, b) < dual * 1.05 + 1e-6
+    model = quality.fit(rows)
+    for text, f in [(t, f) for (t, _), f in zip(rows, found, strict=True)] + [("", []), ("unseen words here", plain_features("unseen words here"))]:
+        norm = sum(ratio(k) ** 2 for k in f) ** 0.5
+        m = sum(dense[k] * ratio(k) for k in f) / norm + b if norm else b
+        assert abs(model.score([text], words)[0] - 1 / (1 + np.exp(-(model.slope * m + model.offset)))) < 1e-4
+
+
+def test_languages_by_plain_formulas(monkeypatch):
+    """Kernel, landmarks' whitening, ridge regression and scores equal those of plain loops with an intercept of its own."""
+    monkeypatch.setattr(langid, "LANDMARKS", 8)
+    rng = np.random.default_rng(5)
+    bits = {"aa": ["the", "and", "of", "then", "her"], "bb": ["der", "und", "nicht", "ich", "zu"], "cc": ["que", "les", "des", "pas", "une"]}
+    rows = [(" ".join(rng.choice(bits[lang], rng.integers(2, 7))), lang) for lang in bits for _ in range({"aa": 9, "bb": 5, "cc": 7}[lang])] + [("...", "aa"), (None, "bb")]
+    model = langid.fit(rows)
+    known = [(t, lang) for t, lang in rows if langid.grams(t) is not None]
+    sets = [set(langid.grams(t).tolist()) for t, _ in known]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    languages, chosen = sorted(bits), []
+    for lang in languages:
+        mine = [i for i, (_, x) in enumerate(known) if x == lang]
+        chosen += [sets[i] for i in sorted(mine, key=lambda i: len(langid.grams(known[i][0])))[-(8 // 3) :]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in chosen] for a in chosen]))
+    keep = [i for i, v in enumerate(values) if v > 1e-6 * max(values)]
+
+    def mapped(s):
+        k = [kernel(s, c) for c in chosen]
+        return [sum(k[j] * vectors[j, i] for j in range(len(k))) / values[i] ** 0.5 for i in keep]
+
+    x = [[*mapped(s), 1.0] for s in sets]
+    weight = [1 / sum(y == lang for _, y in known) for _, lang in known]
+    weight = [w / (sum(weight) / len(weight)) for w in weight]
+    n = len(x[0])
+    a = np.array([[sum(w * r[i] * r[j] for w, r in zip(weight, x, strict=True)) + (langid.RIDGE * len(known) if i == j < n - 1 else 0) for j in range(n)] for i in range(n)])
+    y = np.array([[sum(w * r[i] * (1 if lang == c else -1) for w, r, (_, lang) in zip(weight, x, known, strict=True)) for c in languages] for i in range(n)])
+    beta = np.linalg.solve(a, y)
+    for text in [t for t, _ in known] + ["the und que", "zzz", "e"]:
+        s = set(langid.grams(text).tolist())
+        m = np.array([*mapped(s), 1.0]) @ beta
+        assert np.allclose(model.margins([langid.grams(text)])[0], m, atol=1e-4)
+        p = np.exp(m * langid.SHARPNESS) / np.exp(m * langid.SHARPNESS).sum()
+        lang, score = model.predict([text])[0]
+        assert abs(score - p.max()) < 1e-3 and (lang == languages[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-3)
