@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.postings import top_k
+from ledgerline.operators.postings import top_k, top_k_split
 from ledgerline.operators.staging import staged
 
 #: Query vectors that are held at once (a block of them is 4 MB at 64 dimensions in float64).
@@ -173,6 +173,41 @@ def set_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return both.select(left_key, right_key, similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
+#: Rows that the first look at a query's rarest words should meet, for each row that is asked for.
+FIRST_LOOK = 8
+
+
+def top_scored(asked: DataFrame, postings: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
+    """(query_key, key, score, rank): the ``k`` rows with the greatest sums over a query's words, ties by key. Exact.
+
+    ``asked`` has (query_key, word), ``postings`` (key, word, score) with scores above 0, each pair once. A first look at some
+    rows that have the rarest words gives a score that the k-th row has at least; the most common words whose greatest scores together stay below
+    it cannot bring in a row alone, so only the other words' postings are walked, and a row is completed with the common words
+    only if it can still get there. No pair of a query and a row is made through a common word (max-score).
+    """
+    asked = asked.distinct()
+    postings = staged(postings.select(key, "word", "score").join(asked.select("word").distinct(), "word", "left_semi"), "asked-postings")
+    most = postings.groupBy("word").agg(F.count("*").alias("rows"), F.max("score").alias("most"))
+    words = asked.join(most, "word")
+    rare = Window.partitionBy(query_key).orderBy("rows", "word")
+    words = words.withColumn("_met", F.coalesce(F.sum("rows").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # from the most common word on: what these and all commoner ones give at most
+    words = words.withColumn("_reach", F.sum("most").over(rare.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    words = staged(words, "asked-words")
+    look = words.where(F.col("_met") < FIRST_LOOK * k).select(query_key, "word").join(postings, "word").groupBy(query_key, key).agg(F.sum("score").alias("score"))
+    look = top_k(look, [query_key], [F.desc("score"), F.col(key)], FIRST_LOOK * k).select(query_key, key)
+    look = look.join(words.select(query_key, "word"), query_key).join(postings, [key, "word"]).groupBy(query_key, key).agg(F.sum("score").alias("score"))
+    sure = top_k(look, [query_key], [F.desc("score"), F.col(key)], k).groupBy(query_key).agg(F.when(F.count("*") == k, F.min("score")).alias("sure"))
+    words = words.join(sure, query_key, "left").withColumn("sure", F.coalesce("sure", F.lit(0)))
+    walked = F.col("_reach") >= F.col("sure")
+    rest = words.where(~walked).groupBy(query_key).agg(F.sum("most").alias("rest"))
+    met = words.where(walked).select(query_key, "word", "sure").join(postings, "word").groupBy(query_key, key).agg(F.sum("score").alias("score"), F.max("sure").alias("sure"))
+    met = met.join(rest, query_key, "left").where(F.col("score") + F.coalesce("rest", F.lit(0)) >= F.col("sure"))
+    more = met.select(query_key, key).join(words.where(~walked).select(query_key, "word"), query_key).join(postings, [key, "word"]).select(query_key, key, "score")
+    total = met.select(query_key, key, "score").unionByName(more).groupBy(query_key, key).agg(F.sum("score").alias("score"))
+    return top_k_split(total, [query_key], [F.desc("score"), F.col(key)], k, F.col(key))
+
+
 def word_overlap(queries: DataFrame, rows: DataFrame, query_key: str, key: str, words: str) -> DataFrame:
     """(query_key, key, hits): how many distinct words of a query a row has (an OR query's rank)."""
     q = queries.select(query_key, F.explode(words).alias("word"))

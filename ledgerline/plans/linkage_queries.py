@@ -114,10 +114,30 @@ h AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN d USING (w) GROUP BY
 SELECT item_id, doc_id, CAST(hits AS BIGINT) AS hits, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM h) WHERE rank <= 10""",
 )
 def fulltext_or_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda c: F.array_distinct(F.regexp_extract_all(tx.fold(F.col(c)), F.lit("[a-z]{5,}"), F.lit(0)))
-    q = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("words"))
-    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("words"))
-    return postings.top_k(similarity.word_overlap(q, d, "item_id", "doc_id", "words"), ["item_id"], [F.desc("hits"), F.col("doc_id")], 10)
+    words = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(F.regexp_extract_all(tx.fold(F.col("text")), F.lit("[a-z]{5,}"), F.lit(0)))).alias("word"))
+    hits = words("documents", "doc_id").withColumn("score", F.lit(1).cast("long"))
+    return similarity.top_scored(words("benchmark", "item_id"), hits, "item_id", "doc_id", 10).withColumnRenamed("score", "hits")
+
+
+def _places(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """(key, word, places): how many places of a text each of its words has."""
+    words = F.regexp_extract_all(tx.fold(F.col("text")), F.lit("[a-z]{5,}"), F.lit(0))
+    each = table(spark, sf_dir, name).select(key, F.explode(words).alias("word"))
+    return each.groupBy(key, "word").agg(F.count("*").alias("places"))
+
+
+@query(
+    "fulltext_cover_density",
+    f"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({FOLD.format("text")}, '[a-z]{{5,}}')) AS w FROM benchmark),
+d AS (SELECT doc_id, w, count(*) AS places FROM (SELECT doc_id, unnest(regexp_extract_all({FOLD.format("text")}, '[a-z]{{5,}}')) AS w FROM documents) GROUP BY ALL),
+h AS (SELECT item_id, doc_id, sum(places) AS covers FROM q JOIN d USING (w) GROUP BY ALL)
+SELECT item_id, doc_id, CAST(round(0.1 * covers, 6) AS DOUBLE) AS density, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY covers DESC, doc_id) AS rank FROM h) WHERE rank <= 10""",
+)
+def fulltext_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cover density of an OR query: each place of one of its words is a shortest cover, and counts a tenth."""
+    q, d = _places(spark, sf_dir, "benchmark", "item_id"), _places(spark, sf_dir, "documents", "doc_id")
+    found = similarity.top_scored(q.select("item_id", "word"), d.withColumnRenamed("places", "score"), "item_id", "doc_id", 10)
+    return found.select("item_id", "doc_id", F.round(0.1 * F.col("score"), 6).alias("density"), "rank")
 
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', CAST(i AS BIGINT), 3)))))"
@@ -213,7 +233,7 @@ def rrf_reserved_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_HITS} SELECT query_id, channel, pattern_id, CAST(position AS INTEGER) AS rank FROM h WHERE position <= 3",
 )
 def topk_per_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.first_positions(_hits(spark, sf_dir)).where("rank <= 3").select("query_id", "channel", "pattern_id", "rank")
+    return fusion.first_places(_hits(spark, sf_dir)).where("rank <= 3").select("query_id", "channel", "pattern_id", "rank")
 
 
 @query(

@@ -190,3 +190,24 @@ def test_recall_of_cells(spark):
         found = {(r.query_id, r.vec_id) for r in similarity.nearest_in_cells(e, asked, "vec_id", "embedding", 5).collect()}
         print("recall", sf, len(exact & found) / len(exact))
         assert len(exact & found) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize(("seed", "k"), [(1, 3), (2, 1), (3, 50)])
+def test_top_scored(spark, seed, k):
+    """The same rows as all pairs, though common words are never walked."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(30)]
+    held = {(r, w): rng.randrange(1, 4) for r in range(120) for i, w in enumerate(words) if rng.random() < (0.9 if i < 4 else 0.05)}
+    asked = {(q, w) for q in range(8) for w in rng.sample(words, 9)} | {(9, "w0"), (9, "nowhere")}
+    total = {}
+    for q, w in asked:
+        for (r, v), s in held.items():
+            if v == w:
+                total[q, r] = total.get((q, r), 0) + s
+    want = set()
+    for q in range(10):
+        best = sorted(((-s, r) for (p, r), s in total.items() if p == q))[:k]
+        want |= {(q, r, -s, i) for i, (s, r) in enumerate(best, 1)}
+    postings = spark.createDataFrame([(r, w, s) for (r, w), s in held.items()], "r long, word string, score long")
+    got = similarity.top_scored(spark.createDataFrame(sorted(asked), "q int, word string"), postings, "q", "r", k)
+    assert {tuple(r) for r in got.select("q", "r", "score", "rank").collect()} == want
