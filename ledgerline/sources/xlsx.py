@@ -11,6 +11,7 @@ import glob
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from array import array
@@ -30,6 +31,8 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 MOST_BYTES = 2 << 30
 #: Rows that a sheet can hold.
 MOST_ROWS = 1_048_576
+#: Seconds after which an attempt that nothing writes to is taken for lost.
+DEAD = 7 * 24 * 3600
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
@@ -150,9 +153,16 @@ class XlsxWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         os.makedirs(self.path, exist_ok=True)
         attempt = os.path.join(self.path, f"_{self.id}-{uuid.uuid4().hex}.part")
+        try:
+            return Written(attempt, self._fill(attempt, iterator))
+        except BaseException:
+            self._remove([attempt])
+            raise
+
+    def _fill(self, path: str, iterator: Iterator) -> int:
         head = [(name, False) for name, _ in self.columns]
         n, sheets = 0, 0
-        with zipfile.ZipFile(attempt, "w", zipfile.ZIP_DEFLATED) as z:
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
             rest = iter(iterator)
             row = next(rest, None)
             while row is not None or not sheets:
@@ -167,14 +177,14 @@ class XlsxWriter(DataSourceWriter):
                         row = next(rest, None)
                     f.write(b"</sheetData></worksheet>")
             _frame(z, [f"rows{i}" for i in range(1, sheets + 1)])
-        return Written(attempt, n)
+        return n
 
     def commit(self, messages: list) -> None:
         before = glob.glob(os.path.join(glob.escape(self.path), "*.xlsx"))
         for i, m in enumerate(m for m in messages if m is not None):
             os.replace(m.attempt, os.path.join(self.path, f"part-{i:05d}-{self.id}.xlsx"))
-        # an overwrite clears the folder, attempts of other writes that never ended included
-        self._remove([*before, *self._attempts("_*.part")] if self.overwrite else self._attempts(f"_{self.id}-*.part"))
+        # an overwrite clears the folder; what killed writes left goes when it is older than any write takes
+        self._remove([*before, *self._attempts("_*.part")] if self.overwrite else [*self._attempts(f"_{self.id}-*.part"), *self._dead()])
 
     def abort(self, messages: list) -> None:
         self._remove(self._attempts(f"_{self.id}-*.part"))
@@ -182,6 +192,9 @@ class XlsxWriter(DataSourceWriter):
     def _attempts(self, pattern: str) -> list[str]:
         return glob.glob(os.path.join(glob.escape(self.path), pattern))
 
+    def _dead(self) -> list[str]:
+        return [p for p in self._attempts("_*.part") if os.path.getmtime(p) < time.time() - DEAD]
+
     @staticmethod
     def _remove(paths: list[str]) -> None:
         for path in paths:
