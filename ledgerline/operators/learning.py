@@ -162,9 +162,9 @@ def cascade(tables: dict[str, DataFrame], roots: dict[str, DataFrame], reference
     """The rows of each table that go when the rows ``roots`` go, to a fixed point.
 
     Rows go with a parent that goes; a shared row goes when some row that needs it goes and none is left. Rounds follow the
-    graph until no table loses more, so a chain of any length is walked; each round is staged.
+    graph until no table loses more, so a chain of any length is walked; each round is staged. Rows that repeat go together.
     """
-    gone = {name: staged(rows.select(*tables[name].columns), f"gone-{name}") for name, rows in roots.items()}
+    gone = {name: staged(rows.select(*tables[name].columns).distinct(), f"gone-{name}") for name, rows in roots.items()}
     counts = {name: rows.count() for name, rows in gone.items()}
     while True:
         found: dict[str, DataFrame] = {}
@@ -175,7 +175,7 @@ def cascade(tables: dict[str, DataFrame], roots: dict[str, DataFrame], reference
         for name, own, by, theirs in shared:
             if name in tables and by in gone and by in tables:
                 renamed = lambda df, own=own, theirs=theirs: df.select(*(F.col(t).alias(o) for o, t in zip(own, theirs, strict=True))).distinct()
-                left = renamed(tables[by].exceptAll(gone[by]))
+                left = renamed(_among(tables[by], gone[by], "left_anti"))
                 found[name] = _with(found.get(name), tables[name].join(renamed(gone[by]), own, "left_semi").join(left, own, "left_anti"))
         more = False
         for name, rows in found.items():
@@ -184,7 +184,16 @@ def cascade(tables: dict[str, DataFrame], roots: dict[str, DataFrame], reference
             if n > counts.get(name, 0):
                 gone[name], counts[name], more = rows, n, True
         if not more:
-            return gone
+            return {name: _among(tables[name], rows, "left_semi") for name, rows in gone.items()}
+
+
+def _among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """The rows that are (left_semi) or are not (left_anti) alike one of ``some`` in all columns; nulls are alike."""
+    other = some.toDF(*(f"_{c}" for c in some.columns))
+    alike = F.lit(True)
+    for c in some.columns:
+        alike = alike & rows[c].eqNullSafe(other[f"_{c}"])
+    return rows.join(other, alike, how)
 
 
 def _with(a: DataFrame | None, b: DataFrame) -> DataFrame:

@@ -107,9 +107,9 @@ def test_reindex_changes_stale_patterns_only(spark, tmp_path):
 
 def test_cascade_to_a_fixed_point(spark):
     t = {
-        "a": spark.createDataFrame([(1,), (2,)], "a int"), "b": spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "b int, a int"), "c": spark.createDataFrame([(1, 1, 7), (2, 2, 8), (3, 3, 8), (4, 3, 9)], "c int, b int, s int"),
+        "a": spark.createDataFrame([(1,), (2,)], "a int"), "b": spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "b int, a int"), "c": spark.createDataFrame([(1, 1, 7), (1, 1, 7), (2, 2, 8), (3, 3, 8), (4, 3, 9), (5, 2, None)], "c int, b int, s int"),
         "d": spark.createDataFrame([(1, 1), (2, 4)], "d int, c int"), "s": spark.createDataFrame([(7,), (8,), (9,), (10,)], "s int"),
     }
     refs = [("b", ["a"], "a", ["a"]), ("c", ["b"], "b", ["b"]), ("d", ["c"], "c", ["c"])]
     got = learning.cascade(t, {"a": t["a"].where("a = 1")}, refs, [("s", ["s"], "c", ["s"])])
-    assert {k: rows(v) for k, v in got.items()} == {"a": [(1,)], "b": [(1, 1), (2, 1)], "c": [(1, 1, 7), (2, 2, 8)], "d": [(1, 1)], "s": [(7,)]}
+    assert {k: rows(v) for k, v in got.items()} == {"a": [(1,)], "b": [(1, 1), (2, 1)], "c": [(1, 1, 7), (1, 1, 7), (2, 2, 8), (5, 2, None)], "d": [(1, 1)], "s": [(7,)]}
