@@ -6,6 +6,10 @@ import re
 from dataclasses import dataclass
 
 
+# A joint-stock company in full and cut short, and its trade (water supply), in folded words.
+FULL, SHORT, TRADE = "cong ty co phan", ("ctcp", "ct cp"), "cap nuoc"
+
+
 @dataclass(frozen=True)
 class Payee:
     """A water company: its city, own short names and own accounts, all in folded form."""
@@ -20,6 +24,12 @@ class Payee:
         city = re.escape(self.city)
         return r"\b(?:" + "|".join([rf"{city}\s+water", r"water\s+supply", rf"cap\s+nuoc\s+{city}", *map(re.escape, self.brands)]) + r")\b"
 
+    @property
+    def company(self) -> str:
+        """Pattern of the company's own name: in full with its city, or with the kind of company cut short."""
+        city = re.escape(self.city)
+        return rf"\b(?:{FULL} {TRADE} {city}|(?:{'|'.join(SHORT)}) {TRADE}(?: {city})?)\b"
+
     @property
     def purpose(self) -> str:
         """Pattern of words that tell a payment for water."""
