@@ -28,10 +28,12 @@ from ledgerline.operators.staging import staged
 CANDIDATES, CHANNEL_LIMIT, PER_CUSTOMER = 40, 120, 4
 #: Least trigram similarity of layouts.
 TRIGRAM = 0.3
-#: Retrieval channel of a token family.
+#: Least cosine of texts in the semantic channel, and the cells of its index that a query looks into.
+SEMANTIC, PROBES = 0.3, 128
+#: Retrieval channel of a token family (the buckets of vectors are owned, but searched by cells).
 CHANNELS = {
     "id": "customer_id", "exact": "exact_text", "contract": "identity", "slot-id": "identity", "code": "structured", "detail": "structured", "payer": "payer",
-    "template": "shared_template", "w": "full_text", "n": "postings", "name": "customer_name", "entity": "name_entity", "v": "semantic",
+    "template": "shared_template", "w": "full_text", "n": "postings", "name": "customer_name", "entity": "name_entity",
 }
 #: Recommendations of a query.
 OFFERED = 6
@@ -51,6 +53,8 @@ class Knowledge:
     templates: DataFrame  # template_key, customers, most_customers, settled_rows
     sets: DataFrame  # channel, set_key, token, weight: the distinct token sets of patterns
     members: DataFrame  # set_key, pattern_id, customer_id: the newest patterns of a set, at most CHANNEL_LIMIT
+    vectors: similarity.Cells  # the distinct vectors of patterns, by vector_key
+    alike: DataFrame  # vector_key, pattern_id, customer_id: the newest patterns of a vector
     negatives: DataFrame | None = None  # text_key, customer_id
     registry: DataFrame | None = None  # customer_id, name, member: customers that are known without a pattern of their own
     positions: DataFrame | None = None  # channel, context, stops: where names stand, learned if the examples have names
@@ -86,8 +90,7 @@ def _roles(*roles: str) -> Column:
 def tokens(owner: Column | None, name: Column | None = None, only: tuple[str, ...] = ()) -> Column:
     """The tokens (token, weight) of a parsed row; a pattern has its owner's id and name, a query what it names and says.
 
-    Vectors take part by the signs of their greatest components, so a semantic hit shares some of these. ``only`` names the
-    families that are wanted, if not all are.
+    Vectors take part by the signs of their greatest components. ``only`` names the families that are wanted, if not all are.
     """
     ids = F.array(owner) if owner is not None else F.col("norm.customer_ids")
     slots = F.transform(F.filter("norm.numbers", lambda n: n["context"].isNotNull()), lambda n: F.concat_ws(":", F.sha2(F.concat_ws(rt.SEPARATOR, tx.channel_key(F.col("channel")), n["context"]), 256), n["value"]))
@@ -128,8 +131,9 @@ def build(examples: DataFrame, negatives: DataFrame | None = None, registry: Dat
     held = staged(_token_sets(posts, ["pattern_id", "customer_id"]), "pattern-sets")
     sets = staged(_set_tokens(held), "sets")
     # a set's patterns score alike, so only its newest ones (a few of a customer) can be among a channel's hits
-    own = top_k(held.select("set_key", "pattern_id", "customer_id"), ["set_key", "customer_id"], [F.desc("pattern_id")], PER_CUSTOMER, "own")
-    members = staged(top_k_split(own, ["set_key"], [F.desc("pattern_id")], CHANNEL_LIMIT, F.col("pattern_id"), "at").select("set_key", "pattern_id", "customer_id"), "members")
+    members = staged(_newest(held, "set_key"), "members")
+    placed = patterns.select(_vector_key(), "vector", "pattern_id", "customer_id").where("vector_key IS NOT NULL")
+    vectors = similarity.cell_index(staged(_distinct_vectors(placed), "vectors"), "vector_key", "vector")
     anchored = F.exists("norm.numbers", lambda n: n["numeric_type"].isin(list(rt.IDENTITY_ROLES)))
     own = anchored | (F.size("norm.payer_accounts") > 0) | (F.size(tx.text_tokens(F.col("norm.normalized"))) >= 2)
     memory = rows.groupBy("recurring", "channel").agg(F.count_distinct("cid").alias("owners"), F.min("cid").alias("owner"), F.array_sort(F.first("names")).alias("memory_names"), F.bool_or(anchored).alias("anchored"), F.bool_or(own).alias("personal"))
@@ -138,7 +142,22 @@ def build(examples: DataFrame, negatives: DataFrame | None = None, registry: Dat
     of_one = F.when(F.col("unique"), F.col("n")).otherwise(1)
     templates = split.groupBy("template_key").agg(F.max(of_one).alias("most_customers"), F.coalesce(F.sum(F.when(of_one >= knowledge.SETTLEMENT, F.col("rows"))), F.lit(0)).alias("settled_rows"))
     customers = rows.groupBy("template_key").agg(F.count_distinct("cid").alias("customers"))
-    return Knowledge(patterns, posts, staged(memory, "memory"), staged(templates.join(customers, "template_key"), "templates"), sets, members, negatives, registry, positions)
+    return Knowledge(patterns, posts, staged(memory, "memory"), staged(templates.join(customers, "template_key"), "templates"), sets, members, vectors, staged(_newest(placed, "vector_key"), "vector-members"), negatives, registry, positions)
+
+
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pattern_id, customer_id): the newest CHANNEL_LIMIT patterns of a key, at most PER_CUSTOMER of a customer."""
+    own = top_k(rows.select(key, "pattern_id", "customer_id"), [key, "customer_id"], [F.desc("pattern_id")], PER_CUSTOMER, "own")
+    return top_k_split(own, [key], [F.desc("pattern_id")], CHANNEL_LIMIT, F.col("pattern_id"), "at").select(key, "pattern_id", "customer_id")
+
+
+def _vector_key() -> Column:
+    """vector_key: a hash of 64 bits of the vector, null for the vector of an empty text, which is like nothing."""
+    return F.when(F.exists("vector", lambda x: x != 0), F.xxhash64("vector")).alias("vector_key")
+
+
+def _distinct_vectors(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("vector_key").agg(F.first("vector").alias("vector"))
 
 
 def _channel(token: Column) -> Column:
@@ -183,6 +202,13 @@ def _alike_layouts(asked: DataFrame, known: Knowledge) -> DataFrame:
     return pairs.join(newest, "p").select(F.col("q").alias("set_key"), F.lit("trigram").alias("channel"), "pattern_id", "customer_id", F.col("similarity").alias("score"))
 
 
+def _alike_vectors(placed: DataFrame, known: Knowledge) -> DataFrame:
+    """(query_id, channel, set_key, pattern_id, customer_id, score): semantic hits, found between distinct vectors by the cells
+    of ``known``. Four times as many vectors as hits are taken, since a customer may have several."""
+    met = similarity.search_cells(known.vectors, _distinct_vectors(placed), 4 * CHANNEL_LIMIT, PROBES, SEMANTIC, itself=True)
+    return met.join(known.alike, "vector_key").select(F.col("query_id").cast("string").alias("set_key"), F.lit("semantic").alias("channel"), "pattern_id", "customer_id", F.col("cosine").alias("score"))
+
+
 def retrieve(queries: DataFrame, known: Knowledge) -> DataFrame:
     """(query_id, pattern_id, customer_id, score, place): fused candidates of parsed queries with their scope.
 
@@ -195,11 +221,13 @@ def retrieve(queries: DataFrame, known: Knowledge) -> DataFrame:
     mine = _set_tokens(sets).select(F.col("set_key").alias("q"), "token")
     met = mine.join(known.sets, "token").groupBy("q", "channel", "set_key").agg(F.sum("weight").alias("score"))
     scored = met.join(known.members, "set_key").select(F.col("q").alias("set_key"), "channel", "pattern_id", "customer_id", "score")
-    scored = scored.unionByName(_alike_layouts(asked, known))
+    placed = staged(asked.select("query_id", _vector_key(), "vector").where("vector_key IS NOT NULL"), "query-vectors")
+    scored = scored.unionByName(_alike_layouts(asked, known)).unionByName(_alike_vectors(placed, known))
     order = [F.desc("score"), F.desc("pattern_id")]
     own = top_k(scored, ["set_key", "channel", "customer_id"], order, PER_CUSTOMER, "own")
     hits = top_k(own, ["set_key", "channel"], order, CHANNEL_LIMIT, "position").select("set_key", "channel", "pattern_id", "customer_id", "position")
     wanted = sets.select("query_id", "channel", "set_key").unionByName(asked.select("query_id", F.lit("trigram").alias("channel"), F.md5("norm.template").alias("set_key")))
+    wanted = wanted.unionByName(placed.select("query_id", F.lit("semantic").alias("channel"), F.col("vector_key").cast("string").alias("set_key")))
     found = wanted.join(staged(hits, "hits"), ["set_key", "channel"]).select("query_id", "channel", "pattern_id", "customer_id", "position")
     return fusion.select_diverse(found, CANDIDATES).unionByName(_scoped(queries, known))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,8 @@ def _celled(rows: DataFrame, key: str, vector: str, centres: np.ndarray, most: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :most]
             at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
@@ -104,45 +107,75 @@ def _celled(rows: DataFrame, key: str, vector: str, centres: np.ndarray, most: i
     return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{key} {kinds[0].dataType.simpleString()}, {vector} {kinds[1].dataType.simpleString()}, cell int")
 
 
-#: Rows of a cell that one task holds; larger cells are dealt out, with the cell's queries in each part.
-CELL_ROWS = 32_768
+#: Rows and queries of a cell that one task holds; what is more is dealt out, every part of the rows with every part of the queries.
+CELL_ROWS, CELL_QUERIES = 32_768, 8_192
 
 
-def nearest_in_cells(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, count: int = 256, probes: int = 96) -> DataFrame:
-    """``nearest`` by an inverted file: rows lie in the nearest of ``count`` cells, a query looks into its ``probes`` nearest ones,
-    and what it finds there is ranked by exact rounded dot products, ties by id.
+@dataclass
+class Cells:
+    """An inverted file over vectors: each row lies in the cell of its nearest centre."""
 
-    Unlike ``nearest`` it reads a part of the rows for each query, and may miss what lies in other cells (see the recall in the
-    README). Cells of any size are parted, so no task holds more than about CELL_ROWS rows and their queries.
-    """
+    key: str
+    vector: str
+    centres: np.ndarray
+    held: DataFrame  # key, vector, cell
+    sizes: DataFrame  # cell, parts
+
+
+def cell_index(rows: DataFrame, key: str, vector: str, count: int = 256) -> Cells:
+    """An inverted file of ``count`` cells; every row with a vector gets into one."""
     centres = cells(rows, key, vector, count)
+    held = staged(_celled(rows, key, vector, centres, 1), "cells") if len(centres) else rows.select(key, vector, F.lit(0).alias("cell")).limit(0)
+    return Cells(key, vector, centres, held, held.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")))
+
+
+def search_cells(index: Cells, queries: DataFrame, k: int, probes: int = 96, least: float = 0.0, itself: bool = False) -> DataFrame:
+    """(query_id, key, cosine, rank): the ``k`` best rows in the ``probes`` cells nearest to each query, by exact rounded dot
+    products from ``least`` on, ties by id; ``itself`` lets in the row that has the query's key.
+
+    Cells and their queries may be of any size: both are dealt out, so a task holds at most about CELL_ROWS rows and
+    CELL_QUERIES queries.
+    """
+    key, vector = index.key, index.vector
     out = f"query_id long, {key} long, cosine double"
-    if not len(centres):
-        return rows.sparkSession.createDataFrame([], out + ", rank int")
-    held = staged(_celled(rows, key, vector, centres, 1), "cells")
-    sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
-    dealt = held.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
-    asked = _celled(queries, key, vector, centres, probes).join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    if not len(index.centres):
+        return queries.sparkSession.createDataFrame([], out + ", rank int")
+    near = _celled(queries, key, vector, index.centres, probes)
+    turns = near.groupBy("cell").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("turns"))
+    # at most a row for each cell
+    sizes = F.broadcast(staged(index.sizes.join(turns, "cell"), "cell-sizes"))
+    deal = lambda many: F.pmod(F.xxhash64(key), F.col(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    held = index.held.join(sizes, "cell").withColumn("part", deal("parts")).withColumn("turn", each("turns"))
+    asked = near.join(sizes, "cell").withColumn("turn", deal("turns")).withColumn("part", each("parts"))
+    most = k if itself else k + 1
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, found, scores = [], [], []
         keys = right.column(key).to_numpy()
         if left.num_rows and right.num_rows:
-            matrix = lambda t: np.stack([np.asarray(v, dtype=np.float64) for v in t.column(vector).to_pylist()])
+            matrix = lambda t: t.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
             values, mine = matrix(right), left.column(key).to_numpy()
             for start in range(0, left.num_rows, ROW_BLOCK):
                 q = matrix(left.slice(start, ROW_BLOCK))
-                best = _Best(len(q), k + 1)
+                best = _Best(len(q), most)
                 best.take(np.round(np.clip(q @ values.T, 0.0, 1.0), 6), keys)
-                width = best.keys.shape[1]
-                ids.append(np.repeat(mine[start : start + ROW_BLOCK], width))
-                found.append(best.keys.ravel())
-                scores.append(best.scores.ravel())
+                kept = best.scores >= least
+                ids.append(np.repeat(mine[start : start + ROW_BLOCK], kept.sum(axis=1)))
+                found.append(best.keys[kept])
+                scores.append(best.scores[kept])
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table({"query_id": join(ids, pa.int64()), key: join(found, pa.int64()), "cosine": join(scores, pa.float64())})
 
-    met = asked.select("cell", "part", key, vector).groupBy("cell", "part").cogroup(dealt.select("cell", "part", key, vector).groupBy("cell", "part")).applyInArrow(meet, out)
-    return top_k(met.where(F.col("query_id") != F.col(key)), ["query_id"], [F.desc("cosine"), F.col(key)], k)
+    at = ["cell", "part", "turn"]
+    met = asked.select(*at, key, vector).groupBy(*at).cogroup(held.select(*at, key, vector).groupBy(*at)).applyInArrow(meet, out)
+    return top_k(met if itself else met.where(F.col("query_id") != F.col(key)), ["query_id"], [F.desc("cosine"), F.col(key)], k)
+
+
+def nearest_in_cells(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, count: int = 256, probes: int = 96) -> DataFrame:
+    """``nearest`` by an inverted file. It reads a part of the rows for each query, and may miss what lies in other cells (see the
+    recall in the README)."""
+    return search_cells(cell_index(rows, key, vector, count), queries, k, probes)
 
 
 def trigrams(c: Column) -> Column:
