@@ -1,6 +1,7 @@
 """Workbooks: layouts of sheets, and tables written and read back."""
 
 import os
+import time
 
 import pytest
 
@@ -55,6 +56,20 @@ def _written(spark, path):
     return sorted(int(r[0]) for r in cells.selectExpr("cells['A']").collect())
 
 
+def _still(look, seconds: float = 5, most: float = 60) -> None:
+    """Waits until nothing has changed for some seconds: a worker may outlive the job that it was part of by a little (Spark
+    gives it two seconds), and its attempt is young as long as it is written."""
+    end, since, seen = time.monotonic() + most, time.monotonic(), None
+    while time.monotonic() < min(end, since + seconds):
+        try:
+            now = look()
+        except FileNotFoundError:  # removed between listing and looking
+            now = None
+        if now is None or now != seen:
+            since, seen = time.monotonic(), now
+        time.sleep(0.2)
+
+
 def test_workbooks_append_overwrite_and_lost_attempts(spark, tmp_path):
     from ledgerline.sources import xlsx
 
@@ -81,6 +96,7 @@ def test_workbooks_append_overwrite_and_lost_attempts(spark, tmp_path):
         spark.range(0, 50, 1, 4).mapInPandas(fails, "id long").write.format("xlsx").option("path", path).mode("append").save()
     # tasks that are killed leave their attempts behind; no reader sees them, and they go later
     assert sorted(p.name for p in tmp_path.glob("books/*.xlsx")) == before and _written(spark, path) == [7, 8, 9]
+    _still(lambda: sorted((p.name, p.stat().st_size) for p in tmp_path.glob("books/_*.part")))
     for p in tmp_path.glob("books/_*.part"):
         os.utime(p, (0, 0))
     (tmp_path / "books" / "_live-1.part").write_bytes(b"x")
