@@ -5,7 +5,7 @@ State tables are DataFrames that a batch turns into the next version; a batch is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.values import confidence_after
@@ -21,27 +21,36 @@ def unseen(batch: DataFrame, receipts: DataFrame | None, key: str = "receipt") -
     return once if receipts is None else drop_members(once, receipts, key)
 
 
-def learn(state: DataFrame | None, batch: DataFrame, keys: list[str]) -> DataFrame:
+def learn(state: DataFrame | None, batch: DataFrame, keys: list[str], facts: Column | None = None) -> DataFrame:
     """(keys, seen, advances, last_period, confidence) after a batch of (keys, period).
 
     Counts always grow; confidence only with a strictly newer known period. A first sighting starts at 0.2; periods that
-    are not after the stored one count as late data and change nothing but the count.
+    are not after the stored one count as late data and change nothing but the count. Of ``facts`` (a struct of the batch's
+    columns) the greatest one of each key is added as ``facts``, null for keys that only the state has.
+
+    Batch and state meet in one shuffle: a key has a row for each of its periods, and one of the state.
     """
-    delta = batch.groupBy(*keys, "period").agg(F.count("*").alias("n"))
-    if state is None:
-        old = delta.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("o_seen"), F.lit(None).cast("long").alias("o_advances"), F.lit(None).cast("string").alias("o_last"))
-    else:
-        old = state.select(*keys, F.col("seen").alias("o_seen"), F.col("advances").alias("o_advances"), F.col("last_period").alias("o_last"))
-    known = F.col("period") != "unknown"
-    newer = F.when(known & (F.coalesce("o_last", F.lit("")).isin("", "unknown") | (F.col("period") > F.col("o_last"))), F.col("period"))
-    rows = old.join(delta, keys, "full").groupBy(*keys).agg(
-        F.coalesce(F.max("o_seen"), F.lit(0)).alias("o_seen"), F.max("o_advances").alias("o_advances"), F.max("o_last").alias("o_last"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct(newer).alias("fresh"), F.max(newer).alias("newest"),
+    kept = [] if facts is None else [F.max(facts).alias("facts")]
+    rows = batch.groupBy(*keys, "period").agg(F.count("*").alias("n"), *kept)
+    none = {"o_seen": "long", "o_advances": "long", "o_last": "string"}
+    rows = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    before = F.lit(None).cast("string")
+    if state is not None:
+        old = state.select(*keys, F.lit(0).cast("long").alias("n"), F.col("seen").alias("o_seen"), F.col("advances").alias("o_advances"), F.col("last_period").alias("o_last"))
+        rows = rows.unionByName(old, allowMissingColumns=True)
+        before = F.max("o_last").over(Window.partitionBy(*keys))
+    rows = rows.withColumn("before", before)
+    later = F.coalesce("before", F.lit("")).isin("", "unknown") | (F.col("period") > F.col("before"))
+    newer = F.when((F.col("period") != "unknown") & later, F.col("period"))
+    rows = rows.groupBy(*keys).agg(
+        F.coalesce(F.max("o_seen"), F.lit(0)).alias("o_seen"), F.max("o_advances").alias("o_advances"), F.max("before").alias("o_last"),
+        F.sum("n").alias("n"), F.count(newer).alias("fresh"), F.max(newer).alias("newest"), *([] if facts is None else [F.max("facts").alias("facts")]),
     )
     first = F.col("o_advances").isNull()
     advances = F.when(first, F.greatest(F.col("fresh") - 1, F.lit(0))).otherwise(F.col("o_advances") + F.col("fresh"))
     last = F.coalesce("newest", "o_last", F.lit("unknown"))
-    return rows.select(*keys, (F.col("o_seen") + F.col("n")).alias("seen"), advances.alias("advances"), last.alias("last_period"), F.round(confidence_after(advances), 9).alias("confidence"))
+    out = [*keys, (F.col("o_seen") + F.col("n")).alias("seen"), advances.alias("advances"), last.alias("last_period"), F.round(confidence_after(advances), 9).alias("confidence")]
+    return rows.select(*out, *([] if facts is None else ["facts"]))
 
 
 def memberships(batch: DataFrame, template: str, customer: str) -> DataFrame:

@@ -27,13 +27,14 @@ DERIVED = "rules-1"
 
 
 def _counted(base: Snapshot, name: str, rows: DataFrame, facts: dict[str, Column] | None = None) -> DataFrame:
-    """The touched rows of a counted table after ``rows`` (its keys, period); facts are aggregates that the newest batch decides."""
+    """The touched rows of a counted table after ``rows`` (its keys, period); ``facts`` are those of its newest row (txn_id)."""
     keys = KEYS[name]
     state = base.table(name).join(rows.select(*keys).distinct(), keys, "left_semi") if name in base else None
-    new = knowledge.learn(state, rows.select(*keys, "period"), keys)
     if not facts:
-        return new
-    return new.join(rows.groupBy(*keys).agg(*(v.alias(k) for k, v in facts.items())), keys)
+        return knowledge.learn(state, rows.select(*keys, "period"), keys)
+    rows = rows.select(*keys, "period", F.struct("txn_id", *(v.alias(k) for k, v in facts.items())).alias("fact"))
+    new = knowledge.learn(state, rows, keys, F.col("fact"))
+    return new.select(*new.columns[:-1], *(F.col("facts")[k].alias(k) for k in facts))
 
 
 def learned(base: Snapshot, batch: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -51,24 +52,23 @@ def learned(base: Snapshot, batch: DataFrame) -> tuple[dict[str, DataFrame], dic
     identity = F.array_join(rt.pattern_identity(F.col("norm.numbers")), ",")
     pattern = F.sha2(F.concat_ws(rt.SEPARATOR, "cid", channel, "template_key", identity), 256)
     rows = rows.withColumn("pattern_key", pattern).withColumn("customer_id", F.col("cid")).withColumn("channel", channel).drop("cid")
-    last = lambda c: F.max_by(c, "txn_id")
-    numbers = rows.select("pattern_key", "period", "channel", F.explode(F.filter("norm.numbers", lambda n: n["numeric_type"] != "AMOUNT")).alias("n"))
-    numbers = numbers.select("pattern_key", "period", "channel", "n.slot", "n.value", "n.numeric_type", "n.context")
+    numbers = rows.select("txn_id", "pattern_key", "period", "channel", F.explode(F.filter("norm.numbers", lambda n: n["numeric_type"] != "AMOUNT")).alias("n"))
+    numbers = numbers.select("txn_id", "pattern_key", "period", "channel", "n.slot", "n.value", "n.numeric_type", "n.context")
     payers = rows.select("customer_id", "period", F.explode(F.array_distinct(F.concat(F.array("channel"), "norm.payer_accounts"))).alias("payer"))
     names = rows.where(tx.name_key(F.col("name")) != "").select("customer_id", tx.name_key(F.col("name")).alias("alias"), "period")
     new_patterns = rows.dropDuplicates(["pattern_key"])
     tokens = new_patterns.select("pattern_key", "customer_id", F.explode(classify.tokens(F.col("customer_id"), F.col("name"))).alias("t")).select("pattern_key", "customer_id", "t.token", "t.weight").dropDuplicates(["pattern_key", "token"])
     upserts = {
         "receipts": rows.select("receipt", "customer_id", "period"),
-        "customers": _counted(base, "customers", rows, {"name": last(F.col("name"))}),
+        "customers": _counted(base, "customers", rows, {"name": F.col("name")}),
         "aliases": _counted(base, "aliases", names),
         "payers": _counted(base, "payers", payers),
         "channels": _counted(base, "channels", rows),
-        "templates": _counted(base, "templates", rows, {"template": last(F.col("norm.template")), "structure": last(F.col("norm.structure")), "channel": last(F.col("channel"))}),
+        "templates": _counted(base, "templates", rows, {"template": F.col("norm.template"), "structure": F.col("norm.structure"), "channel": F.col("channel")}),
         "members": _counted(base, "members", rows),
-        "patterns": _counted(base, "patterns", rows, {"customer_id": last(F.col("customer_id")), "channel": last(F.col("channel")), "template_key": last(F.col("template_key")), "raw": last(F.col("raw")), "derived": F.lit(DERIVED)}),
+        "patterns": _counted(base, "patterns", rows, {"customer_id": F.col("customer_id"), "channel": F.col("channel"), "template_key": F.col("template_key"), "raw": F.col("raw"), "derived": F.lit(DERIVED)}),
         "slots": _counted(base, "slots", numbers),
-        "features": _decayed(base, numbers, _counted(base, "features", numbers, {"numeric_type": F.max("numeric_type"), "channel": F.max("channel"), "context": F.max("context")})),
+        "features": _decayed(base, numbers, _counted(base, "features", numbers, {k: F.col(k) for k in ("numeric_type", "channel", "context")})),
         "postings": tokens,
         "memory": _counted(base, "memory", rows),
         "contexts": _counted(base, "contexts", numbers.where("context IS NOT NULL")),
@@ -90,7 +90,7 @@ def _decayed(base: Snapshot, numbers: DataFrame, touched: DataFrame) -> DataFram
     if "features" not in base:
         return touched
     months = numbers.where("period <> 'unknown'").select("pattern_key", "period").distinct()
-    others = base.table("features").join(touched.select(*KEYS["features"]), KEYS["features"], "left_anti")
+    others = base.table("features").join(numbers.select(*KEYS["features"]).distinct(), KEYS["features"], "left_anti")
     missed = others.join(months, "pattern_key").where("period > last_period").groupBy(*others.columns).agg(F.count("*").alias("_n"), F.max("period").alias("_last"))
     less = F.round(F.col("confidence") * F.pow(F.lit(0.7), "_n"), 9)
     return touched.unionByName(missed.withColumn("confidence", less).withColumn("missing_count", F.col("missing_count") + F.col("_n")).withColumn("last_period", F.col("_last")).drop("_n", "_last"))
