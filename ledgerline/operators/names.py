@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import narrative as nr
 from ledgerline.functions.text import name_key
 from ledgerline.functions.values import wilson
+from ledgerline.operators.staging import staged
 
 #: A position is a name position from so many hits on, with so high a lower bound of their share.
 LEAST_HITS, LEAST_SHARE = 20, 0.6
@@ -21,8 +22,13 @@ def _starts(raw: pd.Series) -> pd.Series:
 
 
 def starts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, raw, context, start, words, after): a row for each word of a narrative."""
-    found = rows.select(*keys, "raw", F.explode(F.pandas_udf(_starts, nr.WORD_STARTS)("raw")).alias("s"))
+    """(keys, raw, context, start, words, after): a row for each word of a narrative.
+
+    The number of partitions is set: reading words costs far more than the few bytes that a small file is split by.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = rows.select(*keys, "raw").repartition(n).select(*keys, "raw", F.explode(F.pandas_udf(_starts, nr.WORD_STARTS)("raw")).alias("s"))
     return found.select(*keys, "raw", "s.context", "s.start", "s.words", "s.after")
 
 
@@ -43,8 +49,13 @@ def learn_positions(rows: DataFrame) -> DataFrame:
 
 
 def extract(rows: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, name): names of two words or more at learned positions of (keys, channel, raw)."""
-    at = starts(rows, [*keys, "channel"]).join(positions.select("channel", "context", "stops"), ["channel", "context"])
+    """(keys, name): names of two words or more at learned positions of (keys, channel, raw).
+
+    The words of all rows look far smaller to the planner than they are. The positions are written first, so that it knows how
+    few they are and sends those to the words, never the words to the driver.
+    """
+    known = staged(positions.select("channel", "context", "stops"), "positions")
+    at = starts(rows, [*keys, "channel"]).join(known, ["channel", "context"])
     stop = F.transform("words", lambda w: F.array_contains("stops", w["word"]) | w["word"].isin(nr.NAME_STOPS))
     first = F.array_position(stop, True)
     size = F.when(first > 0, first - 1).otherwise(F.size("words")).cast("int")
