@@ -185,9 +185,14 @@ def portable_filename(c: Column, most: int = 180) -> Column:
     suffix = F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$", 1)
     stem = F.substr(name, F.lit(1), F.length(name) - F.length(suffix))
     room = F.lit(most) - F.octet_length(suffix)
-    # a character has a byte at least, so no longer prefix can fit
-    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(stem), room)), lambda i: F.octet_length(F.substr(stem, F.lit(1), i)) <= room)
-    cut = F.regexp_replace(F.substr(stem, F.lit(1), F.array_max(fits)), r"[ .]+$", "")
+    # the last of the room's bytes and the three before it: a prefix ends where no continuation byte follows
+    data = F.encode(stem, "UTF-8")
+    ends = lambda at: ~F.hex(F.substr(data, at + 1, F.lit(1))).between("80", "BF")
+    end = F.when(F.octet_length(stem) <= room, F.octet_length(stem)).when(room < 0, None)
+    for back in range(3):
+        end = end.when(ends(room - back), room - back)
+    head = F.substr(data, F.lit(1), end.otherwise(room - 3)).cast("string")
+    cut = F.regexp_replace(head, r"[ .]+$", "")
     return F.concat(F.when(cut == "", "upload").otherwise(cut), suffix)
 
 
