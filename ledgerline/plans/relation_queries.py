@@ -159,9 +159,9 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "interval_union",
-    """WITH e AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS a, CAST(floor(value) AS BIGINT) + event_id % 4 AS b FROM events),
-m AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS n FROM e),
-i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    """WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS a, CAST(floor(value) AS BIGINT) + event_id % 4 AS b FROM events),
+m AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS n FROM e),
+i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT user_id, min(a) AS a, max(b) AS b FROM i GROUP BY user_id, island""",
 )
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
