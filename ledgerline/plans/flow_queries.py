@@ -79,7 +79,10 @@ def slot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(txn_id, raw): narratives of nine layouts that together hold every role of a number."""
+    """(txn_id, raw): narratives of nine layouts that together hold every role of a number.
+
+    Eight digits without a label that read as a day (20260713) are a date, whatever the layout says, and so no number.
+    """
     n, cid = F.col("o_orderkey"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")
     digits = lambda k, width: F.lpad((n * k % 10**width).cast("string"), width, "4")
     raws = [
@@ -112,7 +115,14 @@ _ROLES = [
 
 def _roles_sql() -> str:
     value = lambda v: _DIGITS.format(v[0], 10 ** v[1], v[1]) if isinstance(v, tuple) else v
-    rows = [f"SELECT n AS txn_id, {i // 2 + 1} AS slot, '{form[i]}' AS numeric_type, {value(form[i + 1])} AS value FROM o WHERE n % {len(_ROLES)} = {k}" for k, form in enumerate(_ROLES) for i in range(0, len(form), 2)]
+    day = lambda v: f"regexp_full_match({value(v)}, '20[0-9][0-9](0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])')"
+    rows = []
+    for k, form in enumerate(_ROLES):
+        slot = "1"
+        for role, v in zip(form[::2], form[1::2], strict=True):
+            dated = isinstance(v, tuple) and v[1] == 8 and role in ("BANK_REFERENCE", "UNKNOWN_NUMBER")
+            rows.append(f"SELECT n AS txn_id, CAST({slot} AS INTEGER) AS slot, '{role}' AS numeric_type, {value(v)} AS value FROM o WHERE n % {len(_ROLES)} = {k}" + (f" AND NOT {day(v)}" if dated else ""))
+            slot += f" + CASE WHEN {day(v)} THEN 0 ELSE 1 END" if dated else " + 1"
     return "WITH o AS (SELECT o_orderkey AS n, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS cid FROM orders) " + " UNION ALL ".join(rows)
 
 
