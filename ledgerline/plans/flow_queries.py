@@ -36,45 +36,45 @@ def billed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_NV} SELECT txn_id, CAST(1 AS INTEGER) AS slot, CASE WHEN txn_id % 5 = 0 THEN 'CONTRACT_ID' ELSE 'CUSTOMER_ID' END AS numeric_type, CASE WHEN txn_id % 5 = 0 THEN regexp_extract(raw, 'HD ([0-9]+)', 1) ELSE cid END AS value FROM nv",
 )
 def normalize_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nr.normalized(billed(spark, sf_dir))
+    rows = nr.normalized(billed(spark, sf_dir), fields=("numbers",))
     return rows.select("txn_id", F.explode("norm.numbers").alias("n")).select("txn_id", "n.slot", "n.numeric_type", "n.value")
 
 
 @query("narrative_template", f"{_NV} SELECT txn_id, CASE WHEN txn_id % 5 = 0 THEN 'tt tien nuoc hd <NUM_1>' ELSE 'tt tien nuoc kh <NUM_1>' END AS template, CASE WHEN txn_id % 5 = 0 THEN 'T CONTRACT_ID:#' ELSE 'T CUSTOMER_ID:#' END AS structure FROM nv")
 def narrative_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nr.normalized(billed(spark, sf_dir)).select("txn_id", "norm.template", "norm.structure")
+    return nr.normalized(billed(spark, sf_dir), fields=("template", "structure")).select("txn_id", "norm.template", "norm.structure")
 
 
 @query("period_recompute_versioned", f"{_NV} SELECT txn_id, CASE WHEN txn_id % 2 = 0 THEN 'stored' WHEN txn_id % 5 = 0 THEN 'not_found' ELSE 'identified' END AS status FROM nv")
 def period_recompute_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the current version keep their periods; the others are scanned again."""
-    rows = nr.normalized(billed(spark, sf_dir))
+    rows = nr.normalized(billed(spark, sf_dir), fields=("period_status",))
     return rows.select("txn_id", F.when(F.col("txn_id") % 2 == 0, "stored").otherwise(F.col("norm.period_status")).alias("status"))
 
 
 @query("pattern_identity", f"{_NV} SELECT txn_id, '1|' || CASE WHEN txn_id % 5 = 0 THEN 'CONTRACT_ID|' || regexp_extract(raw, 'HD ([0-9]+)', 1) ELSE 'CUSTOMER_ID|' || cid END || '|#' AS identity FROM nv")
 def pattern_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nr.normalized(billed(spark, sf_dir))
+    rows = nr.normalized(billed(spark, sf_dir), fields=("numbers",))
     return rows.select("txn_id", F.array_join(rt.pattern_identity(F.col("norm.numbers")), ",").alias("identity"))
 
 
 @query("recurring_signature")
 def recurring_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nr.normalized(billed(spark, sf_dir))
+    rows = nr.normalized(billed(spark, sf_dir), fields=("segments", "numbers"))
     return rows.select("txn_id", rt.recurring_signature(F.col("norm"), F.col("channel")).alias("signature"))
 
 
 @query("unique_transfer_reference", f"{_NV} SELECT txn_id, txn_id % 2 = 0 AS unique_reference FROM nv")
 def unique_transfer_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("txn_id") % 2 == 0, F.concat(F.lit("@@"), F.lpad(F.col("txn_id").cast("string"), 12, "7"), F.lit("@@_chiho_ "), "raw")).otherwise(F.col("raw"))
-    rows = nr.normalized(narratives(spark, sf_dir).withColumn("raw", raw))
+    rows = nr.normalized(narratives(spark, sf_dir).withColumn("raw", raw), fields=("numbers",))
     return rows.select("txn_id", rt.unique_transfer_reference(F.col("norm.numbers")).alias("unique_reference"))
 
 
 @query("slot_context", f"{_NV} SELECT txn_id, CASE WHEN txn_id % 5 <> 0 THEN 'nuoc kh _ ky #6' END AS context FROM nv")
 def slot_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of six digits have a context; shorter contract numbers have none."""
-    rows = nr.normalized(billed(spark, sf_dir))
+    rows = nr.normalized(billed(spark, sf_dir), fields=("numbers",))
     return rows.select("txn_id", F.explode("norm.numbers").alias("n")).select("txn_id", "n.context")
 
 
@@ -128,7 +128,7 @@ def _roles_sql() -> str:
 
 @query("narrative_roles", _roles_sql())
 def narrative_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nr.normalized(varied(spark, sf_dir))
+    rows = nr.normalized(varied(spark, sf_dir), fields=("numbers",))
     return rows.select("txn_id", F.explode("norm.numbers").alias("n")).select("txn_id", "n.slot", "n.numeric_type", "n.value")
 
 
@@ -138,14 +138,14 @@ def narrative_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CASE WHEN o_orderkey % 9 IN (0, 2, 3, 4) THEN 'identified' ELSE 'not_found' END AS status FROM orders",
 )
 def narrative_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nr.normalized(varied(spark, sf_dir)).select("txn_id", F.array_join("norm.periods", ",").alias("periods"), F.col("norm.period_status").alias("status"))
+    return nr.normalized(varied(spark, sf_dir), fields=("periods", "period_status")).select("txn_id", F.array_join("norm.periods", ",").alias("periods"), F.col("norm.period_status").alias("status"))
 
 
 @query("source_offsets")
 def source_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of turns with their text as written, found through folded offsets."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("KH 001545 "), "text").alias("raw"))
-    return nr.normalized(rows).select("conv_id", "turn", F.explode("norm.numbers").alias("n")).select("conv_id", "turn", "n.value", "n.raw_value", "n.offset")
+    return nr.normalized(rows, fields=("numbers",)).select("conv_id", "turn", F.explode("norm.numbers").alias("n")).select("conv_id", "turn", "n.value", "n.raw_value", "n.offset")
 
 
 @query("identity_signature", f"{_NV} SELECT txn_id, CASE WHEN txn_id % 5 = 0 THEN lower(raw) ELSE 'tt tien nuoc kh ' || cid END AS signature FROM nv")
