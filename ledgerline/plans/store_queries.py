@@ -79,11 +79,13 @@ def cascade_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stateful_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of three batches, the oldest months second: keyed state counts late months and is not moved by them."""
-    source, n = scratch(spark, "stream"), narratives(spark, sf_dir).select("cid", "period")
+    source, state, n = scratch(spark, "stream"), scratch(spark, "state"), narratives(spark, sf_dir).select("cid", "period")
     late = F.col("period") < _SPLIT
+    # the stream takes up its checkpoint for each part, so a part is one batch and may be any number of files
     for part in (~late & (F.col("period") < HOLDOUT), late, F.col("period") >= HOLDOUT):
-        n.where(part).coalesce(1).write.mode("append").parquet(source)
-    return keyed.learn_stream(spark, source, n.schema, ["cid"], scratch(spark, "state")).drop("dormant")
+        n.where(part).write.mode("append").parquet(source)
+        learned = keyed.learn_stream(spark, source, n.schema, ["cid"], state, files_per_batch=None)
+    return learned.drop("dormant")
 
 
 class _Killed(RuntimeError):

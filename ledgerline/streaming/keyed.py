@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -24,10 +23,12 @@ _STATE = "seen long, advances long, last_period string, months long, dormant boo
 
 
 class Learner(StatefulProcessor):
-    """The state of one key: a value (seen, advances, last month) and a map of months with their counts.
+    """The state of one key: one value (seen, advances, last month, and the months with their counts).
 
-    With ``dormant_ms`` a timer is set anew by each batch that has the key; the first later batch after it expires gives the key
-    once more, as dormant, and empties its map, which frees the space of keys that no one pays for any more; the totals stay.
+    The months lie in the value, since each look into the state is a call out of the worker: a key costs one read and one write
+    a batch, whatever its months. With ``dormant_ms`` a timer is set anew by each batch that has the key; the first later batch
+    after it expires gives the key once more, as dormant, and empties its months, which frees the space of keys that no one pays
+    for any more; the totals stay.
     """
 
     def __init__(self, keys: list[str], dormant_ms: int | None = None) -> None:
@@ -35,18 +36,13 @@ class Learner(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", "seen long, advances long, last string")
-        self.months = handle.getMapState("months", "period string", "n long")
-
-    def _row(self, key: tuple, months: int, dormant: bool) -> pd.DataFrame:
-        seen, advances, last = self.total.get()
-        return pd.DataFrame([[*key, seen, advances, last, months, dormant]], columns=[*self.keys, "seen", "advances", "last_period", "months", "dormant"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        for part in rows:
-            counts.update(part["period"].fillna("unknown").value_counts().to_dict())
-        seen, advances, last = self.total.get() if self.total.exists() else (0, None, "unknown")
+        self.total = handle.getValueState("total", "seen long, advances long, last string, months map<string,long>")
+        self.row = Row(*self.keys, "seen", "advances", "last_period", "months", "dormant")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        counts = Counter("unknown" if r["period"] is None else r["period"] for r in rows)
+        seen, advances, last, months = self.total.get() or (0, None, "unknown", {})
+        months = Counter(months)
         for period in sorted(counts):
             newer = period != "unknown" and (last == "unknown" or period > last)
             if advances is None:
@@ -54,19 +50,19 @@ class Learner(StatefulProcessor):
             elif newer:
                 advances += 1
             last = period if newer else last
-            seen += counts[period]
-            held = self.months.getValue((period,))[0] if self.months.containsKey((period,)) else 0
-            self.months.updateValue((period,), (held + counts[period],))
-        self.total.update((seen, advances, last))
+        seen += counts.total()
+        months.update(counts)
+        self.total.update((seen, advances, last, dict(months)))
         if self.dormant_ms is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.dormant_ms)
-        yield self._row(key, sum(1 for _ in self.months.keys()), False)
+        yield self.row(*key, seen, advances, last, len(months), False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.months.clear()
-        yield self._row(key, 0, True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        seen, advances, last, _ = self.total.get()
+        self.total.update((seen, advances, last, {}))
+        yield self.row(*key, seen, advances, last, 0, True)
 
     def close(self) -> None:
         pass
@@ -77,15 +73,15 @@ def learned_stream(rows: DataFrame, keys: list[str], dormant_ms: int | None = No
     types = StructType([rows.schema[k] for k in keys])
     out = StructType([*types, *StructType.fromDDL(_STATE)])
     grouped = rows.select(*keys, "period").groupBy(*keys)
-    return grouped.transformWithStateInPandas(Learner(keys, dormant_ms), out, "update", "None" if dormant_ms is None else "processingTime")
+    return grouped.transformWithState(Learner(keys, dormant_ms), out, "update", "None" if dormant_ms is None else "processingTime")
 
 
-def learn_stream(spark: SparkSession, source: str, schema, keys: list[str], state_dir: str, files_per_batch: int = 1, dormant_ms: int | None = None, before_commit=None) -> DataFrame:
+def learn_stream(spark: SparkSession, source: str, schema, keys: list[str], state_dir: str, files_per_batch: int | None = 1, dormant_ms: int | None = None, before_commit=None) -> DataFrame:
     """Learns a folder of Parquet files as a stream until none is left, and gives the state of each key.
 
     Each micro-batch writes its changed keys to a folder of its own number, so a batch that runs again after a failure replaces
     itself; the engine's state and the folder of what was read are in the checkpoint. ``before_commit`` is called with the
-    number of a batch that has been written (for tests of failures).
+    number of a batch that has been written (for tests of failures). Without ``files_per_batch`` all new files are one batch.
     """
     changed = f"{state_dir}/changed"
 
@@ -100,7 +96,8 @@ def learn_stream(spark: SparkSession, source: str, schema, keys: list[str], stat
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+        reader = spark.readStream.schema(schema)
+        stream = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(source)
         run = learned_stream(stream, keys, dormant_ms).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:

@@ -65,6 +65,41 @@ def test_dormant_keys(spark, tmp_path):
     assert end["a"] == (1, 0, True) and end["b"][0] == 3
 
 
+class Calls:
+    """A value state that counts the calls out of the worker."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.calls += 1
+        self.held = value
+
+
+def test_a_key_costs_two_calls_whatever_its_months():
+    state, learner, batches = Calls(), keyed.Learner(["k"]), shuffled(2)
+    learner.init(state)
+    for b in batches:
+        (end,) = learner.handleInputRows(("a",), iter([{"k": "a", "period": p} for _, p in b]), None)
+    want = plain([[("a", p) for _, p in b] for b in batches])["a"]
+    assert (end.seen, end.advances, end.last_period, end.months) == want[:4] and state.calls == 2 * len(batches)
+
+
+def test_a_batch_of_several_files(spark, tmp_path):
+    batches = shuffled(3)
+    for b in batches:
+        spark.createDataFrame(b, SCHEMA).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        end = keyed.learn_stream(spark, str(tmp_path / "in"), SCHEMA, ["k"], str(tmp_path / "state"), files_per_batch=None)
+    assert got(end) == plain(batches)
+
+
 BATCH = "txn_id long, cid string, channel string, raw string, period string, mode string"
 
 
