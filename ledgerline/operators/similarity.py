@@ -192,8 +192,20 @@ def trigrams(c: Column) -> Column:
 def set_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, sets: str, least: float) -> DataFrame:
     """(left_key, right_key, similarity): pairs of sets with a Jaccard similarity of at least ``least``, by joining members.
 
-    Pairs are made only through the rarest members of the left set (prefix filter), then verified on the sets.
+    Pairs are made only through the rarest members of the left set (prefix filter), then verified on the sets. Rows that hold the
+    same set share its pairs: distinct sets are matched, and each row gets the list of its set's, so no member that many rows
+    hold fills a task.
     """
+    told = lambda rows, key, own: rows.where(F.size(sets) > 0).select(key, F.array_sort(sets).alias(own))
+    held, named = told(left, left_key, "_left"), told(right, right_key, "_right")
+    each = lambda rows, own: rows.distinct().withColumn(sets, F.col(own))
+    pairs = _distinct_similarity(each(held.select("_left"), "_left"), each(named.select("_right"), "_right"), "_left", "_right", sets, least)
+    # written first, so that the planner knows their size and sends them to the rows where they are few
+    pairs = staged(pairs.join(named, "_right").select("_left", right_key, "similarity"), "set-pairs")
+    return held.join(pairs, "_left").select(left_key, right_key, "similarity")
+
+
+def _distinct_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, sets: str, least: float) -> DataFrame:
     counts = right.select(F.explode(sets).alias("member")).groupBy("member").agg(F.count("*").alias("n"))
     members = left.select(left_key, F.size(sets).alias("size"), F.explode(sets).alias("member")).join(counts, "member", "left")
     need = F.ceil(F.col("size") * least)

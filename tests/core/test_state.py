@@ -234,3 +234,17 @@ def test_top_scored(spark, seed, k):
     postings = spark.createDataFrame([(r, w, s) for (r, w), s in held.items()], "r long, word string, score long")
     got = similarity.top_scored(spark.createDataFrame(sorted(asked), "q int, word string"), postings, "q", "r", k)
     assert {tuple(r) for r in got.select("q", "r", "score", "rank").collect()} == want
+
+
+def test_equal_sets_are_matched_once(spark, monkeypatch):
+    """Many rows with few sets: pairs are made of the distinct sets, and every row gets them."""
+    rng = random.Random(5)
+    kinds = [rng.sample("abcdefgh", rng.randrange(1, 6)) for _ in range(8)]
+    rows = [(i, rng.sample(k, len(k))) for i in range(80) for k in [rng.choice(kinds)]]
+    met, inner = [], similarity._distinct_similarity
+    monkeypatch.setattr(similarity, "_distinct_similarity", lambda left, right, *a: met.append((left.count(), right.count())) or inner(left, right, *a))
+    left = spark.createDataFrame(rows, "k long, g array<string>")
+    got = {(r.k, r.o): r.similarity for r in similarity.set_similarity(left, left.withColumnRenamed("k", "o"), "k", "o", "g", 0.5).collect()}
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    assert got == {(k, o): jaccard(a, b) for k, a in rows for o, b in rows if jaccard(a, b) >= 0.5}
+    assert max(met[0]) <= len(kinds)
