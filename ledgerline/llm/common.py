@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker, in bytes; a longer single text is handled alone and whole.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,19 @@ def slices(batch: pa.RecordBatch, text: str, most: int = BATCH_BYTES) -> Iterato
         yield batch.slice(start)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` on batches of about ``BATCH_BYTES``.
+
+    By its default Spark sends up to 10,000 rows or 64 MB at once, of which the executor and the worker hold copies. The session's limit is
+    read when a plan runs, so it is lowered for the whole session; a lower one in plain bytes stays.
+    """
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(limit).lower().removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(limit, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], schema: str, arrow: pa.Schema, text: str = "text") -> DataFrame:
     """``f`` turns a batch of rows into columns; batches are bounded by bytes of text."""
 
@@ -77,7 +90,7 @@ def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], sch
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_pydict(f(part), schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -116,4 +129,4 @@ def keep_texts(df: DataFrame, keep: Callable[[list[str | None]], list[bool]], te
             for part in slices(batch, text):
                 yield part.filter(pa.array(keep(part.column(text).to_pylist()), pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return in_batches(rows, run, rows.schema)

@@ -88,14 +88,15 @@ class Model:
         return (rows @ self.landmarks) / np.sqrt(sizes)[:, None] @ self.weights + self.bias
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [grams(t) for t in texts]
         out = [(UNKNOWN, 0.0)] * len(texts)
-        known = [i for i, g in enumerate(found) if g is not None]
         if not self.languages:
             return out
-        for k in range(0, len(known), _ROWS):
-            some = known[k : k + _ROWS]
-            m = self.margins([found[i] for i in some]) * SHARPNESS
+        for k in range(0, len(texts), _ROWS):
+            found = {i: g for i, t in enumerate(texts[k : k + _ROWS], k) if (g := grams(t)) is not None}
+            if not found:
+                continue
+            some = list(found)
+            m = self.margins(list(found.values())) * SHARPNESS
             p = np.exp(m - m.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)

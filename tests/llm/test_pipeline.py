@@ -4,12 +4,15 @@ import hashlib
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from test_decontaminate import plain
 from test_simhash import plain_components, plain_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from ledgerline.llm import langid, quality
+from ledgerline.llm.common import BATCH_BYTES, in_batches, keep_texts
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,3 +66,21 @@ def test_odd_rows(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 5000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    spark.conf.unset(limit)
+    kept = keep_texts(rows, lambda texts: [True] * len(texts))
+    assert kept.count() == 2000 and int(spark.conf.get(limit)) == BATCH_BYTES
+    got = in_batches(rows, sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 2000 and max(r["bytes"] for r in got) < 1.1 * BATCH_BYTES
+    spark.conf.set(limit, "1000")
+    assert in_batches(rows.limit(3), sizes, "n long, bytes long").count() == 3
+    spark.conf.unset(limit)
