@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import slices, staged
+from ledgerline.llm.common import in_batches, slices, staged
 
 #: Payloads from this many bytes on are stored once.
 LEAST = 1000
@@ -165,7 +165,7 @@ def write_archives(rows: DataFrame) -> DataFrame:
         if squeeze:
             yield closed()
 
-    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string, content binary")
+    return in_batches(rows.select("page_id", "url", "payload", "digest", "refers_to"), run, "archive string, content binary")
 
 
 def outside(spark: SparkSession, path: str) -> DataFrame:
@@ -184,7 +184,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 for part, (data, index) in enumerate(rewrite_parts(content.as_buffer())):
                     yield pa.RecordBatch.from_pydict({"archive": [name], "part": [part], "content": [data], "sidecar": [[{"offset": a, "length": n} for a, n in index]]}, schema=arrow)
 
-    return archives.select("archive", "content").mapInArrow(run, "archive string, part int, content binary, sidecar array<struct<offset: long, length: long>>")
+    return in_batches(archives.select("archive", "content"), run, "archive string, part int, content binary, sidecar array<struct<offset: long, length: long>>")
 
 
 def records(archives: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def records(archives: DataFrame) -> DataFrame:
                     got = [[name.as_py()], [part.as_py()], [x["offset"]], [x["length"]], [list(fields.items())], [block]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got, arrow.types, strict=True)], schema=arrow)
 
-    return archives.select("archive", "part", "content", "sidecar").mapInArrow(run, "archive string, part int, offset long, length long, headers map<string, string>, block binary")
+    return in_batches(archives.select("archive", "part", "content", "sidecar"), run, "archive string, part int, offset long, length long, headers map<string, string>, block binary")
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
@@ -226,7 +226,7 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
                 put(f"{stem}.idx", "".join(f"{x['offset']} {x['length']}\n" for x in sidecar.as_py()).encode())
                 yield pa.RecordBatch.from_pydict({"file": [f"{stem}.warc.gz"], "members": [len(sidecar)]}, schema=arrow)
 
-    return archives.select("archive", "part", "content", "sidecar").mapInArrow(run, "file string, members long")
+    return in_batches(archives.select("archive", "part", "content", "sidecar"), run, "file string, members long")
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def read_records(archives: DataFrame) -> DataFrame:
                         got[c].append(v)
                 yield pa.RecordBatch.from_pydict(got, schema=arrow)
 
-    return archives.select("content", "sidecar").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return in_batches(archives.select("content", "sidecar"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

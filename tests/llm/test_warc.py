@@ -5,6 +5,7 @@ import os
 import zlib
 
 from ledgerline.llm import warc
+from ledgerline.llm.common import BATCH_BYTES
 
 BIG = "<p>" + "x" * 1200
 
@@ -55,3 +56,15 @@ def test_archives_of_others(spark, tmp_path):
         data = (tmp_path / "out" / f.file).read_bytes()
         index = [tuple(map(int, x.split())) for x in (tmp_path / "out" / f.file.replace(".warc.gz", ".idx")).read_text().splitlines()]
         assert [zlib.decompress(data[a : a + n], 31) for a, n in index] == blobs
+
+
+def test_archives_go_in_bounded_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    pages = spark.range(0, 900, 1, 1).selectExpr("id page_id", "'u' url", "repeat(cast(id as string), 4000) html")
+    df = warc.with_originals(pages)
+    for step in (warc.write_archives, warc.normalise, warc.read_records):
+        spark.conf.unset(limit)
+        df = step(df)
+        assert int(spark.conf.get(limit).removesuffix("b")) == BATCH_BYTES
+    assert df.count() == 900
+    spark.conf.unset(limit)
