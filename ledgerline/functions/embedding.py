@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,38 @@ def embed(text: str | None) -> list[float]:
     return vector.tolist()
 
 
-def _embedded(texts: pd.Series) -> pd.Series:
-    return texts.map(embed)
+def _embedded(texts: pa.Array) -> pa.Array:
+    held = texts.fill_null("").dictionary_encode()
+    found = np.array([embed(t) for t in held.dictionary.to_pylist()], dtype=np.float32).reshape(-1, DIMENSIONS)
+    offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * DIMENSIONS)
+    return pa.ListArray.from_arrays(offsets, pa.array(found.ravel())).take(held.indices)
 
 
 def embedding(c: Column) -> Column:
-    """The embedding of a text column; declared as not deterministic so that the planner never computes it twice."""
-    return F.pandas_udf(_embedded, "array<float>").asNondeterministic()(c)
+    """The embedding of a text column, by Arrow batches; a text that a batch repeats is embedded once. Declared as not
+    deterministic so that the planner never computes it twice."""
+    return F.arrow_udf(_embedded, "array<float>").asNondeterministic()(c)
+
+
+@lru_cache(maxsize=1 << 12)
+def _held(text: str) -> np.ndarray:
+    return np.array(embed(text), dtype=np.float32).astype(np.float64)
+
+
+@lru_cache(maxsize=1 << 15)
+def _likeness(a: str, b: str) -> float:
+    # summed one by one, as ``values.cosine`` does
+    return min(1.0, max(0.0, float(np.add.accumulate(_held(a) * _held(b))[-1])))
+
+
+def _likenesses(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([_likeness(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The cosine of two texts' embeddings, clipped to 0 and 1. Equal pairs of a worker are compared once, and no vector is
+    moved with a row."""
+    return F.arrow_udf(_likenesses, "double")(a, b)
 
 
 def with_cache(rows: DataFrame, text: str, cache: DataFrame | None) -> DataFrame:

@@ -98,8 +98,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_buckets(v: Column, k: int = 8) -> Column:
     """Tokens v:index:sign of the ``k`` greatest components by size; zeros have none."""
-    keyed = F.array_sort(F.transform(v, lambda x, i: F.struct((-F.abs(x)).alias("n"), i.alias("i"), (x >= 0).cast("int").alias("s"))))
-    kept = F.filter(F.slice(keyed, 1, k), lambda x: x["n"] != 0)
+    keyed = F.transform(v, lambda x, i: F.struct((-F.abs(x)).alias("n"), i.alias("i"), (x >= 0).cast("int").alias("s")))
+    # zeros go first: most components of a text's vector are, and sorting is what costs
+    kept = F.slice(F.array_sort(F.filter(keyed, lambda x: ~x["n"].eqNullSafe(0))), 1, k)
+    kept = F.filter(kept, lambda x: x["n"].isNotNull())
     return F.transform(kept, lambda x: F.concat(F.lit("v:"), x["i"], F.lit(":"), x["s"]))
 
 

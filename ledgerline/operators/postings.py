@@ -34,7 +34,11 @@ def postings(patterns: DataFrame, raw: str, owner: str, key: str) -> DataFrame:
 
 def token_owners(found: DataFrame) -> DataFrame:
     """(token, owners, owner): how many customers own a token, and the one owner if it is alone."""
-    each = found.select("token", "customer_id").distinct()
+    return held_owners(found.select("token", "customer_id").distinct())
+
+
+def held_owners(each: DataFrame) -> DataFrame:
+    """``token_owners`` of pairs (token, customer_id) that come once each."""
     one = each.groupBy("token").agg(F.count("*").alias("owners"), F.min("customer_id").alias("owner"))
     return one.select("token", "owners", F.when(F.col("owners") == 1, F.col("owner")).alias("owner"))
 
