@@ -47,17 +47,18 @@ def learned(base: Snapshot, batch: DataFrame) -> tuple[dict[str, DataFrame], dic
         batch = batch.withColumn("name", F.lit(""))
     receipt = F.sha2(F.to_json(F.array(F.col("txn_id").cast("string"), F.col("raw"), F.col("cid"), F.col("channel"))), 256)
     fresh = knowledge.unseen(batch.withColumn("receipt", receipt), base.table("receipts") if "receipts" in base else None)
-    rows = staged(classify.parsed(fresh, "txn_id"), "learned")
-    channel = tx.channel_key(F.col("channel"))
+    rows = classify.parsed(fresh, "txn_id").withColumn("channel", tx.channel_key(F.col("channel")))
     identity = F.array_join(rt.pattern_identity(F.col("norm.numbers")), ",")
-    pattern = F.sha2(F.concat_ws(rt.SEPARATOR, "cid", channel, "template_key", identity), 256)
-    rows = rows.withColumn("pattern_key", pattern).withColumn("customer_id", F.col("cid")).withColumn("channel", channel).drop("cid")
+    pattern = F.sha2(F.concat_ws(rt.SEPARATOR, "cid", "channel", "template_key", identity), 256)
+    # keys are written with the rows, so that no table makes them anew
+    rows = staged(rows.withColumn("pattern_key", pattern).withColumnRenamed("cid", "customer_id"), "learned")
     numbers = rows.select("txn_id", "pattern_key", "period", "channel", F.explode(F.filter("norm.numbers", lambda n: n["numeric_type"] != "AMOUNT")).alias("n"))
     numbers = numbers.select("txn_id", "pattern_key", "period", "channel", "n.slot", "n.value", "n.numeric_type", "n.context")
     payers = rows.select("customer_id", "period", F.explode(F.array_distinct(F.concat(F.array("channel"), "norm.payer_accounts"))).alias("payer"))
     names = rows.where(tx.name_key(F.col("name")) != "").select("customer_id", tx.name_key(F.col("name")).alias("alias"), "period")
     new_patterns = classify.embedded(rows.dropDuplicates(["pattern_key"]))
-    tokens = new_patterns.select("pattern_key", "customer_id", F.explode(classify.tokens(F.col("customer_id"), F.col("name"))).alias("t")).select("pattern_key", "customer_id", "t.token", "t.weight").dropDuplicates(["pattern_key", "token"])
+    # a pattern comes once, and so does a token in its list
+    tokens = new_patterns.select("pattern_key", "customer_id", F.explode(classify.tokens(F.col("customer_id"), F.col("name"))).alias("t")).select("pattern_key", "customer_id", "t.token", "t.weight")
     upserts = {
         "receipts": rows.select("receipt", "customer_id", "period"),
         "customers": _counted(base, "customers", rows, {"name": F.col("name")}),
@@ -73,7 +74,7 @@ def learned(base: Snapshot, batch: DataFrame) -> tuple[dict[str, DataFrame], dic
         "memory": _counted(base, "memory", rows),
         "contexts": _counted(base, "contexts", numbers.where("context IS NOT NULL")),
         "changes": rows.groupBy().agg(F.count("*").alias("rows"), F.max("txn_id").alias("last")).select(F.lit(base.version + 1).alias("change_id"), F.lit("learn").alias("action"), "rows", "last"),
-        "versions": rows.sparkSession.createDataFrame([("derived", DERIVED)], "name string, value string"),
+        "versions": rows.sparkSession.range(1).select(F.lit("derived").alias("name"), F.lit(DERIVED).alias("value")),
     }
     deletes = {}
     if "negatives" in base:

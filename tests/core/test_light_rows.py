@@ -6,6 +6,8 @@ from ledgerline.functions import embedding as em
 from ledgerline.functions import narrative as nr
 from ledgerline.functions import values as vl
 from ledgerline.operators import classify as cl
+from ledgerline.operators import learning
+from ledgerline.operators.store import Store
 
 ROW = "txn_id long, cid string, channel string, raw string, period string, mode string"
 ROWS = [(i, f"{i % 3:06d}", "VCB", f"TT tien nuoc KH {i % 3:06d} ky 0{1 + i % 6}/2020", "2020-01", "unknown") for i in range(12)]
@@ -56,3 +58,16 @@ def test_recommendations_parse_a_text_once(spark):
     asked = cl.parsed(asks.withColumn("raw", counted.asNondeterministic()("raw")), "query_id")
     assert sorted((r.query_id, r.customer_id) for r in cl.recommend(asked, known).collect()) == [(i, f"00000{i}") for i in range(3)]
     assert read.value == 3
+
+
+def test_learned_rows_have_keys_and_no_vectors(spark, tmp_path, monkeypatch):
+    written, write = {}, learning.staged
+    monkeypatch.setattr(learning, "staged", lambda df, name: written.setdefault(name, write(df, name)))
+    store = Store(spark, str(tmp_path / "k"), learning.KEYS)
+    upserts, _ = learning.learned(store.snapshot(), spark.createDataFrame(ROWS, ROW))
+    assert "pattern_key" in written["learned"].columns and "vector" not in written["learned"].columns
+    found = upserts["postings"].collect()
+    pairs = {(r.pattern_key, r.token) for r in found}
+    assert len(pairs) == len(found) and {t for _, t in pairs if t.startswith("id:")} == {"id:000000", "id:000001", "id:000002"}
+    assert {k for k, _ in pairs} == {r.pattern_key for r in written["learned"].collect()}
+    assert {k for k, t in pairs if t.startswith("v:")} == {k for k, _ in pairs}
