@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 384
+#: Greatest components of a vector that are its buckets.
+BUCKETS = 8
 
 
 def embed(text: str | None) -> list[float]:
@@ -42,6 +44,20 @@ def embedding(c: Column) -> Column:
     return F.arrow_udf(_embedded, "array<float>").asNondeterministic()(c)
 
 
+def _bucketed(texts: pa.Array) -> pa.Array:
+    held, found = texts.fill_null("").dictionary_encode(), []
+    for text in held.dictionary.to_pylist():
+        v = np.array(embed(text), dtype=np.float32)
+        at = np.lexsort((np.arange(DIMENSIONS), -np.abs(v)))[:BUCKETS]
+        found.append([f"v:{i}:{int(v[i] >= 0)}" for i in at if v[i]])
+    return pa.array(found, pa.list_(pa.string())).take(held.indices)
+
+
+def buckets(c: Column) -> Column:
+    """``values.vector_buckets`` of a text's embedding, made once for a text that a batch repeats; the vector is not moved."""
+    return F.arrow_udf(_bucketed, "array<string>").asNondeterministic()(c)
+
+
 @lru_cache(maxsize=1 << 12)
 def _held(text: str) -> np.ndarray:
     return np.array(embed(text), dtype=np.float32).astype(np.float64)

@@ -56,7 +56,7 @@ def learned(base: Snapshot, batch: DataFrame) -> tuple[dict[str, DataFrame], dic
     numbers = numbers.select("txn_id", "pattern_key", "period", "channel", "n.slot", "n.value", "n.numeric_type", "n.context")
     payers = rows.select("customer_id", "period", F.explode(F.array_distinct(F.concat(F.array("channel"), "norm.payer_accounts"))).alias("payer"))
     names = rows.where(tx.name_key(F.col("name")) != "").select("customer_id", tx.name_key(F.col("name")).alias("alias"), "period")
-    new_patterns = classify.embedded(rows.dropDuplicates(["pattern_key"]))
+    new_patterns = classify.bucketed(rows.dropDuplicates(["pattern_key"]))
     # a pattern comes once, and so does a token in its list
     tokens = new_patterns.select("pattern_key", "customer_id", F.explode(classify.tokens(F.col("customer_id"), F.col("name"))).alias("t")).select("pattern_key", "customer_id", "t.token", "t.weight")
     upserts = {
@@ -144,7 +144,7 @@ def reindex(store: Store, edited: DataFrame) -> tuple[Snapshot, int]:
 
 def postings_of(patterns: DataFrame) -> DataFrame:
     """(pattern_key, customer_id, token, weight) of patterns (pattern_key, customer_id, channel, raw, name): all token families."""
-    rows = classify.embedded(classify.parsed(patterns, "pattern_key"))
+    rows = classify.bucketed(classify.parsed(patterns, "pattern_key"))
     found = rows.select("pattern_key", "customer_id", F.explode(classify.tokens(F.col("customer_id"), F.col("name"))).alias("t"))
     return found.select("pattern_key", "customer_id", "t.token", "t.weight").dropDuplicates(["pattern_key", "token"])
 

@@ -25,6 +25,9 @@ def test_buckets_of_sparse_vectors(spark):
     v = [0.0] * 20 + [0.5, -0.5, 0.25, None, -0.125]
     got = spark.createDataFrame([(v,), ([0.0] * 3,), ([],)], "v array<float>").select(vl.vector_buckets(F.col("v"), 4).alias("b")).collect()
     assert [r.b for r in got] == [["v:20:1", "v:21:0", "v:22:1"], [], []]
+    texts = spark.createDataFrame([("TT tien nuoc KH customer id",), ("x",), ("a b c d e f g h",), ("",), (None,)], "t string")
+    both = texts.select(em.buckets(F.col("t")).alias("b"), em.embedding(F.col("t")).alias("v")).select("b", vl.vector_buckets(F.col("v")).alias("w")).collect()
+    assert all(r.b == r.w for r in both) and [len(r.b) > 0 for r in both] == [True, True, True, False, False]
 
 
 def test_parsed_rows_are_light(spark):
